@@ -168,13 +168,10 @@ def spec_value(specs: Column, name: str) -> Column:
     return F.try_element_at(named, F.lit(-1))["value"]
 
 
-def block_marker(title: Column, body: Column) -> Column:
-    """The first block-page marker in the title or the opening of the body, else null."""
+def block_marker(
+    title: Column, body: Column, markers: tuple[str, ...] = fixed.BLOCK_MARKERS
+) -> Column:
+    """The first marker in the title or the opening of the body, else null."""
     opening = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, fixed.BLOCK_BODY_CHARS))
-    return first_marker(
-        F.concat_ws(" ", F.lower(F.coalesce(title, F.lit(""))), opening), fixed.BLOCK_MARKERS
-    )
-
-
-def first_marker(text: Column, markers: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.when(text.contains(m), F.lit(m)) for m in markers])
+    seen = F.concat_ws(" ", F.lower(F.coalesce(title, F.lit(""))), opening)
+    return F.coalesce(*[F.when(seen.contains(m), F.lit(m)) for m in markers])

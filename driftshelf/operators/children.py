@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import hashing, text
 from ..schemas import IMAGES, KEY, RELATIONS, REVIEWS, SPECIFICATIONS, VARIANTS
-from .keyed import first_wins, keep_one, last_wins
+from .keyed import first_wins, last_wins
 
 IMAGE_KEY = [*KEY, "image_url"]
 SPECIFICATION_KEY = [*KEY, "section", "spec_name", "spec_value"]
@@ -23,7 +23,11 @@ def products_of(observations: DataFrame) -> DataFrame:
 
 
 def entries(observations: DataFrame, field: str) -> DataFrame:
-    """List entries of each observation with their position."""
+    """List entries of each observation with their position: ``key.., seen_at, pos, entry``.
+
+    The ``*_rows`` functions take this long form, so entries that already are rows of a
+    table never have to be collected into lists first.
+    """
     return observations.select(
         *KEY, F.col("run_ts").alias("seen_at"), F.posexplode(field).alias("pos", "entry")
     )
@@ -40,9 +44,9 @@ def _stamped(df: DataFrame, layout: dict[str, str]) -> DataFrame:
     )
 
 
-def image_rows(observations: DataFrame) -> DataFrame:
+def image_rows(listed: DataFrame) -> DataFrame:
     """Incoming images; the list position is the display order, the last duplicate wins."""
-    rows = entries(observations, "images").select(
+    rows = listed.select(
         *KEY, "seen_at", "pos",
         F.col("entry.url").alias("image_url"),
         F.col("entry.high_resolution_url").alias("high_resolution_url"),
@@ -53,8 +57,9 @@ def image_rows(observations: DataFrame) -> DataFrame:
     return _stamped(last_wins(rows, IMAGE_KEY, ["pos"]), IMAGES)
 
 
-def specification_rows(observations: DataFrame) -> DataFrame:
-    rows = entries(observations, "specifications").select(
+def specification_rows(listed: DataFrame) -> DataFrame:
+    """Incoming specifications; the first of equal rows stays."""
+    rows = listed.select(
         *KEY, "seen_at", "pos",
         _filled(F.col("entry.section"), fixed.DEFAULT_SECTION).alias("section"),
         F.col("entry.name").alias("spec_name"),
@@ -63,8 +68,9 @@ def specification_rows(observations: DataFrame) -> DataFrame:
     return _stamped(first_wins(rows, SPECIFICATION_KEY, ["pos"]), SPECIFICATIONS)
 
 
-def review_rows(observations: DataFrame) -> DataFrame:
-    rows = entries(observations, "reviews").select(
+def review_rows(listed: DataFrame) -> DataFrame:
+    """Incoming reviews; the first of equal hashes stays."""
+    rows = listed.select(
         *KEY, "seen_at", "pos",
         F.col("entry.external_id").alias("external_review_id"),
         F.col("entry.reviewer_name").alias("reviewer_name"),
@@ -78,9 +84,9 @@ def review_rows(observations: DataFrame) -> DataFrame:
     return _stamped(first_wins(rows, REVIEW_KEY, ["pos"]), REVIEWS)
 
 
-def relation_rows(observations: DataFrame) -> DataFrame:
+def relation_rows(listed: DataFrame) -> DataFrame:
     """Incoming relations; rows without a URL never collide."""
-    rows = entries(observations, "relations").select(
+    rows = listed.select(
         *KEY, "seen_at", "pos",
         F.col("entry.type").alias("relation_type"),
         F.col("entry.external_id").alias("related_external_id"),
@@ -93,9 +99,9 @@ def relation_rows(observations: DataFrame) -> DataFrame:
     return _stamped(first_wins(rows, RELATION_KEY, ["pos"], ["related_url"]), RELATIONS)
 
 
-def variant_rows(observations: DataFrame) -> DataFrame:
+def variant_rows(listed: DataFrame) -> DataFrame:
     """Incoming variants; rows without a SKU never collide."""
-    rows = entries(observations, "variants").select(
+    rows = listed.select(
         *KEY, "seen_at", "pos",
         F.col("entry.name").alias("variant_name"),
         F.col("entry.value").alias("variant_value"),
@@ -135,7 +141,5 @@ def first_per_id(rows: DataFrame, owner: list[str], code: str, position: list[st
 
 def top_per_owner(rows: DataFrame, owner: list[str], order: list[str], limit: int) -> DataFrame:
     """The first ``limit`` rows of each owner; cut in the map tasks before the exchange."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*owner).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -91,7 +91,7 @@ def record_outcomes(items: DataFrame, outcomes: DataFrame, now: Column) -> DataF
 
 
 def failures(outcomes: DataFrame, runs: DataFrame) -> DataFrame:
-    """Failed and blocked outcomes with the site of their run.
+    """Failed and blocked outcomes with the site and time of their run.
 
     A run may hold a third of all items, so its site comes through a checked lookup.
     """
@@ -99,7 +99,8 @@ def failures(outcomes: DataFrame, runs: DataFrame) -> DataFrame:
         "run_id", "url", "error_type",
         text.truncate(F.col("error_message"), fixed.ERROR_LIMIT).alias("error_message"),
     )
-    return lookup(bad, runs.select("run_id", "site_id"), ["run_id"], "inner", spread=["url"])
+    sites = runs.select("run_id", "site_id", "run_ts")
+    return lookup(bad, sites, ["run_id"], "inner", spread=["url"])
 
 
 def log_failures(failed_urls: DataFrame, failed: DataFrame, now: Column) -> DataFrame:

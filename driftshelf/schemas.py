@@ -103,3 +103,14 @@ FAILED_URLS = {
     "error_message": "string", "retry_count": "int", "last_retry_at": "timestamp",
     "updated_at": "timestamp",
 }
+RUN_ROWS = {
+    "site_id": "bigint", "run_id": "bigint", "run_type": "string", "status": "string",
+    "run_ts": "timestamp", "products_discovered": "bigint", "products_processed": "bigint",
+    "products_new": "bigint", "products_updated": "bigint", "products_unchanged": "bigint",
+    "products_unavailable": "bigint", "errors": "bigint", "last_item_seq": "bigint",
+    "summary": "string", "completed_at": "timestamp",
+}
+MERGED_EXTRA = {
+    "run_id": "bigint", "change_status": "string", "was_stored": "boolean",
+    "old_price": "decimal(14,2)", "old_availability": "string", "missed": "boolean",
+}

@@ -31,6 +31,7 @@ LOG_TABLES = {
 RUN_TABLES = {
     "run_items": {"site_id": "bigint", **schemas.RUN_ITEMS},
     "failed_urls": schemas.FAILED_URLS,
+    "runs": schemas.RUN_ROWS,
 }
 LAYOUTS = {**STATE_TABLES, **LOG_TABLES, **RUN_TABLES}
 PUBLISHED = "site_id bigint, run_id bigint, version string, published_no bigint"
@@ -57,8 +58,10 @@ class CatalogTables:
         top = self.publications().agg(F.max("published_no")).first()[0]
         return (top or 0) + 1
 
-    def _read(self, table: str, versions: list[str], keep: Column) -> DataFrame:
-        layout = LAYOUTS[table]
+    def _read(
+        self, table: str, versions: list[str], keep: Column, extra: dict[str, str] | None = None
+    ) -> DataFrame:
+        layout = {**LAYOUTS[table], **(extra or {})}
         if not versions:
             return self.spark.createDataFrame([], schemas.ddl(layout))
         paths = [f"{self.path(table)}/version={v}" for v in versions]
@@ -98,9 +101,11 @@ class CatalogTables:
         versions = [row.version for row in published.toLocalIterator()]
         return self._read(table, sorted(versions), F.lit(True))
 
-    def written(self, table: str, version: str) -> DataFrame:
-        """A table of one version, published or not."""
-        return self._read(table, [version], F.col("version") == version)
+    def written(
+        self, table: str, version: str, extra: dict[str, str] | None = None
+    ) -> DataFrame:
+        """A table of one version, published or not, with columns kept beside its layout."""
+        return self._read(table, [version], F.col("version") == version, extra)
 
     def write(self, table: str, df: DataFrame, version: str) -> None:
         """Write one table of a version; a retry of the same version replaces it."""

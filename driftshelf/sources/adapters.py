@@ -42,7 +42,20 @@ def style(name: str) -> PageStyle:
 
 
 def with_adapter(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    return lookup(pages, sites.select("site_id", "adapter"), ["site_id"], "inner", spread=["url"])
+    """Pages with their site's style name and page limit."""
+    settings = F.try_parse_json(F.col("settings"))
+    limit = F.try_variant_get(settings, "$.catalog_max_pages", "int")
+    facts = sites.select(
+        "site_id", "adapter", F.coalesce(limit, F.lit(fixed.LISTING_PAGE_LIMIT)).alias("page_limit")
+    )
+    return lookup(pages, facts, ["site_id"], "inner", spread=["url"])
+
+
+def configured_seeds(sites: DataFrame) -> DataFrame:
+    """Seed values of the sites' settings."""
+    settings = F.try_parse_json(F.col("settings"))
+    values = F.try_variant_get(settings, "$.seed_urls", "array<string>")
+    return sites.select("site_id", "adapter", F.explode(values).alias("value"))
 
 
 def unsupported(sites: DataFrame) -> DataFrame:
@@ -50,26 +63,27 @@ def unsupported(sites: DataFrame) -> DataFrame:
     return sites.where(~F.col("adapter").isin(*STYLES))
 
 
-def dispatch(pages: DataFrame, run: Callable[[PageStyle, DataFrame], DataFrame]) -> DataFrame:
+def dispatch(pages: DataFrame, run: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
     """Run each style over its own pages (``adapter`` column) and unite the results."""
     parts = [
-        run(one, pages.where(F.col("adapter") == name).drop("adapter"))
-        for name, one in STYLES.items()
+        run(name, pages.where(F.col("adapter") == name).drop("adapter")) for name in STYLES
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    return dispatch(pages, lambda one, mine: one.extract(mine))
+    return dispatch(pages, lambda name, mine: style(name).extract(mine))
 
 
 def discover(pages: DataFrame, limit: int | None, seeds: DataFrame | None = None) -> DataFrame:
-    """Products to visit per site; styles without seeds ignore the configured ones."""
+    """Products to visit per site, from listing pages (``adapter, site_id, category,
+    page_no, url, html``, optional ``page_limit``) and configured seeds (``adapter,
+    site_id, value``), which only some styles have."""
 
-    def run(one: PageStyle, mine: DataFrame) -> DataFrame:
-        extra = None
+    def run(name: str, mine: DataFrame) -> DataFrame:
+        one, extra = style(name), None
         if one.seeds is not None and seeds is not None:
-            extra = one.seeds(seeds.join(mine.select("site_id").distinct(), "site_id", "left_semi"))
+            extra = one.seeds(seeds.where(F.col("adapter") == name))
         return discovery.discover(one.listing_links(mine), limit, extra)
 
     return dispatch(pages, run)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +13,6 @@ from ..functions import jsonld, text, urls
 from . import html
 from .records import failing, finish, parsed
 
-_SELECTORS = {**fixed.STYLE_A_SELECTORS, "required": fixed.STYLE_A_REQUIRED}
-_parse = html.marked_nodes(
-    {**_SELECTORS, "page_title": "title", "page_body": "body"},
-    blocks=("row", "review"), raw=("json_ld",),
-)
 _parse_listing = html.marked_nodes(
     {"category": fixed.STYLE_A_CATEGORY_LINK, "product": fixed.STYLE_A_LISTING_LINK}
 )
@@ -28,19 +26,30 @@ def category_urls(start_pages: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def listing_links(pages: DataFrame) -> DataFrame:
+def listing_links(pages: DataFrame, parse: Callable = _parse_listing) -> DataFrame:
     """Product links of listing pages (``site_id, category, page_no, url, html``)."""
     nodes = pages.select(
-        "site_id", "category", "page_no", F.explode(_parse_listing("url", "html")).alias("n")
+        "site_id", "category", "page_no", F.explode(parse("url", "html")).alias("n")
     )
     return nodes.where("n.field = 'product' and n.link is not null").select(
         "site_id", "category", "page_no", urls.canonicalize_url(F.col("n.link")).alias("product")
     )
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extractor(
+    selectors: dict[str, str], required: str
+) -> Callable[[DataFrame], DataFrame]:
+    """An extraction job for shop pages, given where each field is on the page."""
+    parse = html.marked_nodes(
+        {**selectors, "required": required, "page_title": "title", "page_body": "body"},
+        blocks=("row", "review"), raw=("json_ld",),
+    )
+    return partial(_extract, parse)
+
+
+def _extract(parse: Callable, pages: DataFrame) -> DataFrame:
     """Product pages to observations, one row per page, errors as columns."""
-    df = parsed(pages, _parse)
+    df = parsed(pages, parse)
     df = df.withColumn("ld", jsonld.product_block(html.texts(F.col("nodes"), "json_ld")))
     n, ld = F.col("nodes"), F.col("ld")
 
@@ -137,3 +146,6 @@ def image_entries(addresses: Column) -> Column:
             F.when(i == 0, "main").otherwise("gallery").alias("type"),
         ),
     )
+
+
+extract = extractor(fixed.STYLE_A_SELECTORS, fixed.STYLE_A_REQUIRED)

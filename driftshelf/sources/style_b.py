@@ -20,9 +20,13 @@ _parse = html.marked_nodes(
 _parse_listing = html.marked_nodes({"item": fixed.STYLE_B_LISTING_ITEM})
 
 
-def listing_links(pages: DataFrame, page_limit: int = fixed.LISTING_PAGE_LIMIT) -> DataFrame:
-    """Product addresses on result pages (``site_id, category, page_no, url, html``)."""
-    nodes = pages.where(F.col("page_no") <= page_limit).select(
+def listing_links(pages: DataFrame) -> DataFrame:
+    """Product addresses on result pages (``site_id, category, page_no, url, html``), up to
+    the page limit of each category."""
+    limit = F.lit(fixed.LISTING_PAGE_LIMIT)
+    if "page_limit" in pages.columns:
+        limit = F.coalesce("page_limit", limit)
+    nodes = pages.where(F.col("page_no") <= limit).select(
         "site_id", "category", "page_no", F.explode(_parse_listing("url", "html")).alias("n")
     )
     code = F.col("n.attrs")[fixed.STYLE_B_CODE_ATTRIBUTE]
