@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _UP_TO_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
@@ -43,7 +44,7 @@ def last_segment(c: Column) -> Column:
     return F.element_at(F.split(url_path(c), "/"), -1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join(base: pd.Series, link: pd.Series) -> pd.Series:
     def one(b, h):
         try:

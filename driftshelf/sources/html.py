@@ -14,10 +14,17 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# Typed here, not as DDL text: UDFs are made at import, before a session exists.
 NODE = (
-    "struct<field:string,pos:int,blocks:array<int>,text:string,link:string,"
-    "attrs:map<string,string>>"
+    T.StructType()
+    .add("field", T.StringType())
+    .add("pos", T.IntegerType())
+    .add("blocks", T.ArrayType(T.IntegerType()))
+    .add("text", T.StringType())
+    .add("link", T.StringType())
+    .add("attrs", T.MapType(T.StringType(), T.StringType()))
 )
 _ARROW = pa.list_(
     pa.struct(
@@ -181,7 +188,7 @@ def marked_nodes(rules: dict[str, str], blocks: tuple[str, ...] = (), raw: tuple
     """
     compiled = [(field, compile_selector(sel)) for field, sel in rules.items()]
 
-    @F.arrow_udf(f"array<{NODE}>")
+    @F.arrow_udf(T.ArrayType(NODE))
     def parse(url: pa.Array, html: pa.Array) -> pa.Array:
         out = []
         for base, page in zip(url.to_pylist(), html.to_pylist()):
