@@ -2,7 +2,7 @@
 
 The one place with per-row Python: an Arrow UDF tokenises each page with the standard
 library parser and returns the nodes its selectors name. Everything after that (clean-up,
-fallbacks, sorting) is Catalyst's. One page in, one array out: no shuffle.
+fallbacks, sorting) is Catalyst's. One page in, one row out: no shuffle.
 """
 
 from __future__ import annotations
@@ -19,19 +19,17 @@ from pyspark.sql import types as T
 # Typed here, not as DDL text: UDFs are made at import, before a session exists.
 NODE = (
     T.StructType()
-    .add("field", T.StringType())
     .add("pos", T.IntegerType())
     .add("blocks", T.ArrayType(T.IntegerType()))
     .add("text", T.StringType())
     .add("link", T.StringType())
     .add("attrs", T.MapType(T.StringType(), T.StringType()))
 )
-_ARROW = pa.list_(
+_ARROW_NODES = pa.list_(
     pa.struct(
         [
-            ("field", pa.string()), ("pos", pa.int32()), ("blocks", pa.list_(pa.int32())),
-            ("text", pa.string()), ("link", pa.string()),
-            ("attrs", pa.map_(pa.string(), pa.string())),
+            ("pos", pa.int32()), ("blocks", pa.list_(pa.int32())), ("text", pa.string()),
+            ("link", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
         ]
     )
 )
@@ -45,6 +43,7 @@ _CLOSES = {
     "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "p": {"p"},
 }
+_BLANKS = re.compile(r"[ \t\r\n\f]+")
 _PART = re.compile(
     r"(?P<tag>^[\w*-]+)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"
     r"|(?P<no>:not\()?\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)'(?P<val>[^']*)')?\]"
@@ -73,6 +72,22 @@ def compile_selector(text: str) -> list[list[list[tuple]]]:
     return chains
 
 
+def index_rules(rules: dict[str, str]) -> dict[tuple, list[tuple]]:
+    """Chains by one thing their element must have, so a tag only meets likely chains."""
+    index: dict[tuple, list[tuple]] = {}
+    for rank, (field, selector) in enumerate(rules.items()):
+        for chain in compile_selector(selector):
+            named = {kind: args[0] for kind, *args in reversed(chain[-1])}
+            key = next(
+                (kind, named[kind]) for kind in ("id", "class", "is", "has", "contains", "tag")
+                if kind in named
+            )
+            if key[0] in ("is", "has", "contains"):
+                key = ("attr", key[1])
+            index.setdefault(key, []).append((rank, field, chain))
+    return index
+
+
 def _passes(tests, tag, attrs) -> bool:
     for kind, *args in tests:
         if kind == "tag":
@@ -94,11 +109,19 @@ def _passes(tests, tag, attrs) -> bool:
 
 
 class _Marker(HTMLParser):
-    def __init__(self, rules, blocks):
+    def __init__(self, index, blocks):
         super().__init__(convert_charrefs=True)
-        self.rules, self.blocks = rules, blocks
+        self.index, self.blocks = index, blocks
         self.stack, self.nodes, self.count = [], [], 0
 
+    def _fields(self, tag, attrs):
+        """Fields whose selector the element satisfies, in rule order."""
+        keys = [("tag", tag), ("id", attrs.get("id")), *(("attr", a) for a in attrs)]
+        keys += [("class", c) for c in (attrs.get("class") or "").split()]
+        likely = [entry for key in keys for entry in self.index.get(key, ())]
+        hits = {(rank, field) for rank, field, chain in likely if self._match(chain, tag, attrs)}
+        return [field for _, field in sorted(hits)]
+
     def _match(self, chain, tag, attrs):
         if not _passes(chain[-1], tag, attrs):
             return False
@@ -118,11 +141,10 @@ class _Marker(HTMLParser):
         if tag in _LINES:
             self._text("\n")
         blocks = [at for *_, at in self.stack if at is not None]
-        made = []
-        for field, chains in self.rules:
-            if any(self._match(chain, tag, attrs) for chain in chains):
-                made.append({"field": field, "pos": self.count, "blocks": blocks,
-                             "text": [], "attrs": attrs})
+        made = [
+            {"field": field, "pos": self.count, "blocks": blocks, "text": [], "attrs": attrs}
+            for field in self._fields(tag, attrs)
+        ]
         self.nodes += made
         if tag not in _VOID:
             block = self.count if any(n["field"] in self.blocks for n in made) else None
@@ -152,10 +174,10 @@ class _Marker(HTMLParser):
         del self.stack[at:]
 
     def handle_data(self, data):
-        self._text(data)
-
-    def _text(self, data):
         inside = next((t for t, *_ in reversed(self.stack) if t in _SILENT), None)
+        self._text(data if inside else _BLANKS.sub(" ", data), inside)
+
+    def _text(self, data, inside=None):
         for tag, _, made, _ in self.stack:
             if made and (inside is None or tag == inside):
                 for node in made:
@@ -167,8 +189,8 @@ def rendered(pieces: list[str], raw: bool) -> str:
     whole = "".join(pieces)
     if raw:
         return whole
-    lines = (" ".join(line.split()) for line in whole.split("\n"))
-    return "\n".join(line for line in lines if line)
+    lines = (_BLANKS.sub(" ", line).strip(" ") for line in whole.split("\n"))
+    return "\n".join(line for line in lines if line).strip()
 
 
 def _link(base: str, attrs: dict[str, str]) -> str | None:
@@ -180,42 +202,43 @@ def _link(base: str, attrs: dict[str, str]) -> str | None:
 
 
 def marked_nodes(rules: dict[str, str], blocks: tuple[str, ...] = (), raw: tuple[str, ...] = ()):
-    """A UDF ``(url, html) -> array of nodes`` for named selectors, in document order.
+    """A UDF ``(url, html) -> struct`` with the nodes of each named selector, in document order.
 
     A node inside elements of ``blocks`` fields carries their positions, so nested values
     (cells of a row, fields of a review) can be told apart. ``link`` is the address of a
     link or image, resolved against the page.
     """
-    compiled = [(field, compile_selector(sel)) for field, sel in rules.items()]
+    index = index_rules(rules)
+    layout = T.StructType([T.StructField(field, T.ArrayType(NODE)) for field in rules])
+    arrow = pa.struct([(field, _ARROW_NODES) for field in rules])
 
-    @F.arrow_udf(T.ArrayType(NODE))
+    @F.arrow_udf(layout)
     def parse(url: pa.Array, html: pa.Array) -> pa.Array:
         out = []
         for base, page in zip(url.to_pylist(), html.to_pylist()):
-            marker = _Marker(compiled, blocks)
+            marker = _Marker(index, blocks)
             marker.feed(page or "")
             marker.close()
-            out.append(
-                [
-                    {**n, "text": rendered(n["text"], n["field"] in raw),
+            fields = {field: [] for field in rules}
+            for n in marker.nodes:
+                fields[n["field"]].append(
+                    {"pos": n["pos"], "blocks": n["blocks"],
+                     "text": rendered(n["text"], n["field"] in raw),
                      "link": _link(base or "", n["attrs"]), "attrs": list(n["attrs"].items())}
-                    for n in marker.nodes
-                ]
-            )
-        return pa.array(out, type=_ARROW)
+                )
+            out.append(fields)
+        return pa.array(out, type=arrow)
 
     return parse
 
 
 def inside(nodes: Column, block: Column, field: str) -> Column:
     """Nodes of a field within one block element."""
-    return F.filter(
-        nodes, lambda n: (n["field"] == field) & F.array_contains(n["blocks"], block["pos"])
-    )
+    return F.filter(nodes[field], lambda n: F.array_contains(n["blocks"], block["pos"]))
 
 
 def nodes_of(nodes: Column, field: str) -> Column:
-    return F.filter(nodes, lambda n: n["field"] == field)
+    return nodes[field]
 
 
 def texts(nodes: Column, field: str) -> Column:

@@ -13,9 +13,21 @@ from . import html
 ERRORS = ("error_type", "error_message")
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores when they sit in fewer, larger row groups than that.
+
+    Parsing is the cost here, not moving; a large input already has splits enough and
+    is left where it is.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def parsed(pages: DataFrame, parse) -> DataFrame:
     """Pages with their nodes and the first error: no required node, then a block marker."""
-    df = pages.select(*RUN_FIELDS, "url", parse("url", "html").alias("nodes"))
+    # Not deterministic to the optimizer: a filter on the results must not run it again.
+    nodes = parse.asNondeterministic()("url", "html")
+    df = spread(pages).select(*RUN_FIELDS, "url", nodes.alias("nodes"))
     n = F.col("nodes")
     marker = text.block_marker(html.first_text(n, "page_title"), html.first_text(n, "page_body"))
     df = df.withColumns({"marker": marker, "lost": F.size(html.nodes_of(n, "required")) == 0})
@@ -67,10 +79,17 @@ def records(extracted: DataFrame) -> DataFrame:
     return extracted.where(F.col("error_type").isNull()).drop("url", *ERRORS)
 
 
+def page_status() -> Column:
+    """What became of a page: a record, or blocked or failed without one."""
+    return (
+        F.when(F.col("error_type").isNull(), "record")
+        .when(F.col("error_type") == fixed.BLOCKED_ERROR, "blocked")
+        .otherwise("failed")
+    )
+
+
 def failed_pages(extracted: DataFrame) -> DataFrame:
     """Outcome rows of pages that gave no record; blocked ones apart from failed ones."""
-    blocked = F.col("error_type") == fixed.BLOCKED_ERROR
     return extracted.where(F.col("error_type").isNotNull()).select(
-        "run_id", "url", F.when(blocked, "blocked").otherwise("failed").alias("status"),
-        *ERRORS,
+        "run_id", "url", page_status().alias("status"), *ERRORS
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import jsonld, text, urls
 from . import html
-from .records import failing, finish, parsed
+from .records import failing, finish, parsed, spread
 
 _parse_listing = html.marked_nodes(
     {"category": fixed.STYLE_A_CATEGORY_LINK, "product": fixed.STYLE_A_LISTING_LINK}
@@ -20,18 +20,19 @@ _parse_listing = html.marked_nodes(
 
 def category_urls(start_pages: DataFrame) -> DataFrame:
     """Distinct category addresses of a site's start page (``site_id, url, html``)."""
-    nodes = start_pages.select("site_id", F.explode(_parse_listing("url", "html")).alias("n"))
-    return nodes.where("n.field = 'category' and n.link is not null").select(
+    found = _parse_listing("url", "html")["category"]
+    nodes = spread(start_pages).select("site_id", F.explode(found).alias("n"))
+    return nodes.where("n.link is not null").select(
         "site_id", urls.canonicalize_url(F.col("n.link")).alias("category")
     ).distinct()
 
 
 def listing_links(pages: DataFrame, parse: Callable = _parse_listing) -> DataFrame:
     """Product links of listing pages (``site_id, category, page_no, url, html``)."""
-    nodes = pages.select(
-        "site_id", "category", "page_no", F.explode(parse("url", "html")).alias("n")
+    nodes = spread(pages).select(
+        "site_id", "category", "page_no", F.explode(parse("url", "html")["product"]).alias("n")
     )
-    return nodes.where("n.field = 'product' and n.link is not null").select(
+    return nodes.where("n.link is not null").select(
         "site_id", "category", "page_no", urls.canonicalize_url(F.col("n.link")).alias("product")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text
 from . import html
-from .records import failing, finish, parsed
+from .records import failing, finish, parsed, spread
 from .style_a import image_entries
 
 _ROWS = ("row_1", "row_2", "row_3")
@@ -26,8 +26,8 @@ def listing_links(pages: DataFrame) -> DataFrame:
     limit = F.lit(fixed.LISTING_PAGE_LIMIT)
     if "page_limit" in pages.columns:
         limit = F.coalesce("page_limit", limit)
-    nodes = pages.where(F.col("page_no") <= limit).select(
-        "site_id", "category", "page_no", F.explode(_parse_listing("url", "html")).alias("n")
+    nodes = spread(pages.where(F.col("page_no") <= limit)).select(
+        "site_id", "category", "page_no", F.explode(_parse_listing("url", "html")["item"]).alias("n")
     )
     code = F.col("n.attrs")[fixed.STYLE_B_CODE_ATTRIBUTE]
     return nodes.where(text.is_code(code)).select(
