@@ -39,10 +39,13 @@ _LINES = set(
     "address article aside blockquote br div dd dl dt fieldset footer form h1 h2 h3 h4 h5 h6 "
     "header hr li main nav ol p pre section table tr ul".split()
 )
-_CLOSES = {
-    "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "p": {"p"},
+# Start tags that end an open element: which, and where to stop looking for it.
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "table"}), "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
 }
+_ENDS |= {tag: ({"p"}, {"td", "th", "table", "button"}) for tag in _LINES - {"li", "tr", "dd", "dt", "br"}}
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
 _PART = re.compile(
     r"(?P<tag>^[\w*-]+)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"
@@ -135,9 +138,7 @@ class _Marker(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in reversed(attrs)}
-        closes = _CLOSES.get(tag)
-        if closes and self.stack and self.stack[-1][0] in closes:
-            self._pop(self._reach(tag, closes))
+        self._end_before(tag)
         if tag in _LINES:
             self._text("\n")
         blocks = [at for *_, at in self.stack if at is not None]
@@ -151,11 +152,15 @@ class _Marker(HTMLParser):
             self.stack.append((tag, attrs, made, block))
         self.count += 1
 
-    def _reach(self, tag, closes):
-        at = len(self.stack) - 1
-        while at > 0 and self.stack[at - 1][0] in closes and self.stack[at][0] != tag:
-            at -= 1
-        return at
+    def _end_before(self, tag):
+        ended, stops = _ENDS.get(tag, ((), ()))
+        if ended:
+            for at in range(len(self.stack) - 1, -1, -1):
+                if self.stack[at][0] in ended:
+                    del self.stack[at:]
+                    return
+                if self.stack[at][0] in stops:
+                    return
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -165,14 +170,11 @@ class _Marker(HTMLParser):
     def handle_endtag(self, tag):
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
-                self._pop(at)
+                del self.stack[at:]
                 break
         if tag in _LINES:
             self._text("\n")
 
-    def _pop(self, at):
-        del self.stack[at:]
-
     def handle_data(self, data):
         inside = next((t for t, *_ in reversed(self.stack) if t in _SILENT), None)
         self._text(data if inside else _BLANKS.sub(" ", data), inside)
