@@ -62,7 +62,9 @@ def sightings(observations: DataFrame, runs: DataFrame) -> DataFrame:
         "site_full_rank", "site_full_ts",
     )
     observed = changes.incoming(observations).drop("run_ts")
-    steps = lookup(observed, axis, ["site_id", "run_id"], "inner", spread=["canonical_url"])
+    steps = lookup(
+        observed, axis, ["site_id", "run_id"], "inner", ["canonical_url"], sized_by=runs
+    )
     w = Window.partitionBy(*KEY).orderBy("run_no")
     before = F.struct("content_hash", "current_price", "availability", "ages_no", "run_no")
     aged = F.col("prev.ages_no") < F.col("run_no")
@@ -117,7 +119,9 @@ def missing_spells(seen: DataFrame, runs: DataFrame) -> DataFrame:
         "site_id", F.col("run_no").alias("next_no"),
         (F.col("full_rank") - F.col("full").cast("int")).alias("rank_before_next"),
     )
-    ended = lookup(seen, ranks, ["site_id", "next_no"], "left", spread=["canonical_url"])
+    ended = lookup(
+        seen, ranks, ["site_id", "next_no"], "left", ["canonical_url"], sized_by=runs
+    )
     misses = F.coalesce("rank_before_next", "site_full_rank") - F.col("full_rank")
     in_time = F.col("next_no").isNull() | (F.col("ages_no") < F.col("next_no"))
     return ended.withColumn("missed_runs", misses).where("missed_runs > 0").select(

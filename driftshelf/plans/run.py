@@ -87,6 +87,7 @@ def run_batch(
     lost executor re-reads files instead of recomputing, and a version that was already
     published is left alone.
     """
+    tables.refresh()
     if tables.is_published(version):
         return tables.written("runs", version)
     batch = [(r.site_id, r.run_id) for r in runs.select("site_id", "run_id").toLocalIterator()]
@@ -94,10 +95,13 @@ def run_batch(
     if len(set(site_ids)) != len(site_ids):
         raise ValueError("a batch takes at most one run per site")
 
+    mine = sites.where(F.col("site_id").isin(site_ids))
+    names = adapters.styles_of(mine)
     discovered = None
     if listing is not None:
-        seeds = adapters.configured_seeds(sites.where(F.col("site_id").isin(site_ids)))
-        discovered = adapters.discover(adapters.with_adapter(listing, sites), max_products, seeds)
+        discovered = adapters.discover(
+            adapters.with_adapter(listing, mine), max_products, adapters.configured_seeds(mine), names
+        )
     elif observations is not None or pages is not None:
         source = observations if observations is not None else pages
         discovered = source.select("site_id", F.col("url").alias("product")).distinct()
@@ -106,9 +110,7 @@ def run_batch(
     claimed = items.where(F.col("status") == "processing").select("run_id", "url", "item_seq")
 
     if observations is None:
-        extracted = adapters.extract(
-            adapters.with_adapter(pages, sites).drop("page_limit")
-        )
+        extracted = adapters.extract(adapters.with_adapter(pages, mine).drop("page_limit"), names)
     else:
         none = F.lit(None).cast("string")
         extracted = observations.withColumns({"error_type": none, "error_message": none})

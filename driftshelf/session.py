@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -33,14 +31,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on in a session made elsewhere.
 
-    The checkpoint folder is the cluster's (``spark.checkpoint.dir``); only a
-    session without one, as in tests, gets a folder of its own.
+    Only session settings: where to keep tables, and how large the cluster is, is the
+    caller's. Nothing here checkpoints; jobs cut lineage by writing a table and reading it.
     """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-    elif spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftshelf-"))
     return spark

@@ -41,6 +41,11 @@ class CatalogTables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._known: dict[tuple, list] = {}
+
+    def refresh(self) -> None:
+        """Forget which versions were newest; a batch looks once, at its start."""
+        self._known.clear()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -75,11 +80,14 @@ class CatalogTables:
 
     def _newest(self, key: str, only: list[int] | None) -> list:
         """Newest version per site or run: one small row each reaches the driver."""
-        log = self.publications()
-        if only is not None:
-            log = log.where(F.col(key).isin(only))
-        best = log.groupBy(key).agg(F.max_by("version", "published_no").alias("version"))
-        return [(row[key], row.version) for row in best.toLocalIterator()]
+        asked = (key, None if only is None else tuple(only))
+        if asked not in self._known:
+            log = self.publications()
+            if only is not None:
+                log = log.where(F.col(key).isin(only))
+            best = log.groupBy(key).agg(F.max_by("version", "published_no").alias("version"))
+            self._known[asked] = [(row[key], row.version) for row in best.toLocalIterator()]
+        return self._known[asked]
 
     def _current(self, table: str, key: str, only: list[int] | None) -> DataFrame:
         newest = self._newest(key, only)
@@ -134,3 +142,4 @@ class CatalogTables:
             .write.mode("append")
             .json(self.path("_published"))
         )
+        self.refresh()

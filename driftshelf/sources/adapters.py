@@ -63,19 +63,32 @@ def unsupported(sites: DataFrame) -> DataFrame:
     return sites.where(~F.col("adapter").isin(*STYLES))
 
 
-def dispatch(pages: DataFrame, run: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
-    """Run each style over its own pages (``adapter`` column) and unite the results."""
+def styles_of(sites: DataFrame) -> list[str]:
+    """Style names the sites use; an unregistered one is an error."""
+    names = sorted(r.adapter for r in sites.select("adapter").distinct().toLocalIterator())
+    return [name for name in names if style(name)]
+
+
+def dispatch(
+    pages: DataFrame, run: Callable[[str, DataFrame], DataFrame], names: list[str] | None = None
+) -> DataFrame:
+    """Run each style (all, or those named) over its own pages, by the ``adapter`` column,
+    and unite the results."""
     parts = [
-        run(name, pages.where(F.col("adapter") == name).drop("adapter")) for name in STYLES
+        run(name, pages.where(F.col("adapter") == name).drop("adapter"))
+        for name in names or STYLES
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    return dispatch(pages, lambda name, mine: style(name).extract(mine))
+def extract(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
+    return dispatch(pages, lambda name, mine: style(name).extract(mine), names)
 
 
-def discover(pages: DataFrame, limit: int | None, seeds: DataFrame | None = None) -> DataFrame:
+def discover(
+    pages: DataFrame, limit: int | None, seeds: DataFrame | None = None,
+    names: list[str] | None = None,
+) -> DataFrame:
     """Products to visit per site, from listing pages (``adapter, site_id, category,
     page_no, url, html``, optional ``page_limit``) and configured seeds (``adapter,
     site_id, value``), which only some styles have."""
@@ -86,4 +99,4 @@ def discover(pages: DataFrame, limit: int | None, seeds: DataFrame | None = None
             extra = one.seeds(seeds.where(F.col("adapter") == name))
         return discovery.discover(one.listing_links(mine), limit, extra)
 
-    return dispatch(pages, run)
+    return dispatch(pages, run, names)

@@ -9,20 +9,11 @@ from .. import fixed
 from ..functions import text
 from ..schemas import RECORD_FIELDS, RUN_FIELDS
 from . import html
+from .tables import spread
 
 ERRORS = ("error_type", "error_message")
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Pages over all cores when they sit in fewer, larger row groups than that.
-
-    Parsing is the cost here, not moving; a large input already has splits enough and
-    is left where it is.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
-
-
 def parsed(pages: DataFrame, parse) -> DataFrame:
     """Pages with their nodes and the first error: no required node, then a block marker."""
     # Not deterministic to the optimizer: a filter on the results must not run it again.

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import jsonld, text, urls
 from . import html
-from .records import failing, finish, parsed, spread
+from .records import failing, finish, parsed
+from .tables import spread
 
 _parse_listing = html.marked_nodes(
     {"category": fixed.STYLE_A_CATEGORY_LINK, "product": fixed.STYLE_A_LISTING_LINK}

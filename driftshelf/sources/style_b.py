@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text
 from . import html
-from .records import failing, finish, parsed, spread
+from .records import failing, finish, parsed
 from .style_a import image_entries
+from .tables import spread
 
 _ROWS = ("row_1", "row_2", "row_3")
 _parse = html.marked_nodes(

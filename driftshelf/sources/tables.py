@@ -12,6 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than that.
+
+    For pages in a few large row groups: parsing one costs far more than moving it. An
+    input with splits enough is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def observations(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
     """Product observations kept as files; nested lists follow the record layout."""
     return spark.read.schema(schemas.ddl(schemas.OBSERVATIONS)).format(file_format).load(path)
