@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PAGE_BLOCK = 1000
+
+
 def first_pages(links: DataFrame) -> DataFrame:
     """Each distinct product of a site with the first page it is on.
 
@@ -25,30 +28,38 @@ def first_pages(links: DataFrame) -> DataFrame:
 def cut_pages(firsts: DataFrame, limit: int) -> DataFrame:
     """Per site, the page at which ``limit`` distinct products are reached, if any.
 
-    Two levels: a running sum over category totals finds the category of the cut, then
-    only that category's pages are summed. No task orders a site's pages whole.
+    Level by level: category totals give the category of the cut, then its blocks of pages
+    are summed, then the pages of one block. Each level orders what is inside the cut
+    found so far, so no task orders all pages of a site or of a category.
     """
-    per_page = firsts.groupBy("site_id", "category", "page_no").agg(F.count("*").alias("added"))
-    per_category = per_page.groupBy("site_id", "category").agg(F.sum("added").alias("added"))
-    over = Window.partitionBy("site_id").orderBy("category")
-    running = F.sum("added").over(over.rowsBetween(Window.unboundedPreceding, 0))
-    cut_category = (
-        per_category.withColumn("total", running)
-        .where((F.col("total") >= limit) & (F.col("total") - F.col("added") < limit))
-        .select("site_id", "category", (F.col("total") - F.col("added")).alias("before"))
-    )
-    inside = Window.partitionBy("site_id", "category").orderBy("page_no")
-    in_category = F.sum("added").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        per_page.join(cut_category, ["site_id", "category"])
-        .withColumn("total", in_category + F.col("before"))
-        .where((F.col("total") >= limit) & (F.col("total") - F.col("added") < limit))
-        .select("site_id", F.col("category").alias("cut_category"), F.col("page_no").alias("cut_page"))
+    pages = firsts.groupBy("site_id", "category", "page_no").agg(
+        F.count("*").alias("added")
+    ).withColumn("block", F.floor(F.col("page_no") / PAGE_BLOCK))
+    inside = ["site_id"]
+    cut = None
+    for level in ("category", "block", "page_no"):
+        totals = pages.groupBy(*inside, level).agg(F.sum("added").alias("added"))
+        if cut is None:
+            totals = totals.withColumn("before", F.lit(0))
+        else:
+            totals = totals.join(cut, inside)
+        w = Window.partitionBy(*inside).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
+        inside.append(level)
+        cut = (
+            totals.withColumn("reached", F.sum("added").over(w) + F.col("before"))
+            .where((F.col("reached") >= limit) & (F.col("reached") - F.col("added") < limit))
+            .select(*inside, (F.col("reached") - F.col("added")).alias("before"))
+        )
+    return cut.select(
+        "site_id", F.col("category").alias("cut_category"), F.col("page_no").alias("cut_page")
     )
 
 
 def lowest(products: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` products of each site in order; cut before the exchange."""
+    """The first ``limit`` products of each site in order.
+
+    After the cut a site holds fewer than ``limit`` products beside those of one page.
+    """
     w = Window.partitionBy("site_id").orderBy("product")
     return (
         products.withColumn("_rank", F.row_number().over(w))

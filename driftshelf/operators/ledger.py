@@ -129,10 +129,6 @@ def unfinished(runs: DataFrame) -> DataFrame:
     return runs.where(~F.col("status").isin(*fixed.SKIP_STATUSES))
 
 
-def needs_discovery(runs: DataFrame) -> DataFrame:
-    return runs.where(~F.coalesce("discovery_complete", F.lit(False)))
-
-
 def requeue(items: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     """On resume, failed and blocked items of completed_with_errors runs become pending."""
     partial = runs.where(F.col("status") == "completed_with_errors").select(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import discovery, ledger, quality, reports
-from ..operators.keyed import lookup, upsert
+from ..operators.keyed import lookup
+from ..operators.sites import upsert_sites
 from ..plans import views
 from ..sources import tables
 from ..sources.tables import table
@@ -207,18 +208,14 @@ def site_upsert(spark: SparkSession, d: str) -> DataFrame:
     sites = views.nation_sites(spark, d)
     seed = sites.select(
         F.col("code"), F.concat("name", F.lit("!")).alias("name"), "base_url", "adapter",
-        F.lit('{"delay":2}').alias("settings"), F.lit(True).alias("enabled"),
+        F.lit('{"delay":2}').alias("settings"), F.lit(0).cast("bigint").alias("site_id"),
     ).where("adapter <> 'asia'")
     extra = table(spark, d, "region").select(
         F.lower("r_name").alias("code"), F.col("r_name").alias("name"),
         F.lit("https://r.example").alias("base_url"), F.lit("none").alias("adapter"),
-        F.lit("{}").alias("settings"), F.lit(True).alias("enabled"),
-    )
-    refreshed = {c: F.col(f"new.{c}") for c in ("name", "base_url", "adapter", "settings")}
-    merged = upsert(
-        sites, seed.unionByName(extra), ["code"], {**refreshed, "updated_at": _now()},
-        {"created_at": _now(), "updated_at": _now(), "site_id": F.lit(-1)},
+        F.lit("{}").alias("settings"), (F.col("r_regionkey") + 100).cast("bigint").alias("site_id"),
     )
+    merged = upsert_sites(sites, seed.unionByName(extra), _now())
     return merged.select(
         "code", "site_id", "name", "base_url", "adapter", "enabled", "settings",
         _stamp("created_at"), _stamp("updated_at"),
@@ -510,7 +507,7 @@ SELECT lower(n_name) AS code, CAST(n_nationkey AS BIGINT) AS site_id,
        CASE WHEN r_name <> 'ASIA' THEN '{_T}' ELSE '2024-01-01 00:00:00' END AS updated_at
 FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL
-SELECT lower(r_name), -1, r_name, 'https://r.example', 'none', TRUE, '{{}}', '{_T}', '{_T}' FROM region""",
+SELECT lower(r_name), CAST(r_regionkey + 100 AS BIGINT), r_name, 'https://r.example', 'none', TRUE, '{{}}', '{_T}', '{_T}' FROM region""",
     "export_rows": f"""
 WITH {_RUNS}
 SELECT CAST(p_size % 5 AS BIGINT) AS site_id, 'https://shop.example/dp/P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS canonical_url,

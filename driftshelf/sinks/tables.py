@@ -8,8 +8,6 @@ a batch that was published is not folded in twice, and untouched sites keep thei
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -91,8 +89,8 @@ class CatalogTables:
 
     def _current(self, table: str, key: str, only: list[int] | None) -> DataFrame:
         newest = self._newest(key, only)
-        pairs = [(F.col(key) == k) & (F.col("version") == v) for k, v in newest]
-        keep = reduce(lambda a, b: a | b, pairs, F.lit(False))
+        held = F.concat_ws("@", F.col(key).cast("string"), "version")
+        keep = held.isin([f"{k}@{v}" for k, v in newest])
         return self._read(table, sorted({v for _, v in newest}), keep)
 
     def state(self, table: str, sites: list[int] | None = None) -> DataFrame:
