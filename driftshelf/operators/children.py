@@ -46,15 +46,18 @@ def _stamped(df: DataFrame, layout: dict[str, str]) -> DataFrame:
 
 def image_rows(listed: DataFrame) -> DataFrame:
     """Incoming images; the list position is the display order, the last duplicate wins."""
-    rows = listed.select(
-        *KEY, "seen_at", "pos",
-        F.col("entry.url").alias("image_url"),
-        F.col("entry.high_resolution_url").alias("high_resolution_url"),
-        _filled(F.col("entry.type"), fixed.DEFAULT_IMAGE_TYPE).alias("image_type"),
-        F.col("pos").alias("display_order"),
-        hashing.image_hash(F.col("entry")).alias("content_hash"),
+    rows = listed.withColumn("image_url", F.col("entry.url"))
+    kept = last_wins(rows, IMAGE_KEY, ["pos"])
+    return _stamped(
+        kept.select(
+            *KEY, "seen_at", "image_url",
+            F.col("entry.high_resolution_url").alias("high_resolution_url"),
+            _filled(F.col("entry.type"), fixed.DEFAULT_IMAGE_TYPE).alias("image_type"),
+            F.col("pos").alias("display_order"),
+            hashing.image_hash(F.col("entry")).alias("content_hash"),
+        ),
+        IMAGES,
     )
-    return _stamped(last_wins(rows, IMAGE_KEY, ["pos"]), IMAGES)
 
 
 def specification_rows(listed: DataFrame) -> DataFrame:

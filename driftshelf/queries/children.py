@@ -25,26 +25,32 @@ def _str(name: str) -> Column:
 
 
 def _supplier_links(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as links on a supplier's page to their parts."""
-    line = table(spark, d, "lineitem")
-    price = F.concat(F.lit(" $"), F.format_number("l_extendedprice", 2))
-    return line.select(
-        "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag",
-        views.part_code(F.col("l_suppkey")).alias("own_code"),
-        views.part_code(F.col("l_partkey")).alias("code"),
-        F.concat(F.lit("Part "), _str("l_partkey"), price).alias("shown"),
+    """Line items as links on a supplier's page to their parts; codes follow from the keys,
+    so they are written out only for the rows that stay."""
+    return table(spark, d, "lineitem").select(
+        "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"
     )
 
 
+def _code() -> Column:
+    return views.part_code(F.col("l_partkey"))
+
+
+def _shown() -> Column:
+    price = F.concat(F.lit(" $"), F.format_number("l_extendedprice", 2))
+    return F.concat(F.lit("Part "), _str("l_partkey"), price)
+
+
 _ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"]
 
 
 def relations_topk(spark: SparkSession, d: str) -> DataFrame:
     """Related parts of a supplier's page: first link per part, the first 30 by code."""
-    links = _supplier_links(spark, d).where("code <> own_code and shown <> ''")
-    firsts = children.first_per_id(links, ["l_suppkey"], "code", _ORDER)
-    kept = children.top_per_owner(firsts, ["l_suppkey"], ["code"], fixed.RELATED_LIMIT)
-    return kept.select(
+    links = _supplier_links(spark, d).where("l_partkey <> l_suppkey")
+    firsts = children.first_per_id(links, ["l_suppkey"], "l_partkey", _ORDER)
+    coded = firsts.withColumn("code", _code())
+    kept = children.top_per_owner(coded, ["l_suppkey"], ["code"], fixed.RELATED_LIMIT)
+    return kept.withColumn("shown", _shown()).select(
         "l_suppkey", F.col("rank").cast("bigint").alias("rank"), "code",
         text.truncate(F.col("shown"), fixed.NAME_LIMIT).alias("name"),
         text.price(F.col("shown")).cast("double").alias("price"),
@@ -54,12 +60,13 @@ def relations_topk(spark: SparkSession, d: str) -> DataFrame:
 def variants_topk(spark: SparkSession, d: str) -> DataFrame:
     """Options of a supplier's page: title, else text, else code as label; first 50."""
     title = F.when(F.col("l_returnflag") == "A", F.concat(F.lit(" Size "), _str("l_linenumber")))
-    shown = F.when(F.col("l_returnflag") == "N", F.col("shown"))
-    label = text.strip(text.first_filled(title, shown, F.col("code")))
-    options = _supplier_links(spark, d).withColumn("label", label)
-    options = options.where("not (code = own_code and label = code)")
-    firsts = children.first_per_id(options, ["l_suppkey"], "code", _ORDER)
-    kept = children.top_per_owner(firsts, ["l_suppkey"], ["code", "label"], fixed.VARIANT_LIMIT)
+    shown = F.when(F.col("l_returnflag") == "N", _shown())
+    label = text.strip(text.first_filled(title, shown, _code()))
+    only_code = "l_partkey = l_suppkey and l_returnflag not in ('A', 'N')"
+    options = _supplier_links(spark, d).where(f"not ({only_code})")
+    firsts = children.first_per_id(options, ["l_suppkey"], "l_partkey", _ORDER)
+    labelled = firsts.select("l_suppkey", _code().alias("code"), label.alias("label"))
+    kept = children.top_per_owner(labelled, ["l_suppkey"], ["code", "label"], fixed.VARIANT_LIMIT)
     return kept.select(
         "l_suppkey", F.col("rank").cast("bigint").alias("rank"), "code",
         text.truncate(F.col("label"), fixed.NAME_LIMIT).alias("value"),
