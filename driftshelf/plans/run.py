@@ -42,6 +42,20 @@ def record_checks() -> list:
     ]
 
 
+def with_options(runs: DataFrame) -> DataFrame:
+    """Run columns from the run's JSON options: a product limit makes a run limited (0 and
+    absent mean none), and the missing threshold defaults."""
+    options = F.try_parse_json("options")
+    limit = F.coalesce(F.try_variant_get(options, "$.max_products", "bigint"), F.lit(0))
+    threshold = F.try_variant_get(options, "$.missing_threshold", "int")
+    return runs.withColumns(
+        {
+            "limited": limit > 0,
+            "missing_threshold": F.coalesce(threshold, F.lit(fixed.DEFAULT_MISSING_THRESHOLD)),
+        }
+    )
+
+
 def plan_items(
     tables: CatalogTables, version: str, runs: DataFrame, run_ids: list[int],
     discovered: DataFrame | None,
@@ -81,8 +95,11 @@ def run_batch(
 ) -> DataFrame:
     """Fold one run per site into the published tables; returns the run rows.
 
-    ``runs``: run layout plus ``status``; ``listing``: saved listing pages; ``pages``:
-    saved product pages of the runs; or ``observations`` made elsewhere (with ``url``).
+    ``runs``: ``run_id, site_id, run_ts, run_type, status`` and ``limited,
+    missing_threshold`` or the JSON ``options`` they follow from. Completed and cancelled
+    runs are left alone; one completed with errors is resumed. ``listing``: saved listing
+    pages; ``pages``: saved product pages of the runs; or ``observations`` made elsewhere
+    (with ``url``). A run with ``max_products`` ages nothing out.
     Stages that feed several outputs are written under the version and read back, so a
     lost executor re-reads files instead of recomputing, and a version that was already
     published is left alone.
@@ -90,7 +107,13 @@ def run_batch(
     tables.refresh()
     if tables.is_published(version):
         return tables.written("runs", version)
+    given = [r.run_id for r in runs.select("run_id").toLocalIterator()]
+    if "options" in runs.columns:
+        runs = with_options(runs)
+    runs = ledger.resumable(runs).withColumn("limited", F.col("limited") | F.lit(bool(max_products)))
     batch = [(r.site_id, r.run_id) for r in runs.select("site_id", "run_id").toLocalIterator()]
+    if not batch:
+        return tables.of_runs("runs", given)
     site_ids, run_ids = [s for s, _ in batch], [r for _, r in batch]
     if len(set(site_ids)) != len(site_ids):
         raise ValueError("a batch takes at most one run per site")

@@ -8,11 +8,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from driftshelf.plans.run import export_run, run_batch
+from driftshelf.plans.run import export_run, run_batch, with_options
 from driftshelf.schemas import ddl, SITES
 from driftshelf.sinks.export import export
 from driftshelf.sinks.tables import CatalogTables
 from driftshelf.sources import adapters, style_a, style_b
+from driftshelf.sources.tables import observations, site, site_urls
 
 A, B = 1, 2
 BASE = "https://shop.example"
@@ -165,6 +166,8 @@ def test_runs_end_to_end(spark, tmp_path):
 
     again = fold("v1", 1, [])
     assert (again.status, tables.state("products").count()) == ("completed_with_errors", 2)
+    over = fold("v1a", 1, [], status="completed")
+    assert over.summary == one.summary and not tables.is_published("v1a")
 
     resumed = fold("v1b", 1, [(3, shop_page("c", "30.00")), (4, "<p>no</p>"), (5, shop_page("e", "50.00"))],
                    status="completed_with_errors")
@@ -205,6 +208,30 @@ def test_runs_end_to_end(spark, tmp_path):
         export(rows, "xlsx", str(tmp_path / "x"))
 
 
+def test_options_say_whether_a_run_is_limited(spark):
+    runs = spark.createDataFrame(
+        [(1, '{"max_products":3}'), (2, '{"max_products":0,"missing_threshold":5}'), (3, "{}")],
+        "run_id long, options string")
+    rows = with_options(runs).orderBy("run_id").collect()
+    assert [(r.limited, r.missing_threshold) for r in rows] == [(True, 2), (False, 5), (False, 2)]
+
+
+def test_observations_made_elsewhere(spark, tmp_path):
+    """Observation files are folded without pages; the files follow the record layout."""
+    line = {"site_id": A, "run_id": 1, "run_ts": "2024-01-01T00:00:00Z", "canonical_url": f"{BASE}/p/1",
+            "title": "t", "current_price": "5.00", "images": [{"url": "i"}], "relations": [{"type": "odd", "name": "n"}]}
+    (tmp_path / "obs.json").write_text("\n".join(json.dumps(x) for x in (
+        line, {**line, "canonical_url": f"{BASE}/p/2", "relations": []})))
+    found = observations(spark, str(tmp_path / "obs.json")).withColumn("url", F.col("canonical_url"))
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    row = run_batch(tables, "v1", sites(spark), runs_of(spark, [(1, A, "pending", False)]), observations=found).first()
+    assert (row.products_new, row.errors) == (1, 1)
+    bad = tables.of_runs("run_items", [1]).where("status = 'failed'").first()
+    assert (bad.error_type, bad.error_message) == ("constraint", "relation_type_domain")
+    assert site_urls(tables.state("products"), A).first().canonical_url == f"{BASE}/p/2"
+    assert site(sites(spark), "shop").count() == 1 and site(sites(spark), "none").count() == 0
+
+
 def test_two_sites_in_one_batch_and_untouched_files(spark, tmp_path):
     tables = CatalogTables(spark, str(tmp_path / "catalog"))
     a = [(A, 1, datetime(2024, 1, 1), 0, f"{BASE}/p/{n}", shop_page("a", "1.00")) for n in (1, 2)]
