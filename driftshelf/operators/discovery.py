@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keyed import lookup
+
 
 PAGE_BLOCK = 1000
 
@@ -82,13 +84,14 @@ def discover(
         found = firsts.select("site_id", "product")
         return found if seeds is None else found.unionByName(seeds).distinct()
     cuts = cut_pages(firsts, limit)
-    reached = firsts.join(cuts, "site_id", "left").where(
+    reached = lookup(firsts, cuts, ["site_id"], "left", ["product"], counted=False).where(
         F.col("cut_category").isNull()
         | (F.struct("category", "page_no") <= F.struct("cut_category", "cut_page"))
     )
     found = reached.select("site_id", "product")
     if seeds is not None:
-        extra = seeds.join(cuts, "site_id", "left_anti").select("site_id", "product")
+        extra = lookup(seeds, cuts, ["site_id"], "left_anti", ["product"], counted=False)
+        extra = extra.select("site_id", "product")
         found = found.unionByName(extra).distinct()
     return lowest(found, limit)
 

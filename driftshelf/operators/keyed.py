@@ -98,16 +98,19 @@ def lookup(
     spread: list[str] | None = None,
     rows: int = BROADCAST_ROWS,
     sized_by: DataFrame | None = None,
+    counted: bool = True,
 ) -> DataFrame:
     """Join facts to a narrow side with one row per key, whatever the key skew.
 
-    ``sized_by`` may name a frame with as many rows that is cheaper to count.
+    ``sized_by`` may name a frame with as many rows that is cheaper to count. A side too
+    dear to compute twice is not ``counted``: it is salted, and Spark broadcasts the
+    copies if they turn out small at run time.
 
     A counted-small side is broadcast and the facts stay where they are. A larger one is
     joined on key plus salt: facts take a salt from their own ``spread`` columns, the
     side is copied once per salt, so a key with a third of all facts uses ``SALTS`` tasks.
     """
-    if fits_broadcast(dim if sized_by is None else sized_by, rows):
+    if counted and fits_broadcast(dim if sized_by is None else sized_by, rows):
         return facts.join(F.broadcast(dim), on, how)
     spread = spread or [c for c in facts.columns if c not in on]
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))

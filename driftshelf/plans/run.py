@@ -68,7 +68,7 @@ def plan_items(
     if discovered is not None:
         fresh_runs = runs.join(stored.select("run_id").distinct(), "run_id", "left_anti")
         urls = (
-            discovered.join(fresh_runs.select("site_id", "run_id"), "site_id")
+            lookup(discovered, fresh_runs.select("site_id", "run_id"), ["site_id"], "inner", ["product"])
             .orderBy("site_id", "product")
             .select(
                 "run_id", F.col("product").alias("url"),
@@ -118,6 +118,7 @@ def run_batch(
     if len(set(site_ids)) != len(site_ids):
         raise ValueError("a batch takes at most one run per site")
 
+    tables.sites_in_batch = len(site_ids)
     mine = sites.where(F.col("site_id").isin(site_ids))
     names = adapters.styles_of(mine)
     discovered = None

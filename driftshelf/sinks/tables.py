@@ -39,6 +39,7 @@ class CatalogTables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.sites_in_batch = 1
         self._known: dict[tuple, list] = {}
 
     def refresh(self) -> None:
@@ -114,7 +115,13 @@ class CatalogTables:
         return self._read(table, [version], F.col("version") == version, extra)
 
     def write(self, table: str, df: DataFrame, version: str) -> None:
-        """Write one table of a version; a retry of the same version replaces it."""
+        """Write one table of a version; a retry of the same version replaces it.
+
+        Rows of several sites are rebalanced by site first, so that not every task writes
+        a file per site; a large site is split again at run time.
+        """
+        if self.sites_in_batch > 1:
+            df = df.hint("rebalance", "site_id")
         (
             df.write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
