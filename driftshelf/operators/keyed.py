@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
@@ -86,8 +87,10 @@ def upsert(
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a narrow lookup side has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a lookup side is small in rows and in bytes; looks no further than ``rows``."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
 
 
 def lookup(

@@ -67,6 +67,15 @@ def replay_final_state(spark: SparkSession, d: str) -> DataFrame:
     return state.select(*_shown(state))
 
 
+def missing_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products known to a site that its last run did not see."""
+    seen, last = _seen(spark, d), F.max("run_no").over(Window.partitionBy("site_id"))
+    ends = views.event_runs(spark, d).withColumn("l", last).where("run_no = l").select("run_id")
+    present = lookup(seen, ends, ["run_id"], "left_semi", ["canonical_url"]).select(*KEY)
+    known = replay.final_state(seen)
+    return changes.missing_products(known, present).select(*KEY, "availability")
+
+
 def _last_step(spark: SparkSession, d: str) -> DataFrame:
     """The last run of each site as a batch against the state of all runs before it."""
     runs = views.event_runs(spark, d)
@@ -125,6 +134,7 @@ QUERIES = {
     "availability_history": availability_history,
     "missing_aging": missing_aging,
     "unavailable_by_run": unavailable_by_run,
+    "missing_products": missing_products,
     "state_after_run": state_after_run,
     "replay_final_state": replay_final_state,
     "batch_equals_replay": batch_equals_replay,
@@ -240,6 +250,10 @@ stock AS (
 SELECT r.site_id, r.run_id, r.run_no,
        CAST(CASE WHEN r.limited THEN 0 ELSE coalesce(s.n, 0) END AS BIGINT) AS unavailable
 FROM runs r LEFT JOIN stock s USING (site_id, run_no)""",
+    "missing_products": f"""
+WITH {_GRID}
+SELECT site_id, canonical_url, status AS availability FROM full_state
+QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY run_no DESC) = 1 AND NOT seen""",
     "replay_final_state": f"WITH {_GRID},\n{_STATE}\nSELECT * FROM state",
     "state_after_run": f"""
 WITH {_GRID},

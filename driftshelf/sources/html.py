@@ -35,6 +35,7 @@ _ARROW_NODES = pa.list_(
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = {"script", "style", "noscript", "template"}
+_HEAD = _SILENT | {"html", "head", "title", "meta", "link", "base"}
 _LINES = set(
     "address article aside blockquote br div dd dl dt fieldset footer form h1 h2 h3 h4 h5 h6 "
     "header hr li main nav ol p pre section table tr ul".split()
@@ -116,6 +117,7 @@ class _Marker(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.index, self.blocks = index, blocks
         self.stack, self.nodes, self.count = [], [], 0
+        self.in_body = False
 
     def _fields(self, tag, attrs):
         """Fields whose selector the element satisfies, in rule order."""
@@ -138,6 +140,8 @@ class _Marker(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in reversed(attrs)}
+        if not self.in_body and tag not in _HEAD:
+            self._begin_body(tag)
         self._end_before(tag)
         if tag in _LINES:
             self._text("\n")
@@ -152,6 +156,12 @@ class _Marker(HTMLParser):
             self.stack.append((tag, attrs, made, block))
         self.count += 1
 
+    def _begin_body(self, tag=None):
+        """Content begins the body, tag or not."""
+        self.in_body = True
+        if tag != "body":
+            self.handle_starttag("body", [])
+
     def _end_before(self, tag):
         ended, stops = _ENDS.get(tag, ((), ()))
         if ended:
@@ -176,6 +186,8 @@ class _Marker(HTMLParser):
             self._text("\n")
 
     def handle_data(self, data):
+        if not self.in_body and data.strip() and not any(t in _HEAD - {"html"} for t, *_ in self.stack):
+            self._begin_body()
         inside = next((t for t, *_ in reversed(self.stack) if t in _SILENT), None)
         self._text(data if inside else _BLANKS.sub(" ", data), inside)
 

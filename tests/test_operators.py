@@ -200,3 +200,17 @@ def test_discovery_equals_reading_page_by_page(spark, seed):
     out = discovery.discover(links, limit, extra).collect()
     got = {s: sorted(r.product for r in out if r.site_id == s) for s in sites}
     assert got == {s: page_by_page(p, limit, seeds[s]) for s, p in sites.items()}
+
+
+def test_broadcast_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    dim = spark.range(10).withColumn("v", F.repeat(F.lit("x"), 100))
+    assert keyed.fits_broadcast(dim, 10) and not keyed.fits_broadcast(dim, 9)
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", 500)
+    assert not keyed.fits_broadcast(dim, 10)
+    assert keyed.fits_broadcast(dim.where("id < 0"), 10)
+
+
+def test_pending_takes_a_limit_in_order(spark):
+    listed = items(spark, [(1, "c", 3, "pending", 0), (1, "a", 1, "new", 0), (1, "b", 2, "pending", 0)])
+    assert [r.url for r in ledger.pending(listed, 1).collect()] == ["b"]
+    assert [r.url for r in ledger.pending(listed, 0).collect()] == ["b", "c"]
