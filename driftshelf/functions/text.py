@@ -34,8 +34,11 @@ def truncate(c: Column, limit: int) -> Column:
 
 
 def extract(c: Column, pattern: str, group: int = 0) -> Column:
-    """Regex group, null when there is no match."""
-    return blank_to_null(F.regexp_extract(c, pattern, group))
+    """Regex group of the first match, null when there is none.
+
+    Refers to ``c`` once, so that rules built on it do not evaluate it again and again.
+    """
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 def price_text(c: Column) -> Column:
@@ -43,10 +46,10 @@ def price_text(c: Column) -> Column:
 
     A lone comma before the number is the first match and yields null.
     """
-    digits = F.regexp_replace(extract(c, fixed.PRICE_PATTERN), ",", "")
-    valid = F.when(digits.rlike(r"^-?(\d+(\.\d+)?|\.\d+)$"), digits)
-    whole = F.regexp_replace(valid, r"^(?<sign>-?)\.", "${sign}0.")
-    return F.regexp_replace(whole, r"^(?<sign>-?)0+(?=\d)", "${sign}")
+    digits = F.replace(extract(c, fixed.PRICE_PATTERN), F.lit(","), F.lit(""))
+    whole = F.regexp_replace(digits, r"^(?<sign>-?)\.", "${sign}0.")
+    plain = F.regexp_replace(whole, r"^(?<sign>-?)0+(?=\d)", "${sign}")
+    return extract(plain, r"^-?\d.*$")
 
 
 def to_decimal(c: Column, precision: int = 14, scale: int = 2) -> Column:
@@ -60,14 +63,14 @@ def price(c: Column) -> Column:
 
 def first_count(c: Column) -> Column:
     """First digit run of a text with its commas dropped; no digits give 0."""
-    digits = extract(F.regexp_replace(c, ",", ""), r"[0-9]+")
-    return F.when(digits.isNull(), F.lit(0)).otherwise(digits.try_cast("int"))
+    digits = extract(F.replace(c, F.lit(","), F.lit("")), r"[0-9]+")
+    return F.coalesce(digits, F.lit("0")).try_cast("int")
 
 
 def comma_count(c: Column) -> Column:
     """First run of digits and commas as a number; no run gives 0, commas alone null."""
-    run = extract(c, r"[0-9,]+")
-    return F.when(run.isNull(), F.lit(0)).otherwise(F.regexp_replace(run, ",", "").try_cast("int"))
+    run = F.coalesce(extract(c, r"[0-9,]+"), F.lit("0"))
+    return F.replace(run, F.lit(","), F.lit("")).try_cast("int")
 
 
 def product_code(c: Column) -> Column:

@@ -71,3 +71,11 @@ def resolve_simple_link(base: Column, link: Column) -> Column:
     """Resolution of links that pass :func:`is_simple_link`, all in the JVM."""
     origin = F.regexp_extract(_tidy(base), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
     return F.when(link.startswith("/"), F.concat(origin, link)).otherwise(link)
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """Absolute address of a link in one pass: Arrow only works on links a concat cannot
+    resolve."""
+    simple = is_simple_link(base, link)
+    hard = resolve_link(base, F.when(~simple, link))
+    return F.when(simple, resolve_simple_link(base, link)).otherwise(hard)

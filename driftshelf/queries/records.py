@@ -23,17 +23,13 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Links of every page resolved against it: simple ones by concat in the JVM, only
-    the rest through Arrow."""
+    """Links of every page resolved against it."""
     hrefs = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))
     links = table(spark, d, "pages").select(
         "page_id", "url", F.explode(hrefs).alias("raw")
     ).select("page_id", "url", F.replace("raw", F.lit("&amp;"), F.lit("&")).alias("href"))
-    page, link = F.col("url"), F.col("href")
-    simple = urls.is_simple_link(page, link)
-    easy = links.where(simple).withColumn("link", urls.resolve_simple_link(page, link))
-    rest = links.where(~simple).withColumn("link", urls.resolve_link(page, link))
-    return easy.unionByName(rest).select(
+    resolved = links.withColumn("link", urls.resolve(F.col("url"), F.col("href")))
+    return resolved.select(
         "page_id", "href", "link", urls.last_segment(F.col("link")).alias("external_id")
     )
 

@@ -39,8 +39,9 @@ def test_links(spark):
     b, link = F.col("b"), F.col("l")
     rows = df.select(
         "l", urls.resolve_link(b, link).alias("full"), urls.is_simple_link(b, link).alias("simple"),
-        urls.resolve_simple_link(b, link).alias("easy"),
+        urls.resolve_simple_link(b, link).alias("easy"), urls.resolve(b, link).alias("any"),
     ).collect()
+    assert [r["any"] for r in rows] == [urljoin(base, x) for x in links]
     assert [r.full for r in rows] == [urljoin(base, x) for x in links]
     assert all(r.easy == r.full for r in rows if r.simple)
     assert {r.l for r in rows if r.simple} == {"/c", "https://q/g"}
