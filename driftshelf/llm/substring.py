@@ -26,7 +26,9 @@ WORDS = 13
 #: windows reach the exact pass, and the result stays the same.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Cells of a block, and windows a task gathers before it passes its counts on.
-BLOCK_BITS, GATHER = 20, 1 << 21
+BLOCK_BITS, GATHER = 20, 1 << 20
+#: Windows passed on together.
+OUT = 1 << 18
 #: Windows in more documents than this, or a 1/400,000 of the bytes, are decided apart: there
 #: are at most 200,000 such cells a row, whatever the size of the corpus.
 HOT, HOT_SHARE = 1000, 400_000
@@ -167,8 +169,16 @@ class Sketch:
             at = at[(self.twice[side][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1]
         return at
 
-    def is_hot(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return np.isin(self._cells(0, first), self.hot[0]) & np.isin(self._cells(1, second), self.hot[1])
+    def hot_ones(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Indices of windows that may be in very many documents."""
+        at = np.arange(len(first))
+        for side, values in ((0, first), (1, second)):
+            hot = self.hot[side]
+            if not len(hot) or not len(at):
+                return at[:0]
+            cells = self._cells(side, values[at])
+            at = at[hot[np.minimum(np.searchsorted(hot, cells), len(hot) - 1)] == cells]
+        return at
 
 
 def sketch_windows(docs: DataFrame, words: int = WORDS) -> Sketch:
@@ -196,37 +206,43 @@ def _reader(sketch, words: int, hot_only: bool, firsts=None) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = _Hashes(), sketch.value
         earliest = dict(firsts.value) if firsts else {}
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        size = 0
+
+        def gathered() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c), type=f.type) for c, f in zip(out, schema)], schema=schema
+            )
+
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for k_id, k_text, text in zip(*(batch.column(c) for c in ("k_id", "k_text", "text"))):
                 text = text.as_py()
                 if text is None:
                     continue
                 k_id, mark = k_id.as_py(), (k_text.as_py() & 0x7FFFFFFF) << 32
                 first, second = window_hashes(text.encode().split(), hashes, words)
-                at = known.repeated(first, second)
+                at = (known.hot_ones if hot_only else known.repeated)(first, second)
                 if not len(at):
                     continue
-                first, second = first[at].view(np.int64), second[at].view(np.int64)
-                heavy = known.is_hot(first.view(np.uint64), second.view(np.uint64))
-                settled = np.zeros(len(at), dtype=bool)
-                if hot_only:
-                    keep = heavy
-                elif heavy.any():
-                    settled = heavy
-                    keep = ~heavy
-                    for i in np.flatnonzero(heavy):
+                first, second = first[at], second[at]
+                keep, settled = slice(None), np.zeros(len(at), dtype=bool)
+                heavy = known.hot_ones(first, second) if firsts else ()
+                first, second = first.view(np.int64), second.view(np.int64)
+                if len(heavy):
+                    keep = np.ones(len(at), dtype=bool)
+                    for i in heavy.tolist():
                         keep[i] = earliest.get((int(first[i]), int(second[i])), k_id) < k_id
-                    first = np.where(settled, at + mark, first)  # of no use any more: spread them
-                    second = np.where(settled, k_id, second)
-                else:
-                    keep = slice(None)
+                    settled[heavy] = True
+                    first[heavy] = at[heavy] + mark  # of no use any more: spread them
+                    second[heavy] = k_id
                 for column, values in zip(out, (first, second, np.full(len(at), k_id), at + mark, settled)):
                     column.append(values[keep])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), type=f.type) for c, f in zip(out, schema)], schema=schema
-                )
+                size += len(at)
+                if size >= OUT:
+                    yield gathered()
+                    out, size = [[], [], [], [], []], 0
+        if size:
+            yield gathered()
 
     return read
 
