@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -216,27 +217,22 @@ def packed(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def encoding(path: str, spans: bool = True):
-    """UDF: struct of packed ids, packed span begins and ends, and the source bytes they cover.
-
-    Null is an empty text: begin and end ids only. With spans=False the spans are worked out
-    and checked, but not carried along.
-    """
-
-    @F.arrow_udf("struct<ids: binary, begins: binary, ends: binary, covered: bigint>")
-    def encode(texts: pa.Array) -> pa.Array:
+def _encoding(path: str, spans: bool):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with their pieces, a few at a time: pieces take several times a text's memory."""
         own = encoder(path)
-        rows = []
-        for at in range(0, len(texts), _TOGETHER):
-            for ids, begins, ends in own.encode([t or "" for t in texts[at:at + _TOGETHER].to_pylist()]):
-                rows.append((
-                    packed(ids), packed(begins) if spans else None, packed(ends) if spans else None,
-                    int((ends - begins).sum()),
-                ))
-        columns = zip(*rows) if rows else [[]] * 4
-        return pa.StructArray.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, ENCODED)], fields=list(ENCODED)
-        )
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TOGETHER):
+                some = batch.slice(at, _TOGETHER)
+                rows = [
+                    (packed(ids), packed(begins) if spans else None, packed(ends) if spans else None,
+                     int((ends - begins).sum()))
+                    for ids, begins, ends in own.encode([t or "" for t in some.column("text").to_pylist()])
+                ]
+                pieces = pa.StructArray.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(zip(*rows), ENCODED)], fields=list(ENCODED)
+                )
+                yield some.append_column("pieces", pieces)
 
     return encode
 
@@ -248,15 +244,25 @@ def decoding(path: str):
     def decode(ids: pa.Array) -> pa.Array:
         library = encoder(path).library
         return pa.array([
-            None if i is None else library.decode(np.frombuffer(i, dtype="<u4").tolist()) for i in ids.to_pylist()
+            library.decode(np.frombuffer(i.as_py(), dtype="<u4").tolist()) if i.is_valid else None for i in ids
         ], type=pa.string())
 
     return decode
 
 
 def encode_texts(docs: DataFrame, path: str, spans: bool = True) -> DataFrame:
-    """Add struct column `pieces`, replacing one of this name; rows stay where they are."""
-    return docs.withColumn("pieces", encoding(path, spans)(F.col("text")))
+    """Add struct column `pieces`, replacing one of this name; rows stay where they are.
+
+    It holds packed ids, packed begins and ends of their source bytes, and the number of bytes
+    covered. Null is an empty text: begin and end ids only. With spans=False the spans are
+    worked out and checked, but not carried along.
+    """
+    rest = docs.drop("pieces")
+    kind = T.StructType([
+        T.StructField("ids", T.BinaryType()), T.StructField("begins", T.BinaryType()),
+        T.StructField("ends", T.BinaryType()), T.StructField("covered", T.LongType()),
+    ])
+    return rest.mapInArrow(_encoding(path, spans), T.StructType([*rest.schema.fields, T.StructField("pieces", kind)]))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
