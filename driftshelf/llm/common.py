@@ -69,7 +69,13 @@ def real_id(name: str = "k_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Pass 1,000 rows to Python at a time: rows hold whole texts, and 10,000 take too much memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

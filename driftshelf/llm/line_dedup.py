@@ -120,7 +120,7 @@ def _signing(edits: int, least: int) -> Callable:
                     if name not in seen:
                         seen.add(name)
                         rows += [(h, name, own) for h, own in probes(line, edits)]
-                if len(rows) > 500_000:
+                if len(rows) > 100_000:
                     yield _signed(rows)
                     rows = []
             if rows:
@@ -352,7 +352,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
 def _dropping(texts: pa.Array, numbers: pa.Array) -> pa.Array:
     """The text without the lines numbered, and how many lines it had and has lost."""
     kept, total, lost = [], [], []
-    for text, drop in zip(texts.to_pylist(), numbers.to_pylist()):
+    for text, drop in zip(texts, numbers):
+        text, drop = text.as_py(), drop.as_py()
         lines = text.split("\n") if text is not None else []
         total.append(len(lines))
         gone = set(map(int, drop.split(","))) if drop else set()
