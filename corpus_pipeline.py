@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftshelf.llm import decontaminate, line_dedup, pieces, simhash, toxicity
-from driftshelf.llm.common import new_folder, table
+from driftshelf.llm.common import new_folder, small_batches, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the models are trained on the labelled ones among them."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines. A document all of whose text was repeated goes; n_chars follows the text."""
+    small_batches(spark)
     found = line_dedup.drop_repeated_lines(docs)
     kept = found.where(
         (F.col("dedup.n_removed") == 0) | (F.trim(F.coalesce("dedup.kept", F.lit(""))) != "")
@@ -29,16 +31,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed ids and source spans of each text, beside the columns of documents."""
+    small_batches(spark)
     import public_tokenizers
 
     return pieces.encode_texts(docs, public_tokenizers.path(pieces.MODEL))
