@@ -68,6 +68,14 @@ def _windows(words: Column, starts: Column, size: int) -> Column:
     ))
 
 
+def _hit_places(words: Column, size: int) -> Column:
+    """Starts of the runs of `size` words whose hash is among the hits."""
+    runs = _grams(words, size)
+    return F.filter(
+        _places(F.size(words) - (size - 1)), lambda i: F.array_contains(F.col("hits"), F.get(runs, i))
+    )
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Written table (k_id, k_text, n_words, n_rows, spans, items) of all documents by key.
 
@@ -117,12 +125,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ))))
     around = F.filter(around, lambda i: i >= 0)
     found = [F.coalesce(_windows(F.col("words"), around, SPAN), F.array())]
-    for size in short:
-        runs = _grams(F.col("words"), size)
-        found.append(_windows(F.col("words"), F.filter(
-            _places(F.size("words") - (size - 1)),
-            lambda i, runs=runs: F.array_contains(F.col("hits"), F.get(runs, i)),
-        ), size))
+    found += [_windows(F.col("words"), _hit_places(F.col("words"), size), size) for size in short]
     windows = near.select("k_id", "k_text", F.explode(F.concat(*found)).alias("w")).select(
         "k_id", "k_text", "w.start", "w.size", "w.words"
     )

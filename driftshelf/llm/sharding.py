@@ -154,10 +154,10 @@ shards AS (SELECT id, max(b) FILTER (WHERE n = {SHARDS}) AS shard,
     max(b) FILTER (WHERE n = {SHARDS + 1}) AS grown_shard FROM walk GROUP BY id),
 sums AS (
   SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size,
-    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+    CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
         regexp_extract_all(hex(encode(text)), '..'),
         lambda h: (16 * (strpos('0123456789ABCDEF', substr(h, 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2, 1)) - 1)::UBIGINT)),
-      lambda c, x: xor(c >> 8, t[(xor(c & 255, x) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+      lambda c, x: xor(c >> 8, t[(xor(c & 255, x) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT END AS text_crc32
   FROM documents, lookup)
 SELECT d.doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
   row_number() OVER (PARTITION BY shard
