@@ -30,11 +30,6 @@ DEFAULT_CURRENCY = "USD"
 DEFAULT_SECTION = "General"
 DEFAULT_IMAGE_TYPE = "gallery"
 DEFAULT_MISSING_THRESHOLD = 2
-NAME_LIMIT = 500
-ERROR_LIMIT = 4000
-RELATED_LIMIT = 30
-VARIANT_LIMIT = 50
-LISTING_PAGE_LIMIT = 20
 
 # --- text patterns ---------------------------------------------------------
 PRICE_PATTERN = r"-?[0-9,]+(?:\.[0-9]+)?"
@@ -55,7 +50,6 @@ BLOCK_MARKERS = (
     "access denied",
     "请稍候",
 )
-BLOCK_BODY_CHARS = 1500
 BLOCKED_ERROR = "access_blocked"
 
 # --- page style A: shop test pages -----------------------------------------

@@ -172,9 +172,13 @@ def spec_value(specs: Column, name: str) -> Column:
 
 
 def block_marker(
-    title: Column, body: Column, markers: tuple[str, ...] = fixed.BLOCK_MARKERS
+    title: Column, body: Column, markers: tuple[str, ...] = fixed.BLOCK_MARKERS, opening: int | None = None
 ) -> Column:
-    """The first marker in the title or the opening of the body, else null."""
-    opening = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, fixed.BLOCK_BODY_CHARS))
-    seen = F.concat_ws(" ", F.lower(F.coalesce(title, F.lit(""))), opening)
+    """The first marker in the title or the body, else null.
+
+    ``opening`` limits the search to so many characters of the body.
+    """
+    body = F.coalesce(body, F.lit(""))
+    searched = body if opening is None else F.substring(body, 1, opening)
+    seen = F.concat_ws(" ", F.lower(F.coalesce(title, F.lit(""))), F.lower(searched))
     return F.coalesce(*[F.when(seen.contains(m), F.lit(m)) for m in markers])

@@ -142,7 +142,8 @@ def first_per_id(rows: DataFrame, owner: list[str], code: str, position: list[st
     return first_wins(rows, [*owner, code], position)
 
 
-def top_per_owner(rows: DataFrame, owner: list[str], order: list[str], limit: int) -> DataFrame:
-    """The first ``limit`` rows of each owner; cut in the map tasks before the exchange."""
+def top_per_owner(rows: DataFrame, owner: list[str], order: list[str], limit: int | None = None) -> DataFrame:
+    """Rows with their rank within each owner; with a limit the first ones, cut before the exchange."""
     w = Window.partitionBy(*owner).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)

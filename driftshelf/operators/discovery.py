@@ -7,6 +7,8 @@ adds, find the page where the running sum crosses N, keep everything up to it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ def cut_pages(firsts: DataFrame, limit: int) -> DataFrame:
         if cut is None:
             totals = totals.withColumn("before", F.lit(0))
         else:
-            totals = totals.join(cut, inside)
+            found = cut.select(*(F.col(c).alias(f"_{c}") for c in inside), "before")
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in inside])
+            totals = totals.join(found, same).drop(*(f"_{c}" for c in inside))
         w = Window.partitionBy(*inside).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
         inside.append(level)
         cut = (
@@ -53,7 +57,8 @@ def cut_pages(firsts: DataFrame, limit: int) -> DataFrame:
             .select(*inside, (F.col("reached") - F.col("added")).alias("before"))
         )
     return cut.select(
-        "site_id", F.col("category").alias("cut_category"), F.col("page_no").alias("cut_page")
+        "site_id", F.lit(True).alias("cut"),
+        F.col("category").alias("cut_category"), F.col("page_no").alias("cut_page"),
     )
 
 
@@ -84,13 +89,13 @@ def discover(
         found = firsts.select("site_id", "product")
         return found if seeds is None else found.unionByName(seeds).distinct()
     cuts = cut_pages(firsts, limit)
-    reached = lookup(firsts, cuts, ["site_id"], "left", ["product"], counted=False).where(
-        F.col("cut_category").isNull()
+    reached = lookup(firsts, cuts, ["site_id"], "left", ["product"]).where(
+        F.col("cut").isNull()
         | (F.struct("category", "page_no") <= F.struct("cut_category", "cut_page"))
     )
     found = reached.select("site_id", "product")
     if seeds is not None:
-        extra = lookup(seeds, cuts, ["site_id"], "left_anti", ["product"], counted=False)
+        extra = lookup(seeds, cuts, ["site_id"], "left_anti", ["product"])
         extra = extra.select("site_id", "product")
         found = found.unionByName(extra).distinct()
     return lowest(found, limit)

@@ -1,4 +1,4 @@
-"""Keyed operators: one row per key, insert-if-absent, upsert, checked lookups."""
+"""Keyed operators: one row per key, insert-if-absent, upsert, salted lookups."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
+#: A key is spread over as many tasks as a shuffle has partitions, up to this many.
+MOST_SALTS = 64
 
 
 def keep_one(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
@@ -86,36 +85,24 @@ def upsert(
     return joined.select(*out)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a lookup side is small in rows and in bytes; looks no further than ``rows``."""
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
-    return n <= rows and (size or 0) <= BROADCAST_BYTES
-
-
 def lookup(
     facts: DataFrame,
     dim: DataFrame,
     on: list[str],
     how: str = "left",
     spread: list[str] | None = None,
-    rows: int = BROADCAST_ROWS,
-    sized_by: DataFrame | None = None,
-    counted: bool = True,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join facts to a narrow side with one row per key, whatever the key skew.
 
-    ``sized_by`` may name a frame with as many rows that is cheaper to count. A side too
-    dear to compute twice is not ``counted``: it is salted, and Spark broadcasts the
-    copies if they turn out small at run time.
-
-    A counted-small side is broadcast and the facts stay where they are. A larger one is
-    joined on key plus salt: facts take a salt from their own ``spread`` columns, the
-    side is copied once per salt, so a key with a third of all facts uses ``SALTS`` tasks.
+    No job runs while the plan is built: Spark broadcasts the side if its size, estimated or
+    seen at run time, allows. Otherwise the join is on key plus salt: facts take a salt from
+    their own ``spread`` columns, the side is copied once per salt, so a key with a third of
+    all facts uses ``salts`` tasks.
     """
-    if counted and fits_broadcast(dim if sized_by is None else sized_by, rows):
-        return facts.join(F.broadcast(dim), on, how)
-    spread = spread or [c for c in facts.columns if c not in on]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if salts is None:
+        salts = min(MOST_SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = spread or [c for c in facts.columns if c not in on] or on
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

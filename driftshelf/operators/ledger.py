@@ -66,7 +66,7 @@ def reset_interrupted(items: DataFrame, now: Column) -> DataFrame:
 def record_outcomes(items: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """Write outcomes (``run_id, url, status, error_type, error_message, result``) to items.
 
-    A success clears the error; a failure keeps the stored result and cuts its message.
+    A success clears the error; a failure keeps the stored result.
     """
     done = outcomes.select(
         *ITEM_KEY, F.struct("status", "error_type", "error_message", "result").alias("out")
@@ -74,7 +74,7 @@ def record_outcomes(items: DataFrame, outcomes: DataFrame, now: Column) -> DataF
     joined = items.join(done, ITEM_KEY, "left")
     hit = F.col("out").isNotNull()
     failed = F.col("out.status").isin(*fixed.ERROR_STATUSES)
-    message = text.truncate(F.col("out.error_message"), fixed.ERROR_LIMIT)
+    message = F.col("out.error_message")
     values = {
         "status": F.coalesce("out.status", "status"),
         "error_type": F.when(hit & failed, F.col("out.error_type")).when(
@@ -96,8 +96,7 @@ def failures(outcomes: DataFrame, runs: DataFrame) -> DataFrame:
     A run may hold a third of all items, so its site comes through a checked lookup.
     """
     bad = outcomes.where(F.col("status").isin(*fixed.ERROR_STATUSES)).select(
-        "run_id", "url", "error_type",
-        text.truncate(F.col("error_message"), fixed.ERROR_LIMIT).alias("error_message"),
+        "run_id", "url", "error_type", "error_message",
     )
     sites = runs.select("run_id", "site_id", "run_ts")
     return lookup(bad, sites, ["run_id"], "inner", spread=["url"])

@@ -63,7 +63,7 @@ def sightings(observations: DataFrame, runs: DataFrame) -> DataFrame:
     )
     observed = changes.incoming(observations).drop("run_ts")
     steps = lookup(
-        observed, axis, ["site_id", "run_id"], "inner", ["canonical_url"], sized_by=runs
+        observed, axis, ["site_id", "run_id"], "inner", ["canonical_url"]
     )
     w = Window.partitionBy(*KEY).orderBy("run_no")
     before = F.struct("content_hash", "current_price", "availability", "ages_no", "run_no")
@@ -120,7 +120,7 @@ def missing_spells(seen: DataFrame, runs: DataFrame) -> DataFrame:
         (F.col("full_rank") - F.col("full").cast("int")).alias("rank_before_next"),
     )
     ended = lookup(
-        seen, ranks, ["site_id", "next_no"], "left", ["canonical_url"], sized_by=runs
+        seen, ranks, ["site_id", "next_no"], "left", ["canonical_url"]
     )
     misses = F.coalesce("rank_before_next", "site_full_rank") - F.col("full_rank")
     in_time = F.col("next_no").isNull() | (F.col("ages_no") < F.col("next_no"))

@@ -118,7 +118,6 @@ def run_batch(
     if len(set(site_ids)) != len(site_ids):
         raise ValueError("a batch takes at most one run per site")
 
-    tables.sites_in_batch = len(site_ids)
     mine = sites.where(F.col("site_id").isin(site_ids))
     names = adapters.styles_of(mine)
     discovered = None

@@ -45,20 +45,20 @@ _ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"]
 
 
 def relations_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Related parts of a supplier's page: first link per part, the first 30 by code."""
+    """Related parts of a supplier's page: first link per part, ranked by code."""
     links = _supplier_links(spark, d).where("l_partkey <> l_suppkey")
     firsts = children.first_per_id(links, ["l_suppkey"], "l_partkey", _ORDER)
     coded = firsts.withColumn("code", _code())
-    kept = children.top_per_owner(coded, ["l_suppkey"], ["code"], fixed.RELATED_LIMIT)
+    kept = children.top_per_owner(coded, ["l_suppkey"], ["code"])
     return kept.withColumn("shown", _shown()).select(
         "l_suppkey", F.col("rank").cast("bigint").alias("rank"), "code",
-        text.truncate(F.col("shown"), fixed.NAME_LIMIT).alias("name"),
+        F.col("shown").alias("name"),
         text.price(F.col("shown")).cast("double").alias("price"),
     )
 
 
 def variants_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Options of a supplier's page: title, else text, else code as label; first 50."""
+    """Options of a supplier's page: title, else text, else code as label; ranked by code."""
     title = F.when(F.col("l_returnflag") == "A", F.concat(F.lit(" Size "), _str("l_linenumber")))
     shown = F.when(F.col("l_returnflag") == "N", _shown())
     label = text.strip(text.first_filled(title, shown, _code()))
@@ -66,10 +66,10 @@ def variants_topk(spark: SparkSession, d: str) -> DataFrame:
     options = _supplier_links(spark, d).where(f"not ({only_code})")
     firsts = children.first_per_id(options, ["l_suppkey"], "l_partkey", _ORDER)
     labelled = firsts.select("l_suppkey", _code().alias("code"), label.alias("label"))
-    kept = children.top_per_owner(labelled, ["l_suppkey"], ["code", "label"], fixed.VARIANT_LIMIT)
+    kept = children.top_per_owner(labelled, ["l_suppkey"], ["code", "label"])
     return kept.select(
         "l_suppkey", F.col("rank").cast("bigint").alias("rank"), "code",
-        text.truncate(F.col("label"), fixed.NAME_LIMIT).alias("value"),
+        F.col("label").alias("value"),
     )
 
 
@@ -217,7 +217,7 @@ WITH {_LINKS},
 firsts AS (SELECT * FROM links WHERE code <> own_code QUALIFY {_FIRST})
 SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY code) AS rank, code, shown AS name,
        CAST(CAST(split_part(shown, ' ', 2) AS DECIMAL(14,2)) AS DOUBLE) AS price
-FROM firsts QUALIFY rank <= 30""",
+FROM firsts""",
     "variants_topk": f"""
 WITH {_LINKS},
 labelled AS (
@@ -225,7 +225,7 @@ labelled AS (
   FROM links),
 firsts AS (SELECT * FROM labelled WHERE NOT (code = own_code AND value = code) QUALIFY {_FIRST})
 SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY code) AS rank, code, value
-FROM firsts QUALIFY rank <= 50""",
+FROM firsts""",
     "reviews_sync": """
 WITH turns AS (
   SELECT 'https://shop.example/c/' || conv_id AS canonical_url, turn, role AS reviewer_name, text AS review_text,

@@ -384,7 +384,7 @@ _FINAL = ("CASE WHEN status = 'failed' THEN 'failed' WHEN errors > 0 THEN 'compl
 _OUTCOMES = """
 outcomes AS (
   SELECT run_id, url, CASE WHEN attempts = 2 THEN 'blocked' WHEN status = 'failed' THEN 'failed' ELSE 'updated' END AS out,
-         substring(repeat('no answer from ' || url || '; ', 150), 1, 4000) AS message
+         repeat('no answer from ' || url || '; ', 150) AS message
   FROM items WHERE status IN ('processing', 'failed'))"""
 _DISCOVERY = """
 firsts AS (

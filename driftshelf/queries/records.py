@@ -48,8 +48,7 @@ def price_text(spark: SparkSession, d: str) -> DataFrame:
     )
     label = F.col("label")
     return parts.unionByName(lines).select(
-        "kind", "k", text.truncate(label, 12).alias("short"),
-        text.price_text(label).alias("cleaned"),
+        "kind", "k", text.price_text(label).alias("cleaned"),
         text.price(label).cast("double").alias("price"),
     )
 
@@ -313,7 +312,7 @@ WITH t AS (
          || format('{:,.2f}', l_extendedprice) FROM lineitem),
 n AS (
   SELECT *, nullif(replace(regexp_extract(label, '-?[0-9,]+(?:\.[0-9]+)?'), ',', ''), '') AS cleaned FROM t)
-SELECT kind, k, substring(label, 1, 12) AS short, cleaned,
+SELECT kind, k, cleaned,
        CAST(TRY_CAST(cleaned AS DECIMAL(14,2)) AS DOUBLE) AS price
 FROM n""",
     "brand_clean": r"""

@@ -39,7 +39,6 @@ class CatalogTables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.sites_in_batch = 1
         self._known: dict[tuple, list] = {}
 
     def refresh(self) -> None:
@@ -52,7 +51,9 @@ class CatalogTables:
     def publications(self) -> DataFrame:
         try:
             return self.spark.read.schema(PUBLISHED).json(self.path("_published"))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], PUBLISHED)
 
     def is_published(self, version: str) -> bool:
@@ -117,13 +118,11 @@ class CatalogTables:
     def write(self, table: str, df: DataFrame, version: str) -> None:
         """Write one table of a version; a retry of the same version replaces it.
 
-        Rows of several sites are rebalanced by site first, so that not every task writes
-        a file per site; a large site is split again at run time.
+        Rows are rebalanced by site first, so that not every task writes a file per site;
+        a large site is split again at run time.
         """
-        if self.sites_in_batch > 1:
-            df = df.hint("rebalance", "site_id")
         (
-            df.write.mode("overwrite")
+            df.hint("rebalance", "site_id").write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy("site_id")
             .parquet(f"{self.path(table)}/version={version}")

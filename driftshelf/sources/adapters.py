@@ -42,12 +42,10 @@ def style(name: str) -> PageStyle:
 
 
 def with_adapter(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pages with their site's style name and page limit."""
+    """Pages with their site's style name and, if its settings name one, page limit."""
     settings = F.try_parse_json(F.col("settings"))
     limit = F.try_variant_get(settings, "$.catalog_max_pages", "int")
-    facts = sites.select(
-        "site_id", "adapter", F.coalesce(limit, F.lit(fixed.LISTING_PAGE_LIMIT)).alias("page_limit")
-    )
+    facts = sites.select("site_id", "adapter", limit.alias("page_limit"))
     return lookup(pages, facts, ["site_id"], "inner", spread=["url"])
 
 

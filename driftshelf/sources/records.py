@@ -9,7 +9,6 @@ from .. import fixed
 from ..functions import text
 from ..schemas import RECORD_FIELDS, RUN_FIELDS
 from . import html
-from .tables import spread
 
 ERRORS = ("error_type", "error_message")
 
@@ -18,7 +17,7 @@ def parsed(pages: DataFrame, parse) -> DataFrame:
     """Pages with their nodes and the first error: no required node, then a block marker."""
     # Not deterministic to the optimizer: a filter on the results must not run it again.
     nodes = parse.asNondeterministic()("url", "html")
-    df = spread(pages).select(*RUN_FIELDS, "url", nodes.alias("nodes"))
+    df = pages.select(*RUN_FIELDS, "url", nodes.alias("nodes"))
     n = F.col("nodes")
     marker = text.block_marker(html.first_text(n, "page_title"), html.first_text(n, "page_body"))
     df = df.withColumns({"marker": marker, "lost": F.size(html.nodes_of(n, "required")) == 0})

@@ -12,7 +12,6 @@ from .. import fixed
 from ..functions import jsonld, text, urls
 from . import html
 from .records import failing, finish, parsed
-from .tables import spread
 
 _parse_listing = html.marked_nodes(
     {"category": fixed.STYLE_A_CATEGORY_LINK, "product": fixed.STYLE_A_LISTING_LINK}
@@ -22,7 +21,7 @@ _parse_listing = html.marked_nodes(
 def category_urls(start_pages: DataFrame) -> DataFrame:
     """Distinct category addresses of a site's start page (``site_id, url, html``)."""
     found = _parse_listing("url", "html")["category"]
-    nodes = spread(start_pages).select("site_id", F.explode(found).alias("n"))
+    nodes = start_pages.select("site_id", F.explode(found).alias("n"))
     return nodes.where("n.link is not null").select(
         "site_id", urls.canonicalize_url(F.col("n.link")).alias("category")
     ).distinct()
@@ -30,7 +29,7 @@ def category_urls(start_pages: DataFrame) -> DataFrame:
 
 def listing_links(pages: DataFrame, parse: Callable = _parse_listing) -> DataFrame:
     """Product links of listing pages (``site_id, category, page_no, url, html``)."""
-    nodes = spread(pages).select(
+    nodes = pages.select(
         "site_id", "category", "page_no", F.explode(parse("url", "html")["product"]).alias("n")
     )
     return nodes.where("n.link is not null").select(

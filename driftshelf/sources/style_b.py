@@ -10,7 +10,6 @@ from ..functions import text
 from . import html
 from .records import failing, finish, parsed
 from .style_a import image_entries
-from .tables import spread
 
 _ROWS = ("row_1", "row_2", "row_3")
 _parse = html.marked_nodes(
@@ -22,12 +21,12 @@ _parse_listing = html.marked_nodes({"item": fixed.STYLE_B_LISTING_ITEM})
 
 
 def listing_links(pages: DataFrame) -> DataFrame:
-    """Product addresses on result pages (``site_id, category, page_no, url, html``), up to
-    the page limit of each category."""
-    limit = F.lit(fixed.LISTING_PAGE_LIMIT)
+    """Product addresses on result pages (``site_id, category, page_no, url, html``).
+
+    All pages are read; where a column ``page_limit`` is filled, pages up to it in a category."""
     if "page_limit" in pages.columns:
-        limit = F.coalesce("page_limit", limit)
-    nodes = spread(pages.where(F.col("page_no") <= limit)).select(
+        pages = pages.where(F.col("page_limit").isNull() | (F.col("page_no") <= F.col("page_limit")))
+    nodes = pages.select(
         "site_id", "category", "page_no", F.explode(_parse_listing("url", "html")["item"]).alias("n")
     )
     code = F.col("n.attrs")[fixed.STYLE_B_CODE_ATTRIBUTE]
@@ -148,7 +147,7 @@ def _relation_record(x: Column) -> Column:
     return F.struct(
         F.lit("related").alias("type"),
         x["code"].alias("external_id"),
-        text.truncate(x["label"], fixed.NAME_LIMIT).alias("name"),
+        x["label"].alias("name"),
         text.product_url(x["code"]).alias("url"),
         x["code"].alias("sku"),
         text.price_text(x["label"]).alias("price"),
@@ -159,7 +158,7 @@ def _relation_record(x: Column) -> Column:
 def _variant_record(x: Column) -> Column:
     return F.struct(
         F.lit(fixed.STYLE_B_VARIANT_NAME).alias("name"),
-        text.truncate(x["label"], fixed.NAME_LIMIT).alias("value"),
+        x["label"].alias("value"),
         x["code"].alias("sku"),
         text.product_url(x["code"]).alias("url"),
         text.price_text(x["label"]).alias("price"),
@@ -232,12 +231,8 @@ def extract(pages: DataFrame) -> DataFrame:
             ),
             "images": image_entries(_image_urls(F.col("main"), n)),
             "reviews": F.transform("review_blocks", _review_record),
-            "relations": F.slice(
-                F.transform(_first_of_code("links"), _relation_record), 1, fixed.RELATED_LIMIT
-            ),
-            "variants": F.slice(
-                F.transform(_first_of_code("options"), _variant_record), 1, fixed.VARIANT_LIMIT
-            ),
+            "relations": F.transform(_first_of_code("links"), _relation_record),
+            "variants": F.transform(_first_of_code("options"), _variant_record),
             "raw_data": F.to_json(
                 F.struct(
                     F.lit(fixed.STYLE_B_SOURCE).alias("source"), code.alias("asin"),

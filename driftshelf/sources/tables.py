@@ -12,14 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than that.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows dealt over ``parts`` tasks, if given.
 
-    For pages in a few large row groups: parsing one costs far more than moving it. An
-    input with splits enough is left where it is.
+    For pages in a few large row groups, whose parsing costs far more than moving them; the
+    caller knows the files. By default rows stay where they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df if parts is None else df.repartition(parts)
 
 
 def observations(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:

@@ -33,11 +33,12 @@ def test_insert_if_absent_ignores_null_keys(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_gives_the_same_rows_broadcast_or_salted(spark, how):
+def test_lookup_gives_the_same_rows_with_any_number_of_salts(spark, how):
     facts = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50))
     dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    broadcast = keyed.lookup(facts, dim, ["k"], how)
-    salted = keyed.lookup(facts, dim, ["k"], how, spread=["id"], rows=5)
+    broadcast = facts.join(F.broadcast(dim), ["k"], how)
+    salted = keyed.lookup(facts, dim, ["k"], how, spread=["id"], salts=5)
+    assert rows(keyed.lookup(facts, dim, ["k"], how), *broadcast.columns) == rows(broadcast, *broadcast.columns)
     assert "_salt" not in salted.columns
     assert rows(broadcast, *broadcast.columns) == rows(salted, *broadcast.columns)
 
@@ -117,7 +118,7 @@ def test_ledger_walk(spark):
         "run_id long, url string, status string, error_type string, error_message string, result string")
     done = ledger.record_outcomes(again, outcomes, now())
     assert rows(done, "run_id", "url", "status", "error_type", F.length("error_message"), "result") == [
-        (1, "a", "new", None, None, '{"x":1}'), (1, "b", "failed", "E", 4000, "{}"),
+        (1, "a", "new", None, None, '{"x":1}'), (1, "b", "failed", "E", 5000, "{}"),
         (2, "a", "processing", None, None, "{}")]
     runs = spark.createDataFrame(
         [(1, 9, "completed_with_errors"), (2, 9, "failed")], "run_id long, site_id long, status string"
@@ -125,7 +126,7 @@ def test_ledger_walk(spark):
     log = spark.createDataFrame([], ddl(FAILED_URLS))
     for tries in range(3):
         log = ledger.log_failures(log, ledger.failures(outcomes, runs), now())
-        assert rows(log, "site_id", "url", "retry_count", F.length("error_message")) == [(9, "b", tries, 4000)]
+        assert rows(log, "site_id", "url", "retry_count", F.length("error_message")) == [(9, "b", tries, 5000)]
     back = ledger.requeue(done, runs, now())
     assert rows(back, "run_id", "url", "status") == [
         (1, "a", "new"), (1, "b", "pending"), (2, "a", "processing")]
@@ -155,8 +156,8 @@ def test_second_url_of_an_id_is_refused(spark, monkeypatch):
         [(1, "X", "u1", 1), (1, "Z", "u3", 3), (1, "Z", "u2", 2), (1, None, "n1", 4), (1, None, "n2", 5),
          (1, "Y", "y", 6), (2, "X", "u9", 7)],
         "site_id long, external_id string, canonical_url string, item_seq long")
-    for limit in (keyed.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(keyed, "fits_broadcast", lambda df, rows: limit > 0)
+    for limit in (64, 1):
+        monkeypatch.setattr(keyed, "MOST_SALTS", limit)
         out = quality.second_claims(new, stored, ["site_id"], "external_id", "canonical_url", "item_seq")
         assert rows(out.where("taken"), "canonical_url") == [("u1",), ("u3",)]
         assert out.count() == 7
@@ -202,12 +203,19 @@ def test_discovery_equals_reading_page_by_page(spark, seed):
     assert got == {s: page_by_page(p, limit, seeds[s]) for s, p in sites.items()}
 
 
-def test_broadcast_is_bounded_in_rows_and_bytes(spark, monkeypatch):
-    dim = spark.range(10).withColumn("v", F.repeat(F.lit("x"), 100))
-    assert keyed.fits_broadcast(dim, 10) and not keyed.fits_broadcast(dim, 9)
-    monkeypatch.setattr(keyed, "BROADCAST_BYTES", 500)
-    assert not keyed.fits_broadcast(dim, 10)
-    assert keyed.fits_broadcast(dim.where("id < 0"), 10)
+def test_no_job_runs_while_a_lookup_is_planned(spark):
+    facts, dim = spark.range(100).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
+    spark.sparkContext.setJobGroup("planning", "")
+    keyed.lookup(facts, dim.groupBy("k").agg(F.count("*").alias("n")), ["k"])
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_cut_of_a_null_category(spark):
+    links = spark.createDataFrame(
+        [(1, None, 1, "z"), (1, None, 2, "a"), (1, "c", 1, "b")],
+        "site_id long, category string, page_no int, product string")
+    assert rows(discovery.discover(links, 2), "product") == [("a",), ("z",)]
 
 
 def test_pending_takes_a_limit_in_order(spark):

@@ -11,6 +11,8 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as registry  # noqa: E402
 from compare import connect, differences  # noqa: E402
 
+from driftshelf.queries import all_queries  # noqa: E402
+
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no test tables")
 
@@ -20,7 +22,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, con, name):
     text, _ = differences(spark, con, FOLDER, name)
     assert text.startswith("same"), text
@@ -30,7 +32,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_plan_has_no_pair_joins(spark, name):
     text = plan(registry.queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -106,15 +106,15 @@ def test_market_page(spark):
     assert [s.name for s in r.specifications] == ["Brand", "Included Components", "Model Name"]
     assert [(x.external_id, str(x.review_date), x.title, x.verified_purchase) for x in r.reviews] == [
         ("R1", "None", None, False), ("R2", "2024-07-05", "Good", True)]
-    assert len(r.relations) == 30 and r.relations[1].name == "Part 2 $2.50" and r.relations[1].price == "2"
-    assert [v.sku for v in r.variants] == [f"C{n:09d}" for n in range(1, 51)]
+    assert len(r.relations) == 41 and r.relations[1].name == "Part 2 $2.50" and r.relations[1].price == "2"
+    assert [v.sku for v in r.variants] == [f"C{n:09d}" for n in range(1, 61)]
     assert out[2].error_type == "no_product_code" and out[3].error_type == "bad_review_date"
 
 
 def test_long_link_names_are_cut(spark):
     html = f'<span id="productTitle">x</span><a href="/dp/D000000001">{LONG_NAME}</a>'
     r = style_b.extract(pages_of(spark, [(B, 1, None, 1, "https://h/dp/B00DECK001", html)])).first()
-    assert [len(x.name) for x in r.relations] == [500]
+    assert [len(x.name) for x in r.relations] == [600]
 
 
 def test_discovery_from_saved_listing_pages(spark):
@@ -239,7 +239,7 @@ def test_two_sites_in_one_batch_and_untouched_files(spark, tmp_path):
     runs = runs_of(spark, [(1, A, "pending", False), (2, B, "pending", False)])
     out = run_batch(tables, "v1", sites(spark), runs, pages=pages_of(spark, a + b)).collect()
     assert {r.run_id: (r.products_new, r.errors) for r in out} == {1: (2, 0), 2: (2, 0)}
-    assert tables.state("product_relations").count() == 60
+    assert tables.state("product_relations").count() == 82
     assert tables.state("product_variants").count() == 100
     assert tables.state("product_reviews").count() == 4
     third = [(A, 3, datetime(2024, 1, 3), 0, f"{BASE}/p/1", shop_page("b", "1.00"))]

@@ -121,5 +121,8 @@ def test_block_marker(spark):
     df = spark.createDataFrame(
         [("Attention Required!", "x"), ("t", "a" * 1495 + "captcha"), ("t", "a" * 1493 + "captcha"),
          (None, "Access denied, captcha"), ("请稍候", None), ("t", None)], "t string, b string")
-    out = df.select(text.block_marker(F.col("t"), F.col("b")).alias("m")).collect()
-    assert [r.m for r in out] == ["attention required", None, "captcha", "captcha", "请稍候", None]
+    marker = text.block_marker(F.col("t"), F.col("b"))
+    opening = text.block_marker(F.col("t"), F.col("b"), opening=1500)
+    out = df.select(marker.alias("m"), opening.alias("o")).collect()
+    assert [r.m for r in out] == ["attention required", "captcha", "captcha", "captcha", "请稍候", None]
+    assert [r.o for r in out] == ["attention required", None, "captcha", "captcha", "请稍候", None]
