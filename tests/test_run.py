@@ -240,7 +240,7 @@ def test_two_sites_in_one_batch_and_untouched_files(spark, tmp_path):
     out = run_batch(tables, "v1", sites(spark), runs, pages=pages_of(spark, a + b)).collect()
     assert {r.run_id: (r.products_new, r.errors) for r in out} == {1: (2, 0), 2: (2, 0)}
     assert tables.state("product_relations").count() == 82
-    assert tables.state("product_variants").count() == 100
+    assert tables.state("product_variants").count() == 120
     assert tables.state("product_reviews").count() == 4
     third = [(A, 3, datetime(2024, 1, 3), 0, f"{BASE}/p/1", shop_page("b", "1.00"))]
     run_batch(tables, "v2", sites(spark), runs_of(spark, [(3, A, "pending", False)]), pages=pages_of(spark, third))
