@@ -321,9 +321,45 @@ def test_crowded_blocks_lose_no_link(spark, together):
 def test_one_document_of_each_group_stays(spark, docs):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    prints = common.written(simhash.with_fingerprint(docs).select("doc_id", "fingerprint"), "prints")
-    assert kept.count() == simhash.classes(prints).select("root").distinct().count()
-    assert {r["doc_id"] for r in kept.where("doc_id < 8").collect()} == {-5, 1, 3, 4, 7}
+    prints = common.written(docs.select("doc_id", simhash.wide_fingerprints().alias("fingerprint")), "prints")
+    assert kept.count() == simhash.classes(prints, simhash.wide_links).select("root").distinct().count()
+    assert {r["doc_id"] for r in kept.where("doc_id < 8").collect()} == {-5, 1, 4, 7}
+
+
+def similarity(a, b):
+    a, b = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("together", [5, 8192])
+def test_texts_alike_in_four_fifths_are_linked(spark, together):
+    """Beside all pairs: links join what is alike by 0.85 and more; what they join has a partner of 0.6."""
+    r = random.Random(5)
+    texts = [prose(500 + i, 150) for i in range(40)]
+    for base in texts[:15]:
+        for changes in (0, 1, 2, 3, 5, 9):
+            words = base.split()
+            for _ in range(changes):
+                words[r.randrange(len(words))] = f"new{r.random()}"
+            texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    of = {simhash.wide_fingerprint(t): t for t in texts}
+    df = spark.createDataFrame([(bytearray(p),) for p in of], "fingerprint binary")
+    links = [(of[bytes(x["a"])], of[bytes(x["b"])]) for x in simhash.wide_links(df, together).collect()]
+    parent = {t: t for t in texts}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[top(a)] = top(b)
+    apart = [similarity(a, b) for i, a in enumerate(texts) for b in texts[:i] if top(a) != top(b)]
+    assert max(apart) < 0.85
+    for t in texts:
+        if len([u for u in texts if top(u) == top(t)]) > 1:
+            assert max(similarity(t, u) for u in texts if u != t and top(u) == top(t)) >= 0.6
 
 
 @pytest.mark.parametrize("hot", [2, 1000])
