@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -63,6 +63,22 @@ def incoming(observations: DataFrame) -> DataFrame:
     return with_defaults(hashed(last_in_run(observations)))
 
 
+def in_order(observations: DataFrame) -> DataFrame:
+    """Items of a batch, hashed, several of one product kept apart.
+
+    ``previous`` is what the item before left of the product in this run, null for the
+    first; ``last`` marks the one that stands for the run.
+    """
+    w = Window.partitionBy(*KEY, "run_id").orderBy("item_seq")
+    left = F.struct(
+        "content_hash", F.col("current_price").try_cast(PRODUCTS["current_price"]).alias("current_price"),
+        "availability",
+    )
+    return hashed(observations).withColumns(
+        {"previous": F.lag(left).over(w), "last": F.lead("run_id").over(w).isNull()}
+    )
+
+
 def change_status(old_hash: Column, new_hash: Column) -> Column:
     """new without a stored row, updated when the hash differs, else unchanged."""
     return (
@@ -74,9 +90,10 @@ def merge(state: DataFrame, observed: DataFrame, runs: DataFrame) -> DataFrame:
     """State after a batch, with what the logs and the ledger need beside it.
 
     ``observed`` is :func:`incoming`; ``runs`` holds at most one run per site with
-    ``site_id, run_ts, limited, missing_threshold``. One full outer join on the product
-    key yields upserts (both sides or right), aging (left only, site had an unlimited
-    run) and untouched rows (left only otherwise). Run facts come through a checked
+    ``site_id, run_ts, limited, missing_threshold`` and, optionally, ``aged``: the run was
+    folded before, so what it misses is counted but not aged again. One full outer join on
+    the product key yields upserts (both sides or right), aging (left only, site had an
+    unlimited run) and untouched rows (left only otherwise). Run facts come through a
     lookup on the site, after the join, so the product key is the only exchange.
     """
     old = state.withColumn("_stored", F.lit(True)).alias("old")
@@ -95,14 +112,18 @@ def merge(state: DataFrame, observed: DataFrame, runs: DataFrame) -> DataFrame:
         "site_id",
         F.col("run_ts").alias("_run_ts"),
         (~F.coalesce("limited", F.lit(False))).alias("_full"),
+        (F.coalesce("aged", F.lit(False)) if "aged" in runs.columns else F.lit(False)).alias("_aged"),
         F.coalesce("missing_threshold", F.lit(fixed.DEFAULT_MISSING_THRESHOLD)).alias("_threshold"),
     )
     rows = lookup(packed, facts, ["site_id"], "left", spread=["canonical_url"])
 
     seen, known = F.col("n").isNotNull(), F.col("o").isNotNull()
-    missed = ~seen & F.coalesce(F.col("_full"), F.lit(False))
+    aged = F.coalesce("_aged", F.lit(False))
+    earlier = aged & F.col("o.last_seen_at").eqNullSafe(F.col("_run_ts"))
+    missed = ~seen & ~earlier & F.coalesce(F.col("_full"), F.lit(False))
+    ages = missed & ~aged
     misses = F.col("o.consecutive_missing_runs") + 1
-    gone = missed & (misses >= F.col("_threshold"))
+    gone = ages & (misses >= F.col("_threshold"))
     now = F.coalesce("n.run_ts", "_run_ts")
 
     values: dict[str, Column] = {}
@@ -114,9 +135,9 @@ def merge(state: DataFrame, observed: DataFrame, runs: DataFrame) -> DataFrame:
         elif name in ("last_seen_at", "last_scraped_at"):
             values[name] = F.when(seen, now).otherwise(F.col(f"o.{name}"))
         elif name == "updated_at":
-            values[name] = F.when(seen | missed, now).otherwise(F.col("o.updated_at"))
+            values[name] = F.when(seen | ages, now).otherwise(F.col("o.updated_at"))
         elif name == "consecutive_missing_runs":
-            values[name] = F.when(seen, 0).when(missed, misses).otherwise(F.col(f"o.{name}"))
+            values[name] = F.when(seen, 0).when(ages, misses).otherwise(F.col(f"o.{name}"))
         elif name == "unavailable_since":
             values[name] = F.when(
                 ~seen,
@@ -139,6 +160,7 @@ def merge(state: DataFrame, observed: DataFrame, runs: DataFrame) -> DataFrame:
             "change_status"
         ),
         (seen & known).alias("was_stored"),
+        F.col("o.content_hash").alias("old_hash"),
         F.col("o.current_price").alias("old_price"),
         F.col("o.availability").alias("old_availability"),
         missed.alias("missed"),
@@ -156,6 +178,31 @@ def outcomes_of(merged: DataFrame) -> DataFrame:
     )
 
 
+def items_of(steps: DataFrame, merged: DataFrame) -> DataFrame:
+    """Status of every item of a batch and what it changed, from :func:`in_order` and
+    :func:`merge`: the first item of a product against the stored row, each later one
+    against the item before. The logs read it as they read a merged state."""
+    stored = merged.where(F.col("change_status").isNotNull()).select(
+        *KEY, "run_id", "last_seen_at",
+        F.struct("was_stored", "old_hash", "old_price", "old_availability").alias("stored"),
+    )
+    later = F.col("previous").isNotNull()
+
+    def before(name: str, old: str) -> Column:
+        return F.when(later, F.col(f"previous.{name}")).otherwise(F.col(f"stored.{old}"))
+
+    return steps.join(stored, [*KEY, "run_id"]).select(
+        *KEY, "run_id", "url", "item_seq", "content_hash",
+        change_status(before("content_hash", "old_hash"), F.col("content_hash")).alias("change_status"),
+        (later | F.col("stored.was_stored")).alias("was_stored"),
+        before("current_price", "old_price").alias("old_price"),
+        F.col("current_price").try_cast(PRODUCTS["current_price"]).alias("current_price"),
+        F.coalesce(text.blank_to_null(F.col("currency")), F.lit(fixed.DEFAULT_CURRENCY)).alias("currency"),
+        before("availability", "old_availability").alias("old_availability"),
+        "availability", "last_seen_at",
+    )
+
+
 def price_changes_of(merged: DataFrame) -> DataFrame:
     changed = F.col("was_stored") & ~F.col("old_price").eqNullSafe(F.col("current_price"))
     return merged.where(changed).select(

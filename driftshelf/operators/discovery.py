@@ -29,7 +29,15 @@ def first_pages(links: DataFrame) -> DataFrame:
     ).select("site_id", "product", "first.category", "first.page_no")
 
 
-def cut_pages(firsts: DataFrame, limit: int) -> DataFrame:
+def _limited(rows: DataFrame, limit: int | DataFrame) -> DataFrame:
+    """Rows of the sites that have a limit, with it; one for all, or ``site_id, max_products``."""
+    if isinstance(limit, int):
+        return rows.withColumn("limit", F.lit(limit))
+    given = limit.where("max_products > 0").select("site_id", F.col("max_products").alias("limit"))
+    return rows.join(given, "site_id")
+
+
+def cut_pages(firsts: DataFrame, limit: int | DataFrame) -> DataFrame:
     """Per site, the page at which ``limit`` distinct products are reached, if any.
 
     Level by level: category totals give the category of the cut, then its blocks of pages
@@ -44,17 +52,18 @@ def cut_pages(firsts: DataFrame, limit: int) -> DataFrame:
     for level in ("category", "block", "page_no"):
         totals = pages.groupBy(*inside, level).agg(F.sum("added").alias("added"))
         if cut is None:
-            totals = totals.withColumn("before", F.lit(0))
+            totals = _limited(totals, limit).withColumn("before", F.lit(0))
         else:
-            found = cut.select(*(F.col(c).alias(f"_{c}") for c in inside), "before")
+            found = cut.select(*(F.col(c).alias(f"_{c}") for c in inside), "before", "limit")
             same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in inside])
             totals = totals.join(found, same).drop(*(f"_{c}" for c in inside))
         w = Window.partitionBy(*inside).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
         inside.append(level)
         cut = (
             totals.withColumn("reached", F.sum("added").over(w) + F.col("before"))
-            .where((F.col("reached") >= limit) & (F.col("reached") - F.col("added") < limit))
-            .select(*inside, (F.col("reached") - F.col("added")).alias("before"))
+            .withColumn("before", F.col("reached") - F.col("added"))
+            .where((F.col("reached") >= F.col("limit")) & (F.col("before") < F.col("limit")))
+            .select(*inside, "before", "limit")
         )
     return cut.select(
         "site_id", F.lit(True).alias("cut"),
@@ -62,11 +71,19 @@ def cut_pages(firsts: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def lowest(products: DataFrame, limit: int) -> DataFrame:
+def lowest(products: DataFrame, limit: int | DataFrame) -> DataFrame:
     """The first ``limit`` products of each site in order.
 
     After the cut a site holds fewer than ``limit`` products beside those of one page.
+    Products of a site without a limit don't meet in one group.
     """
+    if isinstance(limit, DataFrame):
+        given = limit.where("max_products > 0").select("site_id", "max_products")
+        known = lookup(products, given, ["site_id"], "left", ["product"])
+        w = Window.partitionBy("site_id", F.when(F.col("max_products").isNull(), F.col("product"))).orderBy("product")
+        ranked = known.withColumn("_rank", F.row_number().over(w))
+        inside = F.col("max_products").isNull() | (F.col("_rank") <= F.col("max_products"))
+        return ranked.where(inside).drop("_rank", "max_products")
     w = Window.partitionBy("site_id").orderBy("product")
     return (
         products.withColumn("_rank", F.row_number().over(w))
@@ -76,11 +93,12 @@ def lowest(products: DataFrame, limit: int) -> DataFrame:
 
 
 def discover(
-    links: DataFrame, limit: int | None = None, seeds: DataFrame | None = None
+    links: DataFrame, limit: int | DataFrame | None = None, seeds: DataFrame | None = None
 ) -> DataFrame:
     """Distinct products per site (``site_id, product``).
 
-    Without a limit: all products, and the seeds. With one: products on pages up to the
+    A limit is one number for all sites, or ``site_id, max_products`` with null or 0 for
+    none. Without a limit: all products, and the seeds. With one: products on pages up to the
     cut page; a site that never reaches the limit adds its seeds; then the first
     ``limit`` in order.
     """
@@ -101,5 +119,23 @@ def discover(
     return lowest(found, limit)
 
 
+def first_errors(listed: DataFrame, limit: int | DataFrame | None = None) -> DataFrame:
+    """Per site, the error of the first unreadable listing page (``site_id, error``).
+
+    ``listed``: links with an ``error`` column, one row without a product per such page.
+    Pages behind the one that reaches the limit are not read, so they can't fail.
+    """
+    errors = listed.where(F.col("error").isNotNull()).groupBy("site_id").agg(
+        F.min(F.struct("category", "page_no", "error")).alias("first")
+    )
+    if limit:
+        cuts = cut_pages(first_pages(listed.where(F.col("error").isNull())), limit)
+        at = F.struct("first.category", "first.page_no")
+        errors = errors.join(cuts, "site_id", "left").where(
+            F.col("cut").isNull() | (at <= F.struct("cut_category", "cut_page"))
+        )
+    return errors.select("site_id", "first.error")
+
+
 def discovered_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("site_id").agg(F.count_distinct("product").alias("discovered"))

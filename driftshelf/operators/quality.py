@@ -78,6 +78,32 @@ def second_claims(
     return joined.withColumn("taken", taken).drop("owner_url")
 
 
+def free_released(
+    claims: DataFrame, owned: DataFrame, scope: list[str], code: str, url: str, order: str
+) -> DataFrame:
+    """Claims on stored ids that their URL gave up earlier in the batch are no longer ``taken``.
+
+    ``claims``: a written result of :func:`second_claims`, read three times. A stored id is
+    free from the first accepted row on that brings its URL another id; the first claim
+    after that has it, with all later rows of the same URL. An id given up by a row that
+    itself needs a freed id stays taken.
+    """
+    moves = (
+        owned.where(F.col(code).isNotNull()).select(*scope, url, F.col(code).alias("_held"))
+        .join(claims.where(~F.col("taken")).select(*scope, url, F.col(code).alias("_new"), order), [*scope, url])
+        .where("not(_held <=> _new)")
+        .groupBy(*scope, F.col("_held").alias(code)).agg(F.min(order).alias("_free_from"))
+    )
+    heirs = (
+        claims.where("taken").select(*scope, code, url, order).join(moves, [*scope, code])
+        .where(F.col(order) > F.col("_free_from"))
+        .groupBy(*scope, code).agg(F.min(F.struct(order, url)).alias("_heir"))
+    )
+    joined = lookup(claims, heirs, [*scope, code], "left", spread=[url])
+    inherits = (F.col(f"_heir.{url}") == F.col(url)) & (F.col(order) >= F.col(f"_heir.{order}"))
+    return joined.withColumn("taken", F.col("taken") & ~F.coalesce(inherits, F.lit(False))).drop("_heir")
+
+
 def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str], edge: str) -> DataFrame:
     """Child keys without a parent and how many rows carry each.
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import changes, children, ledger, quality, reports
+from ..operators import changes, children, discovery, ledger, quality, reports
 from ..operators.keyed import lookup
-from ..schemas import KEY, MERGED_EXTRA, RELATIONS, RUN_ITEMS, RUN_ROWS
+from ..schemas import MERGED_EXTRA, RELATIONS, RUN_ITEMS, RUN_ROWS
 from ..sinks.tables import CatalogTables
 from ..sources import adapters, records
 
@@ -51,11 +51,29 @@ def with_options(runs: DataFrame) -> DataFrame:
     return runs.withColumns(
         {
             "limited": limit > 0,
+            "max_products": limit,
             "missing_threshold": F.coalesce(threshold, F.lit(fixed.DEFAULT_MISSING_THRESHOLD)),
         }
     )
 
 
+def known_sites(sites: DataFrame, site_ids: list[int]) -> DataFrame:
+    """The enabled sites asked for; a run of any other is an error."""
+    mine = sites.where(F.col("site_id").isin(site_ids) & F.col("enabled"))
+    missing = set(site_ids) - {r.site_id for r in mine.select("site_id").toLocalIterator()}
+    if missing:
+        raise ValueError(f"unknown or disabled site: {', '.join(map(str, sorted(missing)))}")
+    return mine
+
+
+def limit_of(runs: DataFrame, limits: set) -> int | DataFrame | None:
+    """The product limit of a batch: none, one for all, or one per site."""
+    limits = {n or 0 for n in limits}
+    if limits == {0}:
+        return None
+    return limits.pop() if len(limits) == 1 else runs.select("site_id", "max_products")
+
+
 def plan_items(
     tables: CatalogTables, version: str, runs: DataFrame, run_ids: list[int],
     discovered: DataFrame | None,
@@ -97,9 +115,12 @@ def run_batch(
 
     ``runs``: ``run_id, site_id, run_ts, run_type, status`` and ``limited,
     missing_threshold`` or the JSON ``options`` they follow from. Completed and cancelled
-    runs are left alone; one completed with errors is resumed. ``listing``: saved listing
-    pages; ``pages``: saved product pages of the runs; or ``observations`` made elsewhere
-    (with ``url``). A run with ``max_products`` ages nothing out.
+    runs are left alone; one completed with errors or failed is resumed. A run of an
+    unknown or disabled site is an error before anything is written. ``listing``: saved
+    listing pages; ``pages``: saved product pages of the runs; or ``observations`` made
+    elsewhere (with ``url``). ``max_products``, of the batch or of the run's options,
+    limits discovery, and such a run ages nothing out. A run that meets a listing page
+    without cards, or a blocked one, ends as ``failed``, its site's state untouched.
     Stages that feed several outputs are written under the version and read back, so a
     lost executor re-reads files instead of recomputing, and a version that was already
     published is left alone.
@@ -110,25 +131,41 @@ def run_batch(
     given = [r.run_id for r in runs.select("run_id").toLocalIterator()]
     if "options" in runs.columns:
         runs = with_options(runs)
-    runs = ledger.resumable(runs).withColumn("limited", F.col("limited") | F.lit(bool(max_products)))
-    batch = [(r.site_id, r.run_id) for r in runs.select("site_id", "run_id").toLocalIterator()]
+    if max_products is not None or "max_products" not in runs.columns:
+        runs = runs.withColumn("max_products", F.lit(max_products).cast("bigint"))
+    runs = ledger.resumable(runs).withColumn(
+        "limited", F.col("limited") | (F.coalesce("max_products", F.lit(0)) > 0)
+    )
+    batch = list(runs.select("site_id", "run_id", "max_products").toLocalIterator())
     if not batch:
         return tables.of_runs("runs", given)
-    site_ids, run_ids = [s for s, _ in batch], [r for _, r in batch]
+    site_ids, run_ids = [r.site_id for r in batch], [r.run_id for r in batch]
     if len(set(site_ids)) != len(site_ids):
         raise ValueError("a batch takes at most one run per site")
 
-    mine = sites.where(F.col("site_id").isin(site_ids))
+    mine = known_sites(sites, site_ids)
     names = adapters.styles_of(mine)
-    discovered = None
+    limit = limit_of(runs, {r.max_products for r in batch})
+    discovered, lost = None, []
     if listing is not None:
-        discovered = adapters.discover(
-            adapters.with_adapter(listing, mine), max_products, adapters.configured_seeds(mine), names
-        )
+        links = adapters.read_listing(adapters.with_adapter(listing, mine), names)
+        links = tables.write_plain("_listing", links, version)
+        seeds = adapters.seeds_of(adapters.configured_seeds(mine), names)
+        discovered = discovery.discover(links.where("error is null").drop("error"), limit, seeds)
+        begun = tables.of_runs("run_items", run_ids).select("run_id").distinct()
+        fresh = runs.join(begun, "run_id", "left_anti").select("site_id")
+        lost = discovery.first_errors(links, limit).join(fresh, "site_id").collect()  # a row per failed run
     elif observations is not None or pages is not None:
         source = observations if observations is not None else pages
         discovered = source.select("site_id", F.col("url").alias("product")).distinct()
+        if limit:
+            discovered = discovery.lowest(discovered, limit)
 
+    errors = tables.spark.createDataFrame([tuple(r) for r in lost], "site_id bigint, run_error string")
+    every_run = runs.join(F.broadcast(errors), "site_id", "left")  # at most one row per run of the batch
+    failed = {r.site_id for r in lost}
+    site_ids = [s for s in site_ids if s not in failed]
+    runs = runs.where(F.col("site_id").isin(site_ids))
     items = plan_items(tables, version, runs, run_ids, discovered)
     claimed = items.where(F.col("status") == "processing").select("run_id", "url", "item_seq")
 
@@ -140,19 +177,20 @@ def run_batch(
     wanted = extracted.drop("item_seq").join(claimed, ["run_id", "url"])
     extracted = tables.write_plain("_extracted", wanted, version)
 
-    good, outcomes = judge(tables, site_ids, claimed, extracted)
-    good = tables.write_plain("_accepted", good, version)
+    accepted, outcomes = judge(tables, version, site_ids, claimed, extracted)
+    steps = tables.write_plain("_accepted", changes.in_order(accepted), version)
+    good = steps.where("last").drop("last", "previous")
 
-    earlier = tables.publications().select("run_id").distinct()
-    aged_once = runs.join(earlier.withColumn("_again", F.lit(True)), "run_id", "left")
-    aging = aged_once.withColumn("limited", F.col("limited") | F.coalesce("_again", F.lit(False)))
+    folded = tables.publications().where("site_id is not null").select("run_id").distinct()
+    aging = runs.join(folded.withColumn("aged", F.lit(True)), "run_id", "left")
 
     state = tables.state("products", site_ids)
-    merged = changes.merge(state, changes.incoming(good), aging)
+    merged = changes.merge(state, changes.with_defaults(good), aging)
     tables.write("products", merged, version)
     merged = tables.written("products", version, MERGED_EXTRA)
-    tables.write("price_history", changes.price_changes_of(merged), version)
-    tables.write("availability_history", changes.availability_changes_of(merged), version)
+    done = tables.write_plain("_done", changes.items_of(steps, merged), version)
+    tables.write("price_history", changes.price_changes_of(done), version)
+    tables.write("availability_history", changes.availability_changes_of(done), version)
 
     touched = children.products_of(good)
     images = children.image_rows(children.entries(good, "images"))
@@ -164,12 +202,13 @@ def run_batch(
         stored = tables.state(table, site_ids)
         tables.write(table, children.replace(stored, fresh, touched), version)
 
-    run_rows = close_ledger(tables, version, sites, runs, run_ids, items, good, outcomes, merged)
-    tables.publish(runs, version)
+    run_rows = close_ledger(tables, version, sites, every_run, run_ids, items, done, outcomes, merged)
+    folds = F.when(F.col("run_error").isNull(), F.col("site_id"))
+    tables.publish(every_run.withColumn("site_id", folds), version)
     return run_rows
 
 
-def judge(tables, site_ids, claimed, extracted) -> tuple[DataFrame, DataFrame]:
+def judge(tables, version, site_ids, claimed, extracted) -> tuple[DataFrame, DataFrame]:
     """Accepted observations, and the outcomes of all others."""
     checked = quality.checked(records.records(extracted.withColumn("_url", F.col("url"))),
                               record_checks())
@@ -178,6 +217,10 @@ def judge(tables, site_ids, claimed, extracted) -> tuple[DataFrame, DataFrame]:
     claims = quality.second_claims(
         sound, owned, ["site_id"], "external_id", "canonical_url", "item_seq"
     )
+    claims = quality.free_released(
+        tables.write_plain("_claims", claims, version), owned,
+        ["site_id"], "external_id", "canonical_url", "item_seq",
+    )
     good = claims.where(~F.col("taken")).drop("taken").withColumnRenamed("_url", "url")
     refused = quality.quarantine(checked).select(
         "run_id", F.col("_url").alias("url"), F.lit("failed").alias("status"),
@@ -200,13 +243,15 @@ def judge(tables, site_ids, claimed, extracted) -> tuple[DataFrame, DataFrame]:
     return good, failed.unionByName(refused).unionByName(taken).unionByName(lost)
 
 
-def close_ledger(tables, version, sites, runs, run_ids, items, good, failed, merged) -> DataFrame:
-    """Item outcomes, failed-URL log, run rows with counters and summary."""
-    status = changes.outcomes_of(merged)
+def close_ledger(tables, version, sites, runs, run_ids, items, done, failed, merged) -> DataFrame:
+    """Item outcomes, failed-URL log, run rows with counters and summary.
+
+    ``done``: the accepted items (:func:`changes.items_of`); ``runs`` with ``run_error``.
+    """
     result = F.to_json(F.struct(
         "canonical_url", F.col("change_status").alias("status"), "content_hash"))
     none = F.lit(None).cast("string")
-    done = good.select(*KEY, "run_id", "url").join(status, [*KEY, "run_id"]).select(
+    done = done.select(
         "run_id", "url", F.col("change_status").alias("status"), none.alias("error_type"),
         none.alias("error_message"), result.alias("result"),
     )
@@ -229,9 +274,10 @@ def close_ledger(tables, version, sites, runs, run_ids, items, good, failed, mer
         reports.counted_runs(reports.with_site(runs.drop("status"), sites), reports.run_counters(closed))
         .join(changes.unavailable_of(merged), "site_id", "left")
         .join(discovered, "run_id", "left")
+        .withColumn("products_discovered", F.coalesce("products_discovered", F.lit(0)))
         .withColumn("products_unavailable", F.coalesce("unavailable", F.lit(0)))
-        .withColumn("status", reports.final_status(F.col("errors")))
-        .withColumn("run_error", none)
+        .withColumn("status", F.when(F.col("run_error").isNotNull(), "failed").otherwise(
+            reports.final_status(F.col("errors"))))
         .withColumn("completed_at", F.col("run_ts"))
     )
     rows = reports.run_summary(reports.product_counters(rows))

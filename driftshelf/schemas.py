@@ -112,5 +112,6 @@ RUN_ROWS = {
 }
 MERGED_EXTRA = {
     "run_id": "bigint", "change_status": "string", "was_stored": "boolean",
-    "old_price": "decimal(14,2)", "old_availability": "string", "missed": "boolean",
+    "old_hash": "string", "old_price": "decimal(14,2)", "old_availability": "string",
+    "missed": "boolean",
 }

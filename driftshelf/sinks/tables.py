@@ -82,7 +82,7 @@ class CatalogTables:
         """Newest version per site or run: one small row each reaches the driver."""
         asked = (key, None if only is None else tuple(only))
         if asked not in self._known:
-            log = self.publications()
+            log = self.publications().where(F.col(key).isNotNull())
             if only is not None:
                 log = log.where(F.col(key).isin(only))
             best = log.groupBy(key).agg(F.max_by("version", "published_no").alias("version"))
@@ -135,7 +135,10 @@ class CatalogTables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def publish(self, runs: DataFrame, version: str) -> None:
-        """Make a version current for the sites of its runs: one small append."""
+        """Make a version current for the sites of its runs: one small append.
+
+        A null ``site_id`` publishes the run's own rows only and leaves the site's state.
+        """
         (
             runs.select(
                 "site_id", "run_id",

@@ -18,16 +18,20 @@ from . import style_a, style_b
 @dataclass(frozen=True)
 class PageStyle:
     """``listing_links``: listing pages to product links; ``extract``: product pages to
-    observations; ``seeds``: configured start values to products, where a style has them."""
+    observations; ``seeds``: configured start values to products, where a style has them;
+    ``checked_listing``: links with a row and an ``error`` per unreadable listing page."""
 
     listing_links: Callable[[DataFrame], DataFrame]
     extract: Callable[[DataFrame], DataFrame]
     seeds: Callable[[DataFrame], DataFrame] | None = None
+    checked_listing: Callable[[DataFrame], DataFrame] | None = None
 
 
 STYLES: dict[str, PageStyle] = {
-    fixed.STYLE_A: PageStyle(style_a.listing_links, style_a.extract),
-    fixed.STYLE_B: PageStyle(style_b.listing_links, style_b.extract, style_b.seeds),
+    fixed.STYLE_A: PageStyle(
+        style_a.listing_links, style_a.extract, checked_listing=style_a.checked_listing),
+    fixed.STYLE_B: PageStyle(
+        style_b.listing_links, style_b.extract, style_b.seeds, style_b.checked_listing),
 }
 
 
@@ -56,11 +60,6 @@ def configured_seeds(sites: DataFrame) -> DataFrame:
     return sites.select("site_id", "adapter", F.explode(values).alias("value"))
 
 
-def unsupported(sites: DataFrame) -> DataFrame:
-    """Sites whose adapter nobody registered."""
-    return sites.where(~F.col("adapter").isin(*STYLES))
-
-
 def styles_of(sites: DataFrame) -> list[str]:
     """Style names the sites use; an unregistered one is an error."""
     names = sorted(r.adapter for r in sites.select("adapter").distinct().toLocalIterator())
@@ -83,18 +82,33 @@ def extract(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
     return dispatch(pages, lambda name, mine: style(name).extract(mine), names)
 
 
-def discover(
-    pages: DataFrame, limit: int | None, seeds: DataFrame | None = None,
-    names: list[str] | None = None,
-) -> DataFrame:
-    """Products to visit per site, from listing pages (``adapter, site_id, category,
-    page_no, url, html``, optional ``page_limit``) and configured seeds (``adapter,
-    site_id, value``), which only some styles have."""
+def read_listing(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Links of listing pages (``adapter, site_id, category, page_no, url, html``, optional
+    ``page_limit``): ``site_id, category, page_no, product, error``."""
 
     def run(name: str, mine: DataFrame) -> DataFrame:
-        one, extra = style(name), None
-        if one.seeds is not None and seeds is not None:
-            extra = one.seeds(seeds.where(F.col("adapter") == name))
-        return discovery.discover(one.listing_links(mine), limit, extra)
+        one = style(name)
+        if one.checked_listing is not None:
+            return one.checked_listing(mine)
+        return one.listing_links(mine).withColumn("error", F.lit(None).cast("string"))
 
     return dispatch(pages, run, names)
+
+
+def seeds_of(configured: DataFrame, names: list[str] | None = None) -> DataFrame | None:
+    """Products of configured seeds (``adapter, site_id, value``); only some styles have them."""
+    parts = [
+        style(name).seeds(configured.where(F.col("adapter") == name))
+        for name in names or STYLES if style(name).seeds is not None
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def discover(
+    pages: DataFrame, limit: int | DataFrame | None, seeds: DataFrame | None = None,
+    names: list[str] | None = None,
+) -> DataFrame:
+    """Products to visit per site, from the listing pages that could be read and the
+    configured seeds."""
+    links = read_listing(pages, names).where("error is null").drop("error")
+    return discovery.discover(links, limit, None if seeds is None else seeds_of(seeds, names))

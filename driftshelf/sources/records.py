@@ -17,7 +17,11 @@ def parsed(pages: DataFrame, parse) -> DataFrame:
     """Pages with their nodes and the first error: no required node, then a block marker."""
     # Not deterministic to the optimizer: a filter on the results must not run it again.
     nodes = parse.asNondeterministic()("url", "html")
-    df = pages.select(*RUN_FIELDS, "url", nodes.alias("nodes"))
+    return with_errors(pages.select(*RUN_FIELDS, "url", nodes.alias("nodes")))
+
+
+def with_errors(df: DataFrame) -> DataFrame:
+    """The first error of parsed pages (``nodes`` with ``required, page_title, page_body``)."""
     n = F.col("nodes")
     marker = text.block_marker(html.first_text(n, "page_title"), html.first_text(n, "page_body"))
     df = df.withColumns({"marker": marker, "lost": F.size(html.nodes_of(n, "required")) == 0})
@@ -34,6 +38,20 @@ def parsed(pages: DataFrame, parse) -> DataFrame:
     )
 
 
+def listed(pages: DataFrame, parse, links: str) -> DataFrame:
+    """Link nodes ``n`` of listing pages; a page without its cards or with a block marker
+    gives one row with an ``error`` and no node."""
+    nodes = parse.asNondeterministic()("url", "html")
+    df = with_errors(pages.select("site_id", "category", "page_no", "url", nodes.alias("nodes")))
+    sound = F.when(F.col("error_type").isNull(), F.col(f"nodes.{links}"))
+    return df.select(
+        "site_id", "category", "page_no",
+        F.concat_ws(": ", "error_message", "url").alias("message"), "error_type",
+        F.explode_outer(sound).alias("n"),
+    ).withColumn("error", F.when(F.col("error_type").isNotNull(), F.col("message"))).drop(
+        "message", "error_type")
+
+
 def failing(df: DataFrame, **rules: Column) -> DataFrame:
     """Record the first broken rule of rows that have no error yet."""
     hit = F.coalesce(

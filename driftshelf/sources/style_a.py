@@ -11,22 +11,32 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import jsonld, text, urls
 from . import html
-from .records import failing, finish, parsed
+from .records import failing, finish, listed, parsed
 
+_parse_start = html.marked_nodes({"category": fixed.STYLE_A_CATEGORY_LINK})
 _parse_listing = html.marked_nodes(
-    {"category": fixed.STYLE_A_CATEGORY_LINK, "product": fixed.STYLE_A_LISTING_LINK}
+    {"product": fixed.STYLE_A_LISTING_LINK, "required": fixed.STYLE_A_LISTING_CARD,
+     "page_title": "title", "page_body": "body"}
 )
 
 
 def category_urls(start_pages: DataFrame) -> DataFrame:
     """Distinct category addresses of a site's start page (``site_id, url, html``)."""
-    found = _parse_listing("url", "html")["category"]
+    found = _parse_start("url", "html")["category"]
     nodes = start_pages.select("site_id", F.explode(found).alias("n"))
     return nodes.where("n.link is not null").select(
         "site_id", urls.canonicalize_url(F.col("n.link")).alias("category")
     ).distinct()
 
 
+def checked_listing(pages: DataFrame) -> DataFrame:
+    """As :func:`listing_links`, and a row with an ``error`` for each page that could not be read."""
+    rows = listed(pages, _parse_listing, "product")
+    return rows.where("n.link is not null or error is not null").select(
+        "site_id", "category", "page_no", urls.canonicalize_url(F.col("n.link")).alias("product"), "error"
+    )
+
+
 def listing_links(pages: DataFrame, parse: Callable = _parse_listing) -> DataFrame:
     """Product links of listing pages (``site_id, category, page_no, url, html``)."""
     nodes = pages.select(

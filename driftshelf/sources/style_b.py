@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text
 from . import html
-from .records import failing, finish, parsed
+from .records import failing, finish, listed, parsed
 from .style_a import image_entries
 
 _ROWS = ("row_1", "row_2", "row_3")
@@ -17,24 +17,31 @@ _parse = html.marked_nodes(
      "page_title": "title", "page_body": "body"},
     blocks=(*_ROWS, "review"),
 )
-_parse_listing = html.marked_nodes({"item": fixed.STYLE_B_LISTING_ITEM})
+_parse_listing = html.marked_nodes(
+    {"item": fixed.STYLE_B_LISTING_ITEM, "required": fixed.STYLE_B_LISTING_CARD,
+     "page_title": "title", "page_body": "body"}
+)
 
 
-def listing_links(pages: DataFrame) -> DataFrame:
-    """Product addresses on result pages (``site_id, category, page_no, url, html``).
+def checked_listing(pages: DataFrame) -> DataFrame:
+    """Product addresses on result pages (``site_id, category, page_no, url, html``), and a
+    row with an ``error`` for each page that could not be read.
 
     All pages are read; where a column ``page_limit`` is filled, pages up to it in a category."""
     if "page_limit" in pages.columns:
         pages = pages.where(F.col("page_limit").isNull() | (F.col("page_no") <= F.col("page_limit")))
-    nodes = pages.select(
-        "site_id", "category", "page_no", F.explode(_parse_listing("url", "html")["item"]).alias("n")
-    )
     code = F.col("n.attrs")[fixed.STYLE_B_CODE_ATTRIBUTE]
-    return nodes.where(text.is_code(code)).select(
-        "site_id", "category", "page_no", text.product_url(F.upper(code)).alias("product")
+    rows = listed(pages, _parse_listing, "item").where(text.is_code(code) | F.col("error").isNotNull())
+    return rows.select(
+        "site_id", "category", "page_no", text.product_url(F.upper(code)).alias("product"), "error"
     )
 
 
+def listing_links(pages: DataFrame) -> DataFrame:
+    """The addresses on the pages that could be read."""
+    return checked_listing(pages).where("error is null").drop("error")
+
+
 def seeds(configured: DataFrame) -> DataFrame:
     """Configured start addresses or codes (``site_id, value``) that hold a valid code."""
     coded = configured.withColumn("code", text.product_code(F.col("value")))

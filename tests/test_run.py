@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftshelf.plans.run import export_run, run_batch, with_options
-from driftshelf.schemas import ddl, SITES
+from driftshelf.operators import discovery
+from driftshelf.schemas import RECORD_FIELDS, ddl, SITES
 from driftshelf.sinks.export import export
 from driftshelf.sinks.tables import CatalogTables
 from driftshelf.sources import adapters, style_a, style_b
@@ -249,3 +250,120 @@ def test_two_sites_in_one_batch_and_untouched_files(spark, tmp_path):
     with pytest.raises(ValueError):
         run_batch(tables, "v3", sites(spark), runs_of(spark, [(4, A, "pending", False), (5, A, "pending", False)]),
                   pages=pages_of(spark, third))
+
+
+def items_of(spark, run, rows, **more):
+    """Observations of a run: (item_seq, url, canonical_url, price, external_id)."""
+    t = datetime(2024, 1, run)
+    made = [(A, run, t, i, u, c, "t", p, x) for i, u, c, p, x in rows]
+    return spark.createDataFrame(made, "site_id long, run_id long, run_ts timestamp, item_seq long, url string, "
+                                 "canonical_url string, title string, current_price string, external_id string") \
+        .select("*", *[F.lit(None).cast(k).alias(n) for n, k in RECORD_FIELDS.items()
+                       if n not in ("canonical_url", "title", "current_price", "external_id")])
+
+
+def test_items_of_one_product_are_taken_in_order(spark, tmp_path):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    p = f"{BASE}/p/1"
+    first = items_of(spark, 1, [(1, p + "?a", p, "1.00", None), (2, p + "?b", p, "2.00", None), (3, p + "?c", p, "2.00", None)])
+    row = run_batch(tables, "v1", sites(spark), runs_of(spark, [(1, A, "pending", False)]), observations=first).first()
+    assert (row.products_new, row.products_updated, row.products_unchanged) == (1, 1, 1)
+    assert [(float(r.old_price), float(r.new_price)) for r in tables.log("price_history").collect()] == [(1, 2)]
+    second = items_of(spark, 2, [(1, p + "?a", p, "2.00", None), (2, p + "?b", p, "3.00", None)])
+    row = run_batch(tables, "v2", sites(spark), runs_of(spark, [(2, A, "pending", False)]), observations=second).first()
+    assert (row.products_new, row.products_updated, row.products_unchanged) == (0, 1, 1)
+    assert tables.state("products").count() == 1 and tables.log("price_history").count() == 2
+
+
+def test_a_freed_id_can_be_taken(spark, tmp_path):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    a, b, c = (f"{BASE}/p/{n}" for n in "abc")
+
+    def fold(run, rows):
+        runs = runs_of(spark, [(run, A, "pending", False)])
+        row = run_batch(tables, f"v{run}", sites(spark), runs, observations=items_of(spark, run, rows)).first()
+        return row.errors, {r.canonical_url[-1]: r.external_id for r in tables.state("products").collect()}
+
+    assert fold(1, [(1, a, a, "1", "X")]) == (0, {"a": "X"})
+    assert fold(2, [(1, a, a, "1", "Y"), (2, b, b, "1", "X"), (3, c, c, "1", "X")]) == (1, {"a": "Y", "b": "X"})
+    # a wants b's id first, so neither id is free
+    assert fold(3, [(1, a, a, "1", "X"), (2, b, b, "1", "Y")]) == (2, {"a": "Y", "b": "X"})
+
+
+def test_a_resumed_run_counts_its_unavailable_products(spark, tmp_path):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+
+    def fold(version, run, rows, status="pending"):
+        runs = runs_of(spark, [(run, A, status, False)]).withColumn("missing_threshold", F.lit(1))
+        pages = pages_of(spark, [(A, run, datetime(2024, 1, run), 0, f"{BASE}/p/{n}", html) for n, html in rows])
+        return run_batch(tables, version, sites(spark), runs, pages=pages).first()
+
+    good = shop_page("a", "1.00")
+    fold("v1", 1, [(n, good) for n in (1, 2, 3, 4)])
+    two = fold("v2", 2, [(1, good), (2, "<p>no</p>")])
+    assert (two.errors, two.products_unavailable) == (1, 3)
+    again = fold("v2b", 2, [(2, good)], "completed_with_errors")
+    assert (again.errors, again.products_unavailable) == (0, 2)
+    missed = {r.canonical_url[-1]: r.consecutive_missing_runs for r in tables.state("products").collect()}
+    assert missed == {"1": 0, "2": 0, "3": 1, "4": 1}
+
+
+def test_runs_of_unknown_or_disabled_sites_are_refused(spark, tmp_path):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    found = items_of(spark, 1, [(1, f"{BASE}/p/1", f"{BASE}/p/1", "1", None)])
+    runs = runs_of(spark, [(1, A, "pending", False)])
+    for some in (sites(spark).where(f"site_id <> {A}"), sites(spark).withColumn("enabled", F.col("site_id") != A)):
+        with pytest.raises(ValueError, match="unknown or disabled"):
+            run_batch(tables, "v1", some, runs, observations=found)
+    assert not tables.is_published("v1")
+
+
+def test_unreadable_listing_pages_fail_the_run_of_their_site(spark, tmp_path):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    found = "site_id long, category string, page_no int, url string, html string"
+    home = [(A, "c", 1, f"{BASE}/c/1", listing("/p/1")), (A, "c", 2, f"{BASE}/c/2", listing("/p/2")),
+            (B, "s", 1, "https://m/s?k=1", '<div data-component-type="s-search-result" data-asin="B00DECK001"></div>')]
+    rows = [(A, n, datetime(2024, 1, n), 0, f"{BASE}/p/1", shop_page("a", "1.00")) for n in (1, 2, 3, 4)]
+    rows += [(B, 12, datetime(2024, 1, 12), 0, "https://www.amazon.com/dp/B00DECK001", market_page("B00DECK001"))]
+    pages = pages_of(spark, rows)
+
+    def fold(version, runs, home, **more):
+        out = run_batch(tables, version, sites(spark), runs_of(spark, runs), pages=pages,
+                        listing=spark.createDataFrame(home, found), **more)
+        return {r.run_id: r for r in out.collect()}
+
+    fold("v1", [(1, A, "pending", False)], home)
+    blocked = [home[0], (A, "c", 2, f"{BASE}/c/2", listing("/p/2", more="<p>Please solve the captcha")), home[2]]
+    out = fold("v2", [(2, A, "pending", False), (12, B, "pending", False)], blocked)
+    assert (out[2].status, out[2].products_discovered) == ("failed", 0)
+    # the product listed, and the site's configured seed, which has no saved page
+    assert (out[12].status, out[12].products_new, out[12].errors) == ("completed_with_errors", 1, 1)
+    summary = json.loads(out[2].summary)
+    assert (summary["error"], summary["resumable"]) == (
+        f"Access challenge detected: captcha: {BASE}/c/2", True)
+    state = {r.site_id: r for r in tables.state("products").collect()}
+    assert (state[A].consecutive_missing_runs, state[B].external_id) == (0, "B00DECK001")
+    empty = [home[0], (A, "c", 2, f"{BASE}/c/2", "<p>nothing")]
+    assert fold("v3", [(3, A, "pending", False)], empty)[3].status == "failed"
+    limited = fold("v4", [(4, A, "pending", False)], empty, max_products=1)[4]
+    assert (limited.status, limited.products_unchanged) == ("completed", 1)
+    resumed = fold("v2b", [(2, A, "failed", False)], home)[2]
+    assert (resumed.status, resumed.products_unchanged, resumed.errors) == ("completed_with_errors", 1, 1)
+
+
+def test_a_limit_in_the_options_limits_discovery(spark, tmp_path):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    made = [(n, f"{BASE}/p/{n}", f"{BASE}/p/{n}", "1", None) for n in range(1, 6)]
+    runs = runs_of(spark, [(1, A, "pending", False)]).drop("limited", "missing_threshold")
+    runs = runs.withColumn("options", F.lit('{"max_products":2}'))
+    row = run_batch(tables, "v1", sites(spark), runs, observations=items_of(spark, 1, made)).first()
+    assert (row.products_discovered, row.products_new) == (2, 2)
+
+
+def test_limits_per_site(spark):
+    links = spark.createDataFrame(
+        [(s, "c", n, f"p{s}{n}{x}") for s in (1, 2, 3) for n in (1, 2, 3) for x in "ab"],
+        "site_id long, category string, page_no int, product string")
+    limits = spark.createDataFrame([(1, 3), (2, 0), (3, None)], "site_id long, max_products long")
+    found = discovery.discover(links, limits).groupBy("site_id").count().orderBy("site_id").collect()
+    assert [tuple(r) for r in found] == [(1, 3), (2, 6), (3, 6)]
