@@ -331,6 +331,62 @@ def similarity(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_near_duplicates_go_at_four_fifths_exactly(spark):
+    """Isolated pairs, long and short: just at 0.8 one goes, just below it both stay."""
+    r, texts = random.Random(17), []
+
+    def fresh(n):
+        return [f"t{r.randrange(10 ** 9)}" for _ in range(n)]
+
+    for i in range(150):
+        n, more = ((8, 1), (180, 44), (180, 44))[i % 3]  # 4 of 5 shingles, 176 of 220
+        words = fresh(n)
+        texts += [" ".join(words), " ".join(words + fresh(more))]
+    for i in range(60):
+        words = fresh(180)
+        texts += [" ".join(words), " ".join(words + fresh(52))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    alike = [similarity(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert set(alike[:150]) == {0.8} and max(alike[150:]) < 0.8
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(df).collect()}
+    assert kept >= set(range(0, len(texts), 2))
+    assert set(range(301, len(texts), 2)) <= kept
+    assert not set(range(1, 300, 2)) & kept
+
+
+@pytest.mark.parametrize("together", [3000, 8 << 20])
+def test_similar_links_join_what_all_pairs_join(spark, together):
+    r = random.Random(23)
+    texts = [prose(700 + i, r.choice((9, 30, 150))) for i in range(30)]
+    for base in texts[:20]:
+        for changes in (1, 1, 2, 4):
+            words = base.split()
+            for _ in range(changes):
+                words[r.randrange(len(words))] = f"new{r.random()}"
+            texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    prints = common.written(df.select(
+        "doc_id", simhash.F.xxhash64("text").alias("k_text"), simhash.wide_fingerprints().alias("fingerprint"),
+        simhash.F.arrow_udf(simhash._short_keys, "array<bigint>")(simhash.F.col("text")).alias("short"),
+    ), "prints")
+    of = {simhash.wide_fingerprint(t): t for t in texts}
+    roots = {of[bytes(x["node"])]: x["root"] for x in components.components(
+        simhash.similar_links(df, prints, together)).collect()}
+    groups = [{t} for t in texts]
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if similarity(a, b) >= 0.8:
+                one, two = (next(g for g in groups if t in g) for t in (a, b))
+                if one is not two:
+                    groups.remove(two)
+                    one |= two
+    linked = {}
+    for t in texts:
+        linked.setdefault(bytes(roots[t]) if t in roots else t, set()).add(t)
+    assert sorted(map(sorted, linked.values())) == sorted(map(sorted, groups))
+
+
 @pytest.mark.parametrize("together", [5, 8192])
 def test_texts_alike_in_four_fifths_are_linked(spark, together):
     """Beside all pairs: links join what is alike by 0.85 and more; what they join has a partner of 0.6."""
