@@ -22,7 +22,7 @@ from .common import BROADCAST_BYTES, KEY, by_key, checked_broadcast, keyed, tabl
 from .components import components
 
 EDITS = 2
-#: Lines with fewer characters are left alone: two edits change too much of them.
+#: Lines with fewer characters are repeated if they are equal: two edits change too much of them.
 LEAST_CHARS = 32
 #: A hash with more lines than this is dealt to parts, and every two parts are compared apart.
 TOGETHER = 64
@@ -324,11 +324,15 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, to
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Written table (k_id, k_text, lines): numbers of the lines to drop, comma-joined, per document."""
+    """Written table (k_id, k_text, lines): numbers of the lines to drop, comma-joined, per document.
+
+    Lines of fewer than `least` characters are in no link, so their class is the lines equal to
+    them. Lines without characters are no text and stay.
+    """
     roots = components(line_links(docs, edits, least))
     places = keyed(docs).select("k_id", "k_text", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     places = written(
-        places.where(F.length("line") >= least).select("k_id", "k_text", "place", F.unhex(F.md5("line")).alias("id")),
+        places.where(F.length("line") > 0).select("k_id", "k_text", "place", F.unhex(F.md5("line")).alias("id")),
         "places",
     )
     spot = F.struct("k_id", "k_text", "place")
@@ -375,7 +379,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left of every document.
 
-    A null text has no lines, an empty one has one. Short lines are never removed. A null
+    A null text has no lines, an empty one has one. Short lines go if they are equal to an earlier one. A null
     doc_id comes first; equal rows are the same document and keep the same lines.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

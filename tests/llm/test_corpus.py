@@ -277,6 +277,16 @@ def test_first_line_of_a_class_stays(spark, folder):
     assert kept[11]["kept"] == "other" and kept[4]["kept"] is None
 
 
+def test_equal_short_lines_go_and_close_ones_stay(spark):
+    shorts = ["Read more", "x", "y" * 31]
+    texts = ["\n".join([f"own line {i}", *shorts, "", f"Read mor{i % 10}"]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["dedup"] for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got[0]["kept"] == texts[0] and got[0]["n_removed"] == 0
+    for i in range(1, 40):
+        assert got[i]["kept"].split("\n") == [f"own line {i}", ""] + ([f"Read mor{i}"] if i < 10 else [])
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[k:k + 3]) for k in range(max(1, len(words) - 2))] if words else []
