@@ -80,12 +80,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def by_key(docs: DataFrame, verdicts: DataFrame, how: str, wide: str | None = None) -> DataFrame:
-    """Join documents with a written table keyed by KEY, keeping the documents' own columns."""
-    side = verdicts.select(*(F.col(c).alias(f"__{c}") for c in verdicts.columns))
-    side = checked_broadcast(side, f"__{wide}" if wide else None)
-    return docs.join(
-        side,
-        (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == side["__k_id"])
-        & (F.xxhash64(docs["text"]) == side["__k_text"]),
-        how,
+    """Join documents with a written table keyed by KEY, as (row, found).
+
+    `row` is a struct of the documents' own columns, whatever their names, `found` one of the
+    table's; it is null where a left join finds none. An anti join gives `row` only.
+    """
+    rows = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("row_id"),
+        F.xxhash64("text").alias("row_text"),
     )
+    side = verdicts.select(F.struct("*").alias("found"), *KEY)
+    side = checked_broadcast(side, f"found.{wide}" if wide else None)
+    joined = rows.join(side, (rows["row_id"] == side["k_id"]) & (rows["row_text"] == side["k_text"]), how)
+    return joined.select("row") if how == "left_anti" else joined.select("row", "found")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as it takes to be new."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+#: Tables of a SQL query that works out CRC-32: `lookup` has one row, to be joined to.
+CRC_SQL = """digit AS (SELECT range AS i, range::UBIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1
+  FROM digit WHERE k < 8),
+lookup AS (SELECT list(c ORDER BY i) AS crc_table FROM digit WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text of ASCII characters, beside a row of `lookup`."""
+    return f"""xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+        range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::UBIGINT)),
+      lambda c, x: xor(c >> 8, crc_table[(xor(c & 255, x) + 1)::BIGINT])), 4294967295::UBIGINT)"""

@@ -113,8 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = written(shared.groupBy(*KEY).agg(F.collect_set("print").alias("hits")), "hits")
 
     near = by_key(docs.select("doc_id", "text"), hits, "inner").select(
-        F.col("__k_id").alias("k_id"), F.col("__k_text").alias("k_text"),
-        words_of(F.col("text")).alias("words"), F.col("__hits").alias("hits"),
+        "found.k_id", "found.k_text", words_of(F.col("row.text")).alias("words"), "found.hits",
     ).dropDuplicates(KEY)
     near = near.withColumn("grams", F.when(F.size("words") >= SPAN, _grams(F.col("words"), GRAM)))
     at = F.filter(
@@ -146,7 +145,7 @@ def covered(spans: Column) -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a word inside a window of an item; all columns are kept."""
     hit = contamination(docs, benchmark).where("spans IS NOT NULL").select(*KEY)
-    return by_key(docs, written(hit, "hit"), "left_anti")
+    return by_key(docs, written(hit, "hit"), "left_anti").select("row.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,10 +370,10 @@ def _dropping(texts: pa.Array, numbers: pa.Array) -> pa.Array:
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Add struct column `dedup` (kept, n_lines, n_removed), replacing one of this name."""
+    """(row, dedup): a struct of each document's own columns and one of (kept, n_lines, n_removed)."""
     drop = F.arrow_udf(_dropping, "struct<kept: string, n_lines: bigint, n_removed: bigint>")
     found = by_key(docs, repeated_lines(docs, edits, least), "left", wide="lines")
-    return found.withColumn("dedup", drop(F.col("text"), F.col("__lines"))).drop("__k_id", "__k_text", "__lines")
+    return found.select("row", drop(F.col("row.text"), F.col("found.lines")).alias("dedup"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +384,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_lines(docs).select(
-        "doc_id", F.col("dedup.n_lines").alias("n_lines"), F.col("dedup.n_removed").alias("n_removed"),
+        "row.doc_id", F.col("dedup.n_lines").alias("n_lines"), F.col("dedup.n_removed").alias("n_removed"),
         F.sha2(F.coalesce("dedup.kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, table
 
 MODEL = "piece_bpe_32k.model"
 #: Fixed values of the public model format: field numbers and piece types.
@@ -217,7 +217,7 @@ def packed(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def _encoding(path: str, spans: bool):
+def _encoding(path: str, spans: bool, text: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows with their pieces, a few at a time: pieces take several times a text's memory."""
         own = encoder(path)
@@ -227,7 +227,7 @@ def _encoding(path: str, spans: bool):
                 rows = [
                     (packed(ids), packed(begins) if spans else None, packed(ends) if spans else None,
                      int((ends - begins).sum()))
-                    for ids, begins, ends in own.encode([t or "" for t in some.column("text").to_pylist()])
+                    for ids, begins, ends in own.encode([t or "" for t in some.column(text).to_pylist()])
                 ]
                 pieces = pa.StructArray.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*rows), ENCODED)], fields=list(ENCODED)
@@ -251,18 +251,20 @@ def decoding(path: str):
 
 
 def encode_texts(docs: DataFrame, path: str, spans: bool = True) -> DataFrame:
-    """Add struct column `pieces`, replacing one of this name; rows stay where they are.
+    """Add struct column `pieces`, `pieces_` if there is one of this name; rows stay where they are.
 
     It holds packed ids, packed begins and ends of their source bytes, and the number of bytes
     covered. Null is an empty text: begin and end ids only. With spans=False the spans are
-    worked out and checked, but not carried along.
+    worked out and checked, but not carried along. Texts of any length are encoded whole.
     """
-    rest = docs.drop("pieces")
     kind = T.StructType([
         T.StructField("ids", T.BinaryType()), T.StructField("begins", T.BinaryType()),
         T.StructField("ends", T.BinaryType()), T.StructField("covered", T.LongType()),
     ])
-    return rest.mapInArrow(_encoding(path, spans), T.StructType([*rest.schema.fields, T.StructField("pieces", kind)]))
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any form, dots included
+    fields = T.StructType([*numbered.schema.fields, T.StructField("pieces", kind)])
+    found = numbered.mapInArrow(_encoding(path, spans, docs.columns.index("text")), fields)
+    return found.toDF(*docs.columns, free_name("pieces", docs.columns))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,6 @@
 Two fingerprints at `distance` or less differ in at most `distance` of the `blocks` blocks
 they are cut into, so they agree in some choice of blocks - distance of them. Fingerprints
 are grouped by each such choice and compared inside the groups.
-
-64 bits are too few to tell texts alike in four fifths of their shingles from others, so
-`drop_near_duplicates` takes 512 bits of five-word shingles, on which such texts differ in
-about 78, give or take 8. No cut into blocks of a useful length makes every such pair share
-one, so the bits are laid out six times and cut into 28 blocks of 18 bits each time; short
-texts also meet in their smallest shingles, where none is missed. What meets and differs in
-few bits is a candidate only: links are checked on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -23,34 +16,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, by_key, checked_broadcast, table, written
+from .common import NO_ID, by_key, table, written
 from .components import components
 
 WORDS, SEED, DISTANCE, BLOCKS = 3, 42, 3, 6
 #: Fingerprints compared in one go. Larger groups are cut into parts, and every pair of parts is compared.
 TOGETHER = 2048
 
-#: The wide fingerprint: words of a shingle, 64-bit words of the fingerprint, differing bits of a link.
-WIDE_WORDS, LANES, WIDE_DISTANCE = 5, 8, 92
-#: Differing bits of a candidate: 96, give or take 9, differ between sets of 4 and 5 shingles, the
-#: worst case of similarity 0.8; 82 at most, give or take 8, from 7 shingles on.
-CANDIDATE_DISTANCE = 128
-#: Bits of a block, and how often the bits are laid out anew. Groups share 18 bits, so they stay
-#: a 262,000th of all texts; more bits make them smaller and miss more.
-BLOCK_BITS, LAYOUTS = 18, 6
-#: Texts of so many different shingles also meet in their smallest ones. A text of 24 and one
-#: alike in four fifths, which has 30 at most, meet for certain.
-SHORT = 30
-#: Of the first 128 bits, 20 differ between texts of similarity 0.8, give or take 4.
-HEAD_DISTANCE = 42
-#: Links need the smaller set of shingles to be at least this share of the larger.
-SIMILARITY = 0.8
-#: As TOGETHER, for rows of a few numbers.
-WIDE_TOGETHER = 8192
-#: Bytes of shingles compared in one go.
-TOGETHER_BYTES = 8 << 20
-_LANE = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
 
 def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
     """A hash of each run of `words` words, repeats included; of all words if they are fewer."""
@@ -179,286 +151,14 @@ def close_links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCK
     return dealt.mapInArrow(_linker(distance), "a bigint, b bigint")
 
 
-def wide_fingerprint(text: str | None) -> bytes:
-    """512 bits of the different shingles of five words, then their number in four bytes.
-
-    A text without words has zeros only.
-    """
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return bytes(8 * LANES + 4)
-    hashes = np.unique(shingle_hashes(parts, WIDE_WORDS))
-    ones = np.zeros(64 * LANES, dtype=np.int64)
-    for at in range(0, len(hashes), 255):  # so many fit a sum of bytes
-        mixed = hashes[at:at + 255, None] + _LANE
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(31)
-        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(hashes)).tobytes() + len(hashes).to_bytes(4, "little")
-
-
-def wide_fingerprints(text: str = "text") -> Column:
-    return F.arrow_udf(_wide_fingerprints, "binary")(F.col(text))
-
-
-def _wide_fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([wide_fingerprint(t.as_py()) for t in texts], type=pa.binary())
-
-
-def _matrix(prints: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A row of bytes for each wide fingerprint."""
-    joined = b"".join(prints.to_pylist())
-    return np.frombuffer(joined, dtype=np.uint8).reshape(-1, 8 * LANES + 4)
-
-
-def _cuts() -> np.ndarray:
-    """Of each block the places of its bits, after a few that are always 0."""
-    blocks = []
-    for layout in range(LAYOUTS):
-        order = sorted(range(64 * LANES), key=lambda i: xxhash.xxh64_intdigest(i.to_bytes(2, "little"), layout))
-        blocks += [order[at:at + BLOCK_BITS] for at in range(0, 64 * LANES - BLOCK_BITS + 1, BLOCK_BITS)]
-    return np.array([[64 * LANES] * (32 - BLOCK_BITS) + block for block in blocks])
-
-
-_CUTS = _cuts()
-
-
-def _block_keys(prints: pa.Array) -> pa.Array:
-    """The number of each block with the bits in it."""
-    bits = np.unpackbits(_matrix(prints)[:, :8 * LANES], axis=1)
-    bits = np.concatenate([bits, np.zeros((len(bits), 1), dtype=np.uint8)], axis=1)
-    keys = np.packbits(bits[:, _CUTS], axis=-1).view(">u4")[..., 0].astype(np.int64)
-    keys |= np.arange(len(_CUTS), dtype=np.int64) << BLOCK_BITS
-    ends = np.arange(len(keys) + 1, dtype=np.int32) * len(_CUTS)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-
-
-def _shingle_set(text: str | None) -> np.ndarray:
-    parts = (text or "").encode().lower().split()
-    return np.unique(shingle_hashes(parts, WIDE_WORDS)) if parts else np.zeros(0, dtype=np.uint64)
-
-
-def _shingle_sets(texts: pa.Array) -> pa.Array:
-    return pa.array([_shingle_set(t.as_py()).tobytes() for t in texts], type=pa.binary())
-
-
-def short_keys(text: str | None) -> list[int]:
-    """The smallest shingles of a short text, as negative numbers.
-
-    Of n shingles a text alike in four fifths lacks n // 5 at most, so the first n // 5 + 1
-    of both in one order have one in common.
-    """
-    own = _shingle_set(text)
-    if len(own) > SHORT:
-        return []
-    return (own[:len(own) // 5 + 1] | np.uint64(1 << 63)).view(np.int64).tolist()
-
-
-def _short_keys(texts: pa.Array) -> pa.Array:
-    return pa.array([short_keys(t.as_py()) for t in texts], type=pa.list_(pa.int64()))
-
-
-def _head(prints: pa.Array, lane: int) -> pa.Array:
-    return pa.array(_matrix(prints)[:, 8 * lane:8 * lane + 8].copy().view(np.int64).ravel())
-
-
-def _first_lane(prints: pa.Array) -> pa.Array:
-    return _head(prints, 0)
-
-
-def _second_lane(prints: pa.Array) -> pa.Array:
-    return _head(prints, 1)
-
-
-def spanning(near: Callable[[int, np.ndarray], np.ndarray], count: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(member, members that hang on it): each of `count` members hangs on one at most."""
-    rest = np.arange(count)
-    while len(rest):
-        seed, rest = int(rest[0]), rest[1:]
-        front = [seed]
-        while front and len(rest):
-            found = near(front.pop(), rest)
-            if found.any():
-                front.extend(rest[found].tolist())
-                yield seed, rest[found]
-                rest = rest[~found]
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
-    """Rows sorted by key and part, cut where a group ends, and where each group starts and ends."""
-    held = None
-    for rows in batches:
-        if not rows.num_rows:
-            continue
-        rows = pa.Table.from_batches([rows])
-        held = pa.concat_tables([held, rows]) if held is not None else rows
-        keys = np.stack([held["key"].to_numpy(), held["part"].to_numpy()])
-        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
-        if len(edges) > 1:
-            yield held.slice(0, edges[-1]), edges
-            held = held.slice(edges[-1])
-    if held is not None:
-        yield held, [0, held.num_rows]
-
-
-def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group, the rows with another one whose head is close."""
-    for rows, edges in _whole_groups(batches):
-        heads = np.stack([rows["h0"].to_numpy(), rows["h1"].to_numpy()]).view(np.uint64)
-        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        sizes = np.diff(edges)
-        marked = np.zeros(rows.num_rows, dtype=bool)
-        few = np.flatnonzero(sizes[group] <= 32)
-        for step in range(1, min(32, len(few))):
-            a, b = few[:-step], few[step:]
-            same = group[a] == group[b]
-            if not same.any():
-                break
-            a, b = a[same], b[same]
-            close = np.bitwise_count(heads[:, a] ^ heads[:, b]).sum(axis=0) <= HEAD_DISTANCE
-            marked[a[close]] = marked[b[close]] = True
-        for g in np.flatnonzero(sizes > 32).tolist():
-            some = heads[:, edges[g]:edges[g + 1]]
-
-            def near(i: int, rest: np.ndarray) -> np.ndarray:
-                return np.bitwise_count(some[:, rest] ^ some[:, i:i + 1]).sum(axis=0) <= HEAD_DISTANCE
-
-            for i, found in spanning(near, some.shape[1]):
-                marked[edges[g] + i] = True
-                marked[edges[g] + found] = True
-        if marked.any():
-            yield from rows.select(["key", "part", "id"]).filter(pa.array(marked)).combine_chunks().to_batches()
-
-
-def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """How many of its shingles each of the others, none of them empty, has in common with `own`."""
-    joined = np.concatenate(others)
-    at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-    starts = np.cumsum([0, *(len(x) for x in others[:-1])])
-    return np.add.reduceat((own[at] == joined).astype(np.int64), starts)
-
-
-def _wide_linker(distance: int) -> Callable:
-    """Links of close fingerprints; where the rows have their shingles, of similar ones among them."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, edges in _whole_groups(batches):
-            prints = rows["fingerprint"].combine_chunks()
-            whole = _matrix(prints)
-            lanes = whole[:, :8 * LANES].copy().view(np.uint64)
-            sizes = whole[:, 8 * LANES:].copy().view("<u4").ravel().astype(np.int64)
-            sets = None
-            if "shingles" in rows.column_names:
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"].to_pylist()]
-            for first, last in zip(edges, edges[1:]):
-                some, size = lanes[first:last], sizes[first:last]
-
-                def near(i: int, rest: np.ndarray) -> np.ndarray:
-                    least, most = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-                    apart = np.bitwise_count(some[rest] ^ some[i]).sum(axis=1, dtype=np.int64)
-                    close = (apart <= distance) & (least >= SIMILARITY * most)
-                    if sets is not None:
-                        close &= least > 0
-                        at = np.flatnonzero(close)
-                        if len(at):
-                            both = _shared(sets[first + i], [sets[first + j] for j in rest[at].tolist()])
-                            close[at] = both >= SIMILARITY * (size[i] + size[rest[at]] - both)
-                    return close
-
-                for i, found in spanning(near, last - first):
-                    b = prints.take(pa.array(first + found))
-                    a = prints.take(pa.array(np.full(len(found), first + i)))
-                    yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
-    return link
-
-
-def wide_links(prints: DataFrame, together: int = WIDE_TOGETHER, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """Links (a, b) between distinct wide fingerprints that differ in `distance` bits or fewer.
-
-    Grouped rows hold the first 128 bits only. Those that have a partner by them, at most
-    each row of a group once, get the whole fingerprint and are linked in the same group, as
-    in `close_links`. Groups above `together` are dealt to parts as there. Pairs that
-    agree in no block are missed: 3 in 1,000 or fewer at a similarity of 0.8, as simulated for 25
-    shingles and more. With a column `short` of `short_keys`, none of fewer shingles is.
-    """
-    first, second, keys = (F.arrow_udf(f, kind)(F.col("fingerprint")) for f, kind in (
-        (_first_lane, "bigint"), (_second_lane, "bigint"), (_block_keys, "array<bigint>")))
-    keys = F.concat(keys, "short") if "short" in prints.columns else keys
-    named = prints.select("fingerprint", F.xxhash64("fingerprint").alias("id"))
-    keyed = prints.select(F.explode(keys).alias("key"))
-    crowded = written(keyed.groupBy("key").count().where(F.col("count") > together), "crowded")
-    parts = F.ceil(F.coalesce("count", F.lit(1)) / together).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
-    meetings = F.transform(
-        F.sequence(F.lit(0), parts - 1),
-        lambda other: (F.greatest(own, other) * parts + F.least(own, other)).cast("long"),
-    )
-    heads = prints.select(F.xxhash64("fingerprint").alias("id"), first.alias("h0"), second.alias("h1"),
-                          keys.alias("keys"))
-    dealt = (
-        heads.select("id", "h0", "h1", F.explode("keys").alias("key"))
-        .join(checked_broadcast(crowded), "key", "left")
-        .select("key", F.explode(meetings).alias("part"), "id", "h0", "h1")
-        .repartition("key", "part")
-        .sortWithinPartitions("key", "part")
-    )
-    paired = written(dealt.mapInArrow(_with_partner, "key bigint, part bigint, id bigint"), "paired")
-    return (
-        paired.join(named, "id").select("key", "part", "fingerprint")
-        .repartition("key", "part")
-        .sortWithinPartitions("key", "part", "fingerprint")
-        .mapInArrow(_wide_linker(distance), "a binary, b binary")
-    )
-
-
-def similar_links(docs: DataFrame, prints: DataFrame, together: int = TOGETHER_BYTES) -> DataFrame:
-    """Links (a, b) between wide fingerprints of texts alike in SIMILARITY of their shingles.
-
-    `prints` is the written table (doc_id, k_text, fingerprint, short) of `docs`. What
-    candidates join is a superset of what similar pairs join, so the shingles of one text per
-    fingerprint go once to its candidate component and are compared there. Components of more
-    than `together` bytes are dealt to parts as in `close_links`.
-    """
-    at = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k_id"), "k_text")
-    firsts = written(prints.groupBy("fingerprint").agg(
-        F.min(at).alias("at"), F.first("short").alias("short")
-    ), "firsts")
-    roots = components(wide_links(firsts.select("fingerprint", "short"), distance=CANDIDATE_DISTANCE))
-    members = written(firsts.join(roots, firsts["fingerprint"] == roots["node"]).select(
-        "at.*", "fingerprint", F.xxhash64("root").alias("key")
-    ), "members")
-    once = by_key(docs.select("doc_id", "text"), members, "inner").dropDuplicates(["__k_id", "__k_text"])
-    sets = written(once.select(
-        F.col("__key").alias("key"), F.col("__fingerprint").alias("fingerprint"),
-        F.arrow_udf(_shingle_sets, "binary")(F.col("text")).alias("shingles"),
-    ), "sets")
-    large = written(sets.groupBy("key").agg(F.sum(F.octet_length("shingles")).alias("bytes")).where(
-        F.col("bytes") > together), "large")
-    parts = F.ceil(F.coalesce("bytes", F.lit(1)) / together).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint", F.lit(7)), parts).cast("int")
-    meetings = F.transform(
-        F.sequence(F.lit(0), parts - 1),
-        lambda other: (F.greatest(own, other) * parts + F.least(own, other)).cast("long"),
-    )
-    return (
-        sets.join(checked_broadcast(large), "key", "left")
-        .select("key", F.explode(meetings).alias("part"), "fingerprint", "shingles")
-        .repartition("key", "part")
-        .sortWithinPartitions("key", "part", "fingerprint")
-        .mapInArrow(_wide_linker(CANDIDATE_DISTANCE), "a binary, b binary")
-    )
-
-
-def classes(prints: DataFrame, links: Callable[[DataFrame], DataFrame] = close_links) -> DataFrame:
+def classes(prints: DataFrame) -> DataFrame:
     """Written table (fingerprint, root, component_id) of a written table (doc_id, fingerprint).
 
     component_id is the smallest doc_id reachable over close fingerprints. Null ids are never
     the smallest; a component of null ids only has a null component_id.
     """
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    roots = components(links(distinct.select("fingerprint")))
+    roots = components(close_links(distinct.select("fingerprint")))
     rooted = written(
         distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
             "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
@@ -486,30 +186,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one document of each component of similar texts: the one with the smallest doc_id.
+    """Keep one document of each component of close fingerprints: the one with the smallest doc_id.
 
-    Null, empty and blank texts are copies of each other.
-    Ties (one id on several rows of a component) go to the smallest text, and of equal rows
-    one stays; a null doc_id comes last. All columns are kept. The kept row is picked by an
+    Null, empty and blank texts are copies of each other. Ties (one id on several rows of a
+    component) go to the smallest hash of the text, and of equal rows one stays; a null doc_id
+    comes last. All columns are kept, whatever their names. The kept row is picked by an
     aggregate over narrow rows; only the kept keys are joined with the texts.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k_text"),
-        wide_fingerprints().alias("fingerprint"), F.arrow_udf(_short_keys, "array<bigint>")(F.col("text")).alias("short"),
-    )
-    prints = written(rows, "prints")
-    named = classes(
-        prints.select("doc_id", "fingerprint"), lambda _: similar_links(docs, prints)
-    ).select("fingerprint", "root")
+    prints = written(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k_text"), fingerprints().alias("fingerprint"),
+    ), "prints")
     counted = prints.groupBy("doc_id", "k_text", "fingerprint").agg(F.count("*").alias("n"))
-    best = counted.join(named, "fingerprint").groupBy("root").agg(F.min_by(
+    best = counted.join(classes(prints), "fingerprint").groupBy("root").agg(F.min_by(
         F.struct("doc_id", "k_text", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "k_text")
     ).alias("kept"))
     kept = written(best.select(
         F.coalesce("kept.doc_id", F.lit(NO_ID)).alias("k_id"), "kept.k_text", "kept.n"
     ), "kept")
     found = by_key(docs, kept, "inner")
-    once = found.where("__n = 1")
+    once = found.where("found.n = 1").select("row")
     if not kept.where("n > 1").isEmpty():
-        once = once.union(found.where("__n > 1").dropDuplicates(["__k_id", "__k_text"]))
-    return once.drop("__k_id", "__k_text", "__n")
+        once = once.union(found.where("found.n > 1").dropDuplicates(["found"]).select("row"))
+    return once.select("row.*")

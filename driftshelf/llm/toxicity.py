@@ -259,7 +259,8 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that score below the threshold; all columns are kept."""
-    return score(docs, train(docs, labels), "__score").where(F.col("__score") < threshold).drop("__score")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return score(rows, train(docs, labels)).where(F.col("score") < threshold).select("row.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
