@@ -25,12 +25,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     changed = {"text": F.col("dedup.kept")}
     if "n_chars" in docs.columns:
         shorter = F.length("dedup.kept").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("dedup.n_removed") > 0, shorter).otherwise(F.col("n_chars"))
-    return kept.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("dedup.n_removed") > 0, shorter).otherwise(F.col("row.n_chars"))
+    return kept.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of close fingerprints, by the shingles and distance of the operator."""
     small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
