@@ -38,6 +38,8 @@ AGREE = 41
 TOGETHER = 8192
 #: Bytes of sets compared in one go; larger groups are first compared with one of their sets.
 SET_BYTES = 8 << 20
+#: Sets compared in one go, whatever their size.
+SET_ROWS = 512
 #: Shingles whose minima are taken in one go.
 STEP = 4096
 _PLACES = np.arange(MINIMA, dtype="<u8")
@@ -291,23 +293,23 @@ def _with_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
 
-def confirmed_links(sets: DataFrame, together: int = SET_BYTES) -> DataFrame:
+def confirmed_links(sets: DataFrame, together: int = SET_BYTES, most: int = SET_ROWS) -> DataFrame:
     """Links (a, b) between sids of a written table (key, sid, shingles), `key` naming the candidate group.
 
-    A group of more than `together` bytes is first compared with its least set, which is copied
+    A group of more than `together` bytes or `most` sets is first compared with its least set, which is copied
     once for each part of the group. Only what that one isn't linked with is then compared
     with the whole group, part against part; if all are copies of one text, nothing is left.
     """
-    size = F.sum(F.octet_length("shingles")).alias("bytes")
-    large = written(sets.groupBy("key").agg(size, F.min("sid").alias("centre")).where(F.col("bytes") > together), "large")
+    size = F.greatest(F.sum(F.octet_length("shingles")) / together, F.count("*") / most)
+    large = written(sets.groupBy("key").agg(F.ceil(size).alias("parts"), F.min("sid").alias("centre")).where("parts > 1"), "large")
     marked = sets.join(checked_broadcast(large), "key", "left")
     within = (
-        marked.where("bytes IS NULL").select("key", F.lit(0).cast("long").alias("part"), "sid", "shingles")
+        marked.where("parts IS NULL").select("key", F.lit(0).cast("long").alias("part"), "sid", "shingles")
         .repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_confirmed, "a binary, b binary")
     )
     if large.isEmpty():
         return within
-    grouped = written(marked.where("bytes IS NOT NULL").withColumn("parts", F.ceil(F.col("bytes") / together)), "grouped")
+    grouped = written(marked.where("parts IS NOT NULL"), "grouped")
     part = F.pmod(F.xxhash64("sid", F.lit(7)), "parts")
 
     def met(rows: DataFrame, function: Callable, kind: str) -> DataFrame:
@@ -324,7 +326,7 @@ def confirmed_links(sets: DataFrame, together: int = SET_BYTES) -> DataFrame:
     if apart.isEmpty():
         return links
     left = written(grouped.join(apart, ["key", "sid"], "left_semi"), "left")
-    held = left.groupBy("key").agg(F.ceil(F.sum(F.octet_length("shingles")) / together).alias("blocks"))
+    held = left.groupBy("key").agg(F.ceil(size).alias("blocks"))
     block = F.pmod(F.xxhash64("sid", F.lit(11)), "blocks")
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     ones = left.join(held, "key").withColumn("part", F.explode(F.transform(every, lambda p: block * F.col("parts") + p)))

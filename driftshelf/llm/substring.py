@@ -1,9 +1,12 @@
 """Substring dedup: windows of words that also start in an earlier document are cut out.
 
-First pass: every partition counts its windows in a count-min sketch (each window once per
+A window's anchor is the least hash of its eight-word parts. Neighbouring windows mostly share
+it, and equal windows have equal anchors, so a window is in no more documents than its anchor.
+First pass: every partition counts its anchors in a count-min sketch (each once per
 document), the sketches are added up block by block. A sketch never counts too little, so a
-window it has seen once is unique. Second pass: only windows counted twice or more are
-grouped, exactly, by their 128-bit hash.
+window whose anchor it has seen once is unique. Second pass: only windows with an anchor
+counted twice or more are grouped, exactly, by their own 128-bit hash. Those of a hot anchor
+are dealt to salted groups; what is least in its salt is settled by a small aggregate.
 """
 
 from __future__ import annotations
@@ -18,20 +21,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, NO_ID, keyed, table, written
+from .common import KEY, by_key, checked_broadcast, keyed, table, written
 
 WORDS = 13
-#: The sketch has 2 rows of 2**bits cells: about one for every 4 bytes of text, within these
-#: bounds. The upper one bounds what is broadcast (a bit a cell, 64 MB); beyond it more
-#: windows reach the exact pass, and the result stays the same.
+#: Words of the parts whose least is the anchor: windows of 13 have six of them.
+PART = 8
+#: The sketch has 2 rows of 2**bits cells: about one for every 4 bytes of text (a sixth of an
+#: anchor each), within these bounds. The upper one bounds what is broadcast (a bit a cell, 64 MB)
+#: and filters well up to some 5 GB; beyond it more and more unique windows reach the exact
+#: pass, where they cost time, and the result stays the same. `bits` can be raised where workers have the memory.
 LEAST_BITS, MOST_BITS = 20, 28
-#: Cells of a block, and windows a task gathers before it passes its counts on.
+#: Cells of a block, and anchors a task gathers before it passes its counts on.
 BLOCK_BITS, GATHER = 20, 1 << 20
 #: Windows passed on together.
 OUT = 1 << 18
-#: Windows in more documents than this, or a 1/400,000 of the bytes, are decided apart: there
-#: are at most 200,000 such cells a row, whatever the size of the corpus.
+#: Anchors in more documents than this, or a 1/400,000 of the bytes, are hot: there are at
+#: most 200,000 such cells a row, whatever the size of the corpus.
 HOT, HOT_SHARE = 1000, 400_000
+#: Groups that a hot window is dealt to.
+SALTS = 256
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -45,12 +53,14 @@ class _Hashes(dict):
         return value
 
 
+def word_hashes(parts: list[bytes], hashes: _Hashes) -> np.ndarray:
+    return np.frombuffer(b"".join([hashes[p] for p in parts]), dtype="<u8").reshape(-1, 2)
+
+
 def window_hashes(parts: list[bytes], hashes: _Hashes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every window of consecutive words."""
+    both = word_hashes(parts, hashes)
     n = len(parts) - words + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    both = np.frombuffer(b"".join([hashes[p] for p in parts]), dtype="<u8").reshape(-1, 2)
     out = []
     for side, factor in enumerate(_FACTORS):
         column = np.ascontiguousarray(both[:, side])
@@ -63,15 +73,35 @@ def window_hashes(parts: list[bytes], hashes: _Hashes, words: int = WORDS) -> tu
     return out[0], out[1]
 
 
-def _once(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, index = np.unique(first, return_index=True)
-    return first[index], second[index]
+def anchors(parts: list[bytes], hashes: _Hashes, words: int = WORDS) -> np.ndarray:
+    """The anchor of every window of consecutive words."""
+    n = len(parts) - words + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    own = min(PART, words)
+    count, column = len(parts) - own + 1, np.ascontiguousarray(word_hashes(parts, hashes)[:, 0])
+    value = column[:count].copy()
+    for k in range(1, own):
+        value *= _FACTORS[1]
+        value += column[k:k + count]
+    value ^= value >> np.uint64(31)
+    value *= np.uint64(0x94D049BB133111EB)
+    value ^= value >> np.uint64(29)
+    least = value[:n].copy()
+    for k in range(1, words - own + 1):
+        np.minimum(least, value[k:k + n], out=least)
+    return least
+
+
+def _sides(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of an anchor in both rows. A least hash has small numbers, so it is mixed again."""
+    shift = np.uint64(64 - bits)
+    return tuple(((anchor * factor) >> shift).astype(np.int64) for factor in _FACTORS)
 
 
 def _sketcher(bits: int, words: int) -> Callable:
     """Counts of cells per task, as sorted cells and counts of each block."""
     schema = pa.schema([("side", pa.int32()), ("block", pa.int64()), ("cells", pa.binary())])
-    shift = np.uint64(64 - bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack = _Hashes(), zstandard.ZstdCompressor(level=1)
@@ -101,10 +131,10 @@ def _sketcher(bits: int, words: int) -> Callable:
                 text = text.as_py()
                 if text is None:
                     continue
-                first, second = _once(*window_hashes(text.encode().split(), hashes, words))
-                if len(first):
-                    gathered.append(((first >> shift).astype(np.int64), (second >> shift).astype(np.int64)))
-                    size += len(first)
+                own = np.unique(anchors(text.encode().split(), hashes, words))
+                if len(own):
+                    gathered.append(_sides(own, bits))
+                    size += len(own)
                 if size >= GATHER:
                     yield from flush()
                     gathered, size = [], 0
@@ -158,33 +188,26 @@ class Sketch:
             hot[side].append(np.frombuffer(heavy, "<u4").astype(np.int64) + (block << BLOCK_BITS))
         self.hot = [np.sort(np.concatenate(h)) if h else np.zeros(0, np.int64) for h in hot]
 
-    def _cells(self, side: int, values: np.ndarray) -> np.ndarray:
-        return (values >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def repeated(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Indices of windows that may be in two documents."""
-        at = np.arange(len(first))
-        for side, values in ((0, first), (1, second)):
-            cells = self._cells(side, values[at])
-            at = at[(self.twice[side][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1]
-        return at
-
-    def hot_ones(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Indices of windows that may be in very many documents."""
-        at = np.arange(len(first))
-        for side, values in ((0, first), (1, second)):
+    def repeated(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of windows that may be in two documents, and which of them may be in very many."""
+        if not len(anchor):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        found, heavy = np.ones(len(starts), bool), np.ones(len(starts), bool)
+        for side, cells in enumerate(_sides(anchor[starts], self.bits)):
+            found &= (self.twice[side][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
             hot = self.hot[side]
-            if not len(hot) or not len(at):
-                return at[:0]
-            cells = self._cells(side, values[at])
-            at = at[hot[np.minimum(np.searchsorted(hot, cells), len(hot) - 1)] == cells]
-        return at
+            at = np.minimum(np.searchsorted(hot, cells), len(hot) - 1)
+            heavy &= hot[at] == cells if len(hot) else False
+        sizes = np.diff(np.append(starts, len(anchor)))
+        at = np.flatnonzero(np.repeat(found, sizes))
+        return at, np.repeat(heavy, sizes)[at]
 
 
-def sketch_windows(docs: DataFrame, words: int = WORDS) -> Sketch:
-    """The merged sketch of all windows. Only blocks of bits reach the driver, at most 64 MB."""
+def sketch_windows(docs: DataFrame, words: int = WORDS, bits: int | None = None) -> Sketch:
+    """The merged sketch of the anchors of all windows. Only blocks of bits reach the driver, at most 64 MB."""
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // 4).bit_length()))
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, (size // 4).bit_length()))
     counted = docs.select("text").mapInArrow(_sketcher(bits, words), "side int, block bigint, cells binary")
     merged = counted.repartition("side", "block").sortWithinPartitions("side", "block").mapInArrow(
         _merger(max(HOT, size // HOT_SHARE)), "side int, block bigint, twice binary, hot binary"
@@ -192,64 +215,49 @@ def sketch_windows(docs: DataFrame, words: int = WORDS) -> Sketch:
     return Sketch(bits, merged.collect())
 
 
-def _reader(sketch, words: int, hot_only: bool, firsts=None) -> Callable:
-    """Windows that may be repeated, as (first, second, k_id, place, settled).
+READ = pa.schema([
+    ("first", pa.int64()), ("second", pa.int64()), ("k_id", pa.int64()), ("k_text", pa.int64()), ("place", pa.int32()),
+    ("hot", pa.bool_()),
+])
+_READ = "first bigint, second bigint, k_id bigint, k_text bigint, place int, hot boolean"
 
-    place holds 31 bits of the text's hash and the position. With `firsts`, hot windows are
-    settled here: they are passed on only if their first document is an earlier one.
-    """
-    schema = pa.schema([
-        ("first", pa.int64()), ("second", pa.int64()), ("k_id", pa.int64()), ("place", pa.int64()),
-        ("settled", pa.bool_()),
-    ])
+
+def _reader(sketch, words: int) -> Callable:
+    """Windows that may be repeated; the second hash of a hot one is that of its salt."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = _Hashes(), sketch.value
-        earliest = dict(firsts.value) if firsts else {}
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[list[np.ndarray]] = [[] for _ in READ]
         size = 0
 
         def gathered() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c), type=f.type) for c, f in zip(out, schema)], schema=schema
-            )
+                [pa.array(np.concatenate(c), type=f.type) for c, f in zip(out, READ)], schema=READ)
 
         for batch in batches:
             for k_id, k_text, text in zip(*(batch.column(c) for c in ("k_id", "k_text", "text"))):
                 text = text.as_py()
                 if text is None:
                     continue
-                k_id, mark = k_id.as_py(), (k_text.as_py() & 0x7FFFFFFF) << 32
-                first, second = window_hashes(text.encode().split(), hashes, words)
-                at = (known.hot_ones if hot_only else known.repeated)(first, second)
+                parts, k_id, k_text = text.encode().split(), k_id.as_py(), k_text.as_py()
+                at, heavy = known.repeated(anchors(parts, hashes, words))
                 if not len(at):
                     continue
-                first, second = first[at], second[at]
-                keep, settled = slice(None), np.zeros(len(at), dtype=bool)
-                heavy = known.hot_ones(first, second) if firsts else ()
-                first, second = first.view(np.int64), second.view(np.int64)
-                if len(heavy):
-                    keep = np.ones(len(at), dtype=bool)
-                    for i in heavy.tolist():
-                        keep[i] = earliest.get((int(first[i]), int(second[i])), k_id) < k_id
-                    settled[heavy] = True
-                    first[heavy] = at[heavy] + mark  # of no use any more: spread them
-                    second[heavy] = k_id
-                for column, values in zip(out, (first, second, np.full(len(at), k_id), at + mark, settled)):
-                    column.append(values[keep])
+                first, second = (h[at].view(np.int64) for h in window_hashes(parts, hashes, words))
+                second[heavy] = k_text % SALTS
+                row = (first, second, np.full(len(at), k_id), np.full(len(at), k_text), at.astype(np.int32), heavy)
+                for column, values in zip(out, row):
+                    column.append(values)
                 size += len(at)
                 if size >= OUT:
                     yield gathered()
-                    out, size = [[], [], [], [], []], 0
+                    out, size = [[] for _ in READ], 0
         if size:
             yield gathered()
 
     return read
 
 
-_READ = "first bigint, second bigint, k_id bigint, place bigint, settled boolean"
-
-
 def _spans(words: int):
     @F.arrow_udf("binary")
     def spans(places: pa.Array) -> pa.Array:
@@ -265,27 +273,31 @@ def _spans(words: int):
     return spans
 
 
-def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Written table (k_id, mark, spans): word ranges of each document that earlier ones have too.
+def repeated_spans(docs: DataFrame, words: int = WORDS, bits: int | None = None) -> DataFrame:
+    """Written table (k_id, k_text, spans): word ranges of each document that earlier ones have too.
 
-    A window in very many documents would gather in one task; there are boundedly many of
-    them, so their first documents are found by a partial aggregate and broadcast.
+    The texts are read twice, whatever the size. A hot window would gather in one task, so its
+    rows are dealt by the text's hash; the least of each salt waits for the least of all.
+    Repeated rows send the same places, which are merged before they are shuffled.
     """
-    context = docs.sparkSession.sparkContext
     rows = keyed(docs)
-    counted = sketch_windows(docs, words)
-    sketch, firsts = context.broadcast(counted), None
-    if len(counted.hot[0]) and len(counted.hot[1]):
-        heavy = rows.mapInArrow(_reader(sketch, words, True), _READ)
-        found = heavy.groupBy("first", "second").agg(F.min("k_id").alias("k_id")).collect()
-        firsts = context.broadcast([((r["first"], r["second"]), r["k_id"]) for r in found])
-    maybe = rows.mapInArrow(_reader(sketch, words, False, firsts), _READ)
-    group = Window.partitionBy("first", "second")
-    later = maybe.withColumn("least", F.min("k_id").over(group)).where("settled OR k_id > least")
-    per_text = later.groupBy("k_id", F.shiftright("place", 32).alias("mark")).agg(
-        F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("places")
-    )
-    return written(per_text.select("k_id", "mark", _spans(words)(F.col("places")).alias("spans")), "spans")
+    sketch = docs.sparkSession.sparkContext.broadcast(sketch_windows(docs, words, bits))
+    group = Window.partitionBy("first", "second", "hot")
+    ranked = rows.mapInArrow(_reader(sketch, words), _READ).withColumn("least", F.min("k_id").over(group))
+    later = F.col("k_id") > F.col("least")
+    per_text = written(ranked.where(later | F.col("hot")).groupBy(*KEY).agg(
+        F.collect_set(F.when(later, F.col("place"))).alias("places"),
+        F.collect_set(F.when(~later, F.struct("first", "place"))).alias("waiting"),
+    ), "places")
+    waiting = written(per_text.where(F.size("waiting") > 0).select(*KEY, F.explode("waiting").alias("w")).select(
+        *KEY, "w.first", "w.place"), "waiting")
+    firsts = waiting.groupBy("first").agg(F.min("k_id").alias("least"))
+    settled = waiting.join(checked_broadcast(written(firsts, "firsts")), "first").where("k_id > least").groupBy(*KEY).agg(
+        F.collect_set("place").alias("more"))
+    none = F.array().cast("array<int>")
+    places = F.concat("places", F.coalesce("more", none))
+    found = per_text.join(settled, KEY, "left").select(*KEY, places.alias("places")).where(F.size("places") > 0)
+    return written(found.select(*KEY, _spans(words)(F.col("places")).alias("spans")), "spans")
 
 
 def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -309,32 +321,22 @@ def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
     )
 
 
-def drop_repeated(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Add struct column `cut` (n_words, n_removed, kept), replacing one of this name."""
-    spans = repeated_spans(docs, words).select(
-        F.col("k_id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")
-    )
-    size = spans.select(F.coalesce(F.sum(F.octet_length("__spans") + 64), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        spans = F.broadcast(spans)
-    joined = docs.join(
-        spans,
-        (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == spans["__id"])
-        & (F.xxhash64(docs["text"]).bitwiseAND(F.lit(0x7FFFFFFF)) == spans["__mark"]),
-        "left",
-    )
+def drop_repeated(docs: DataFrame, words: int = WORDS, bits: int | None = None) -> DataFrame:
+    """(row, cut): a struct of each document's own columns and one of (n_words, n_removed, kept)."""
     cut = F.arrow_udf(cut_spans, "struct<n_words: bigint, n_removed: bigint, kept: string>")
-    return joined.withColumn("cut", cut(F.col("text"), F.col("__spans"))).drop("__id", "__mark", "__spans")
+    found = by_key(docs, repeated_spans(docs, words, bits), "left", wide="spans")
+    return found.select("row", cut(F.col("row.text"), F.col("found.spans")).alias("cut"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document.
 
     Null and empty texts have no words. A null doc_id comes before all others; rows with one
-    doc_id never take words from each other. Repeated rows are cut alike.
+    doc_id never take words from each other. Repeated rows are cut alike. Very long texts are
+    read whole, one at a time. Other columns are never read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated(docs).select(
-        "doc_id", F.col("cut.n_words").alias("n_words"), F.col("cut.n_removed").alias("n_removed"),
+        "row.doc_id", F.col("cut.n_words").alias("n_words"), F.col("cut.n_removed").alias("n_removed"),
         F.sha2(F.col("cut.kept").cast("binary"), 256).alias("kept_sha256"),
     )

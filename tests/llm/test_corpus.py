@@ -339,9 +339,13 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert {r["doc_id"] for r in kept.where("doc_id < 8").collect()} == {-5, 1, 3, 4, 7}  # 3 differs from 1 in more than 3 bits
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_cut_words_equal_a_plain_version(spark, folder, monkeypatch, hot):
+@pytest.mark.parametrize("hot, bits", [(2, 20), (1000, 28), (2, 6)])
+def test_cut_words_equal_a_plain_version(spark, folder, monkeypatch, hot, bits):
+    """With rare and hot windows, and with a sketch so small that nearly all windows pass it."""
     monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "LEAST_BITS", bits)
+    monkeypatch.setattr(substring, "MOST_BITS", bits)
+    monkeypatch.setattr(substring, "BLOCK_BITS", min(20, bits))
     first = {}
     rank = lambda i: common.NO_ID if i is None else i
     for i, t in sorted(TEXTS, key=lambda x: rank(x[0])):
