@@ -38,8 +38,8 @@ OUT = 1 << 18
 #: Anchors in more documents than this, or a 1/400,000 of the bytes, are hot: there are at
 #: most 200,000 such cells a row, whatever the size of the corpus.
 HOT, HOT_SHARE = 1000, 400_000
-#: Groups that a hot window is dealt to.
-SALTS = 256
+#: Groups that a hot window is dealt to; as many rows of it wait to be settled.
+SALTS = 64
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
