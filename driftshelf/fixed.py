@@ -3,7 +3,12 @@ match the data a user already holds; nothing here is logic."""
 
 # --- domains ---------------------------------------------------------------
 RUN_TYPES = ("full", "incremental")
-RUN_STATUSES = ("pending", "running", "completed", "completed_with_errors", "failed", "cancelled")
+RUN_UPDATABLE = (
+    "status", "checkpoint", "products_discovered", "products_processed", "products_new",
+    "products_updated", "products_unchanged", "products_unavailable", "errors", "summary",
+    "completed_at",
+)
+RUN_JSON = ("checkpoint", "summary")
 ITEM_STATUSES = ("pending", "processing", "new", "updated", "unchanged", "failed", "blocked", "skipped")
 RELATION_TYPES = ("compatible", "recommended", "related")
 EXPORT_FORMATS = ("json", "csv")
@@ -76,6 +81,7 @@ STYLE_A_SELECTORS = {
 STYLE_A_CATEGORY_LINK = ".category-link"
 STYLE_A_LISTING_CARD = ".card.thumbnail"
 STYLE_A_LISTING_LINK = ".card.thumbnail a.title, .card.thumbnail a"
+STYLE_A_NEXT_PAGE = "a[rel='next']"
 BREADCRUMB_HOME = "home"
 
 # --- page style B: marketplace pages ---------------------------------------

@@ -116,20 +116,36 @@ def variant_rows(listed: DataFrame) -> DataFrame:
     return _stamped(first_wins(rows, VARIANT_KEY, ["pos"], ["variant_sku"]), VARIANTS)
 
 
+def _images_together(stored: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
+    """Stored and incoming images of the same products side by side, each table read once.
+
+    ``_kind`` is 0 for stored, 1 for incoming rows; ``_touched`` says that the batch has the
+    product, ``_listed`` that it lists the image, ``_first`` when a stored one was first seen.
+    Everything is worked out in one exchange on the product key.
+    """
+    both = stored.select(*IMAGES, F.lit(0).alias("_kind")).unionByName(
+        fresh.select(*IMAGES, F.lit(1).alias("_kind"))
+    ).unionByName(touched.select(*KEY, F.lit(2).alias("_kind")), allowMissingColumns=True)
+    product, image = Window.partitionBy(*KEY), Window.partitionBy(*IMAGE_KEY)
+    return both.repartition(*KEY).withColumns({
+        "_touched": F.max(F.col("_kind") == 2).over(product),
+        "_listed": F.max(F.col("_kind") == 1).over(image),
+        "_first": F.min(F.when(F.col("_kind") == 0, F.col("first_seen_at"))).over(image),
+    })
+
+
 def sync_images(stored: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
     """Delete images gone from the list, update the rest, keep when each was first seen."""
-    kept = stored.join(touched, KEY, "left_anti")
-    known = stored.select(*IMAGE_KEY, F.col("first_seen_at").alias("_first"))
-    synced = fresh.join(known, IMAGE_KEY, "left").withColumn(
-        "first_seen_at", F.coalesce("_first", "first_seen_at")
-    )
-    return kept.select(*IMAGES).unionByName(synced.select(*IMAGES))
+    rows = _images_together(stored, fresh, touched)
+    kept = rows.where((F.col("_kind") == 1) | (F.col("_kind") == 0) & ~F.col("_touched"))
+    first = F.when(F.col("_kind") == 1, F.coalesce("_first", "first_seen_at")).otherwise(F.col("first_seen_at"))
+    return kept.withColumn("first_seen_at", first).select(*IMAGES)
 
 
 def gone_images(stored: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
     """Stored images of the batch's products missing from their incoming lists."""
-    mine = stored.join(touched, KEY, "left_semi")
-    return mine.join(fresh.select(*IMAGE_KEY), IMAGE_KEY, "left_anti")
+    rows = _images_together(stored, fresh, touched)
+    return rows.where((F.col("_kind") == 0) & F.col("_touched") & ~F.col("_listed")).select(*IMAGES)
 
 
 def replace(stored: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:

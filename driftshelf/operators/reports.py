@@ -128,22 +128,40 @@ def failure_report(runs: DataFrame) -> DataFrame:
     )
 
 
-UPDATABLE = (
-    "status", "checkpoint", "products_discovered", "products_processed", "products_new",
-    "products_updated", "products_unchanged", "products_unavailable", "errors", "summary",
-    "completed_at",
-)
+def run_checkpoint(counted: DataFrame) -> DataFrame:
+    """With ``checkpoint``, how far each run has come, as JSON text.
+
+    A run whose discovery failed has none yet; one that has processed no item says what was
+    discovered, any other one which item was the last.
+    """
+    begun = F.to_json(F.struct(F.lit(True).alias("discovery_complete"), F.col("products_discovered").alias("discovered_urls")))
+    going = F.to_json(F.struct(
+        F.lit(True).alias("discovery_complete"), F.col("last_item_seq").alias("last_item_id"),
+        F.col("products_processed").alias("processed")))
+    return counted.withColumn("checkpoint", F.when(F.col("run_error").isNotNull(), "{}").when(
+        F.coalesce("products_processed", F.lit(0)) == 0, begun).otherwise(going))
+
+
+def discovery_done(checkpoint: Column) -> Column:
+    """Whether a run's checkpoint says that its products are known."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(checkpoint), "$.discovery_complete", "boolean"), F.lit(False))
 
 
 def update_runs(runs: DataFrame, values: dict[str, Column], where: Column) -> DataFrame:
-    """Set allowed run columns where a condition holds; other names are ignored."""
+    """Set allowed run columns where a condition holds; other names are ignored.
+
+    ``checkpoint`` and ``summary`` are JSON text: a struct, map or list given for them is encoded.
+    """
     kinds = dict(runs.dtypes)
+    wanted = {n: v for n, v in values.items() if n in fixed.RUN_UPDATABLE and n in kinds}
+    given = dict(runs.select(*(v.alias(n) for n, v in wanted.items())).dtypes) if wanted else {}
+
+    def encoded(name: str, value: Column) -> Column:
+        nested = name in fixed.RUN_JSON and given[name].startswith(("struct", "map", "array"))
+        return F.to_json(value) if nested else value.cast(kinds[name])
+
     return runs.withColumns(
-        {
-            name: F.when(where, value.cast(kinds[name])).otherwise(F.col(name))
-            for name, value in values.items()
-            if name in UPDATABLE and name in kinds
-        }
+        {name: F.when(where, encoded(name, value)).otherwise(F.col(name)) for name, value in wanted.items()}
     )
 
 

@@ -76,17 +76,16 @@ def limit_of(runs: DataFrame, limits: set) -> int | DataFrame | None:
 
 def plan_items(
     tables: CatalogTables, version: str, runs: DataFrame, run_ids: list[int],
-    discovered: DataFrame | None,
+    discovered: DataFrame | None, fresh_runs: DataFrame,
 ) -> DataFrame:
-    """The batch's ledger rows, claimed. Discovery only adds to runs that have no items."""
+    """The batch's ledger rows, claimed. Discovery only adds to the runs that have none yet."""
     now = F.col("_now")
     clock = runs.select("run_id", F.col("run_ts").alias("_now"))
     stored = tables.of_runs("run_items", run_ids).select(*RUN_ITEMS)
     items = ledger.requeue(stored, runs, F.lit(None).cast("timestamp"))
     if discovered is not None:
-        fresh_runs = runs.join(stored.select("run_id").distinct(), "run_id", "left_anti")
         urls = (
-            lookup(discovered, fresh_runs.select("site_id", "run_id"), ["site_id"], "inner", ["product"])
+            lookup(discovered, fresh_runs.join(runs.select("run_id"), "run_id").select("site_id", "run_id"), ["site_id"], "inner", ["product"])
             .orderBy("site_id", "product")
             .select(
                 "run_id", F.col("product").alias("url"),
@@ -110,6 +109,7 @@ def run_batch(
     listing: DataFrame | None = None,
     observations: DataFrame | None = None,
     max_products: int | None = None,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Fold one run per site into the published tables; returns the run rows.
 
@@ -118,12 +118,15 @@ def run_batch(
     runs are left alone; one completed with errors or failed is resumed. A run of an
     unknown or disabled site is an error before anything is written. ``listing``: saved
     listing pages; ``pages``: saved product pages of the runs; or ``observations`` made
-    elsewhere (with ``url``). ``max_products``, of the batch or of the run's options,
+    elsewhere (with ``url``). ``start``: saved start pages (``site_id, url, html``); then which
+    listing pages are read, and in which order, follows from their links. ``max_products``, of the batch or of the run's options,
     limits discovery, and such a run ages nothing out. A run that meets a listing page
     without cards, or a blocked one, ends as ``failed``, its site's state untouched.
     Stages that feed several outputs are written under the version and read back, so a
     lost executor re-reads files instead of recomputing, and a version that was already
-    published is left alone.
+    published is left alone. Only buckets that hold a product of the batch are read and
+    written, all of a site's products where its run ages some. If another batch publishes one
+    of the sites in the meantime, PublicationConflict is raised and nothing is changed.
     """
     tables.refresh()
     if tables.is_published(version):
@@ -136,7 +139,7 @@ def run_batch(
     runs = ledger.resumable(runs).withColumn(
         "limited", F.col("limited") | (F.coalesce("max_products", F.lit(0)) > 0)
     )
-    batch = list(runs.select("site_id", "run_id", "max_products").toLocalIterator())
+    batch = list(runs.select("site_id", "run_id", "max_products", F.coalesce("limited", F.lit(False)).alias("limited")).toLocalIterator())
     if not batch:
         return tables.of_runs("runs", given)
     site_ids, run_ids = [r.site_id for r in batch], [r.run_id for r in batch]
@@ -147,14 +150,18 @@ def run_batch(
     names = adapters.styles_of(mine)
     limit = limit_of(runs, {r.max_products for r in batch})
     discovered, lost = None, []
+    known = tables.of_runs("runs", run_ids).where(reports.discovery_done(F.col("checkpoint"))).select("run_id")
+    begun = known.union(tables.of_runs("run_items", run_ids).select("run_id")).distinct()
+    fresh = runs.join(begun, "run_id", "left_anti").select("site_id", "run_id")
     if listing is not None:
-        links = adapters.read_listing(adapters.with_adapter(listing, mine), names)
+        listing = adapters.with_adapter(listing, mine)
+        if start is not None:
+            listing = adapters.order_listing(listing, adapters.with_adapter(start, mine), names)
+        links = adapters.read_listing(listing, names)
         links = tables.write_plain("_listing", links, version)
         seeds = adapters.seeds_of(adapters.configured_seeds(mine), names)
         discovered = discovery.discover(links.where("error is null").drop("error"), limit, seeds)
-        begun = tables.of_runs("run_items", run_ids).select("run_id").distinct()
-        fresh = runs.join(begun, "run_id", "left_anti").select("site_id")
-        lost = discovery.first_errors(links, limit).join(fresh, "site_id").collect()  # a row per failed run
+        lost = discovery.first_errors(links, limit).join(fresh.select("site_id"), "site_id").collect()  # a row per failed run
     elif observations is not None or pages is not None:
         source = observations if observations is not None else pages
         discovered = source.select("site_id", F.col("url").alias("product")).distinct()
@@ -166,7 +173,7 @@ def run_batch(
     failed = {r.site_id for r in lost}
     site_ids = [s for s in site_ids if s not in failed]
     runs = runs.where(F.col("site_id").isin(site_ids))
-    items = plan_items(tables, version, runs, run_ids, discovered)
+    items = plan_items(tables, version, runs, run_ids, discovered, fresh)
     claimed = items.where(F.col("status") == "processing").select("run_id", "url", "item_seq")
 
     if observations is None:
@@ -184,7 +191,11 @@ def run_batch(
     folded = tables.publications().where("site_id is not null").select("run_id").distinct()
     aging = runs.join(folded.withColumn("aged", F.lit(True)), "run_id", "left")
 
-    state = tables.state("products", site_ids)
+    touched = children.products_of(good)
+    held = tables.touched(touched)
+    every = list(range(tables.buckets))
+    aged = {r.site_id: held.get(r.site_id, []) if r.limited else every for r in batch if r.site_id in site_ids}
+    state = tables.state("products", buckets=aged)
     merged = changes.merge(state, changes.with_defaults(good), aging)
     tables.write("products", merged, version)
     merged = tables.written("products", version, MERGED_EXTRA)
@@ -192,19 +203,17 @@ def run_batch(
     tables.write("price_history", changes.price_changes_of(done), version)
     tables.write("availability_history", changes.availability_changes_of(done), version)
 
-    touched = children.products_of(good)
     images = children.image_rows(children.entries(good, "images"))
-    stored = tables.state("product_images", site_ids)
+    stored = tables.state("product_images", buckets=held)
     tables.write("product_images", children.sync_images(stored, images, touched), version)
     for field, rows in CHILDREN.items():
         table = f"product_{field}"
         fresh = rows(children.entries(good, field))
-        stored = tables.state(table, site_ids)
+        stored = tables.state(table, buckets=held)
         tables.write(table, children.replace(stored, fresh, touched), version)
 
     run_rows = close_ledger(tables, version, sites, every_run, run_ids, items, done, outcomes, merged)
-    folds = F.when(F.col("run_error").isNull(), F.col("site_id"))
-    tables.publish(every_run.withColumn("site_id", folds), version)
+    tables.publish([(None if r.site_id in failed else r.site_id, r.run_id) for r in batch], version, aged, held)
     return run_rows
 
 
@@ -280,7 +289,7 @@ def close_ledger(tables, version, sites, runs, run_ids, items, done, failed, mer
             reports.final_status(F.col("errors"))))
         .withColumn("completed_at", F.col("run_ts"))
     )
-    rows = reports.run_summary(reports.product_counters(rows))
+    rows = reports.run_checkpoint(reports.run_summary(reports.product_counters(rows)))
     tables.write(
         "runs",
         rows.select(*[F.col(n).cast(kind).alias(n) for n, kind in RUN_ROWS.items()]),

@@ -179,9 +179,11 @@ def failure_report(spark: SparkSession, d: str) -> DataFrame:
 
 def run_updates(spark: SparkSession, d: str) -> DataFrame:
     """Allowed columns of running runs are set; the site is not an allowed column."""
-    values = {"status": F.lit("failed"), "errors": F.col("errors") + 1, "site_code": F.lit("x")}
-    rows = reports.update_runs(_counted(spark, d), values, F.col("status") == "running")
-    return rows.select("run_id", "status", "errors", "site_code")
+    values = {"status": F.lit("failed"), "errors": F.col("errors") + 1, "site_code": F.lit("x"),
+              "checkpoint": F.struct(F.lit(True).alias("discovery_complete"), F.col("processed").cast("bigint").alias("processed"))}
+    runs = reports.run_checkpoint(_counted(spark, d))
+    rows = reports.update_runs(runs, values, F.col("status") == "running")
+    return rows.select("run_id", "status", "errors", "site_code", "checkpoint")
 
 
 def present_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -488,8 +490,13 @@ FROM counted WHERE status IN ('failed', 'cancelled')""",
     "run_updates": f"""
 WITH {_COUNTS}
 SELECT run_id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status,
-       CASE WHEN status = 'running' THEN errors + 1 ELSE errors END AS errors, site_code
-FROM counted""",
+       CASE WHEN status = 'running' THEN errors + 1 ELSE errors END AS errors, site_code,
+       CASE WHEN status = 'running' THEN '{{"discovery_complete":true,"processed":' || processed || '}}'
+         WHEN status = 'failed' THEN '{{}}'
+         WHEN processed = 0 THEN '{{"discovery_complete":true,"discovered_urls":' || found || '}}'
+         ELSE '{{"discovery_complete":true,"last_item_id":' || last_item_seq || ',"processed":' || processed || '}}'
+       END AS checkpoint
+FROM counted LEFT JOIN (SELECT run_id, last_item_seq FROM tally) USING (run_id)""",
     "present_urls": f"""
 WITH {_ITEMS},{_RUNS}
 SELECT i.run_id, i.url, lower(n_name) AS code

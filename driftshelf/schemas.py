@@ -108,7 +108,7 @@ RUN_ROWS = {
     "run_ts": "timestamp", "products_discovered": "bigint", "products_processed": "bigint",
     "products_new": "bigint", "products_updated": "bigint", "products_unchanged": "bigint",
     "products_unavailable": "bigint", "errors": "bigint", "last_item_seq": "bigint",
-    "summary": "string", "completed_at": "timestamp",
+    "checkpoint": "string", "summary": "string", "completed_at": "timestamp",
 }
 MERGED_EXTRA = {
     "run_id": "bigint", "change_status": "string", "was_stored": "boolean",

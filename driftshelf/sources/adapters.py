@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions import urls
 from ..operators import discovery
 from ..operators.keyed import lookup
 from . import style_a, style_b
@@ -19,17 +20,22 @@ from . import style_a, style_b
 class PageStyle:
     """``listing_links``: listing pages to product links; ``extract``: product pages to
     observations; ``seeds``: configured start values to products, where a style has them;
-    ``checked_listing``: links with a row and an ``error`` per unreadable listing page."""
+    ``checked_listing``: links with a row and an ``error`` per unreadable listing page;
+    ``categories``: start pages to ``site_id, category``, and ``next_pages``: listing pages to
+    ``site_id, url, next``, where a style's pages say which comes after which."""
 
     listing_links: Callable[[DataFrame], DataFrame]
     extract: Callable[[DataFrame], DataFrame]
     seeds: Callable[[DataFrame], DataFrame] | None = None
     checked_listing: Callable[[DataFrame], DataFrame] | None = None
+    categories: Callable[[DataFrame], DataFrame] | None = None
+    next_pages: Callable[[DataFrame], DataFrame] | None = None
 
 
 STYLES: dict[str, PageStyle] = {
     fixed.STYLE_A: PageStyle(
-        style_a.listing_links, style_a.extract, checked_listing=style_a.checked_listing),
+        style_a.listing_links, style_a.extract, checked_listing=style_a.checked_listing,
+        categories=style_a.category_urls, next_pages=style_a.next_pages),
     fixed.STYLE_B: PageStyle(
         style_b.listing_links, style_b.extract, style_b.seeds, style_b.checked_listing),
 }
@@ -95,6 +101,33 @@ def read_listing(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
     return dispatch(pages, run, names)
 
 
+def order_listing(pages: DataFrame, starts: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Saved listing pages (``adapter, site_id, url, html``) with ``category`` and ``page_no`` from
+    the links of the start pages (``adapter, site_id, url, html``) and of the pages themselves.
+
+    Pages no link leads to are left out, as they are never visited. A page that is linked but not
+    saved stays, with null ``html``. Styles whose pages don't order themselves keep the ``category``
+    and ``page_no`` their pages come with.
+    """
+    parts, given = [], {"category", "page_no"} <= set(pages.columns)
+    columns = [c for c in pages.columns if c not in ("category", "page_no")] + ["category", "page_no"]
+    for name in names or STYLES:
+        one = style(name)
+        if one.categories is None or one.next_pages is None:
+            parts += [pages.where(F.col("adapter") == name).select(*columns)] if given else []
+            continue
+        mine = pages.where(F.col("adapter") == name)
+        order = discovery.order_pages(
+            one.categories(starts.where(F.col("adapter") == name)), one.next_pages(mine)
+        ).withColumnRenamed("url", "canonical")
+        saved = mine.drop("category", "page_no", "adapter").withColumn("canonical", urls.canonicalize_url(F.col("url")))
+        parts.append(order.join(saved, ["site_id", "canonical"], "left").withColumns(
+            {"url": F.coalesce("url", "canonical"), "adapter": F.lit(name)}).select(*columns))
+    if not parts:
+        raise ValueError("no style of these sites orders its listing pages")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def seeds_of(configured: DataFrame, names: list[str] | None = None) -> DataFrame | None:
     """Products of configured seeds (``adapter, site_id, value``); only some styles have them."""
     parts = [

@@ -14,6 +14,7 @@ from . import html
 from .records import failing, finish, listed, parsed
 
 _parse_start = html.marked_nodes({"category": fixed.STYLE_A_CATEGORY_LINK})
+_parse_next = html.marked_nodes({"next": fixed.STYLE_A_NEXT_PAGE})
 _parse_listing = html.marked_nodes(
     {"product": fixed.STYLE_A_LISTING_LINK, "required": fixed.STYLE_A_LISTING_CARD,
      "page_title": "title", "page_body": "body"}
@@ -29,6 +30,14 @@ def category_urls(start_pages: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def next_pages(pages: DataFrame) -> DataFrame:
+    """``site_id, url, next`` of saved listing pages: the page that the first next link leads to."""
+    found = F.get(_parse_next("url", "html")["next"], F.lit(0))["link"]
+    return pages.select(
+        "site_id", urls.canonicalize_url(F.col("url")).alias("url"), urls.canonicalize_url(found).alias("next")
+    )
+
+
 def checked_listing(pages: DataFrame) -> DataFrame:
     """As :func:`listing_links`, and a row with an ``error`` for each page that could not be read."""
     rows = listed(pages, _parse_listing, "product")
