@@ -1,20 +1,30 @@
-"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts.
+"""Toxicity by two Kneser-Ney models of word pairs, one of toxic and one of ordinary texts.
 
-A word's probability in a class comes from its continuation count there: the number of
-different words it follows, so a word repeated in one place weighs little. The count is
-discounted; what the discount frees goes to the word's stem (its first letters) in the
-class, and from there to counts that both classes share. So a rare expression says what its
-stem says, and an unknown stem says next to nothing.
+A word's probability after the word before it comes from the texts of the class that hold the
+pair. Each count is discounted by one; what that frees goes to the pair's probability in both
+classes together, and from there to the number of different words it follows in either. So a
+pair that was seen once says no more than its first word does, and one that a class repeats
+says much, however ordinary its two words are.
 
-A text is compared by length-normalised log-likelihood ratios: of the whole text, of its
-best single word and of its best passage of three. Labels are used of rows outside the
+A word alone is judged by its continuation count in each class (the number of different words
+it follows), discounted in favour of its stem (its first letters) in the class and of what
+both classes share. So a rare word says what its stem says.
+
+A text is compared by length-normalised log-likelihood ratios: of its pairs, of its words, of
+its best pair, best word and best passage of three. Labels are used of rows outside the
 held-out fold only, and never to score.
+
+The ratios are a written table. It is broadcast if it has few rows; else the texts are looked at
+in blocks, each block's distinct words and pairs are joined with the table, and block and ratios
+meet again. Both ways give the same scores, and nothing is left out of the table for its size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +32,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, table, written
+from .common import KEY, by_key, checked_broadcast, keyed, table, written
 
-FOLDS, HELD_OUT, TRAINING, CALIBRATION = 4, 2, (0, 1), 3
+FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 STEM, PASSAGE, THRESHOLD = 5, 3, 0.3
-#: The smallest discount. It doubles until the words counted more often than it, the only
-#: ones whose own counts matter, are at most MOST_WORDS: that bounds what is broadcast.
-DISCOUNT, MOST_WORDS = 2, 1 << 20
-#: Rows of the calibration fold that the four weights of the score are fitted on.
+#: Taken off continuation counts of words and stems, and off counts of pairs.
+DISCOUNT, PAIR_DISCOUNT = 2, 1
+#: Rows of the calibration fold that the weights of the score are fitted on; all others are counted.
 CALIBRATION_ROWS = 20_000
+#: Rows of ratios that are broadcast at most (12 bytes each in a worker).
+BROADCAST_ROWS = 1 << 21
+#: Texts of a block, as a power of two, where the ratios are joined.
+BLOCK_BITS = 9
 #: Pairs or words that a task holds at once.
-GATHER = 150_000
+GATHER = 300_000
+FEATURES = ["word", "passage", "words", "pair", "pairs", "length"]
 _WORD = re.compile(r"\w+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEM, _WORD_KIND, _BEFORE, _PAIR = range(4)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -50,82 +66,140 @@ def word_key(word: str) -> int:
     return ((stem << 32) | whole) - ((stem >> 31) << 64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, after) with after = 2 * hash of the word before + class; each pair once a batch."""
-    for batch in batches:
-        seen, keys = set(), {}
-        for text, toxic in zip(batch.column("text"), batch.column("toxic")):
-            before, toxic = 0, toxic.as_py()
-            for word in words_of(text.as_py()):
-                key = keys.get(word)
-                if key is None:
-                    key = keys[word] = word_key(word)
-                seen.add((key, (before & 0xFFFFFFFF) << 1 | toxic))
-                before = key
-            if len(seen) > GATHER or len(keys) > GATHER:
-                yield _pair_batch(seen)
-                seen, keys = set(), {}
-        if seen:
-            yield _pair_batch(seen)
-
-
-def _pair_batch(seen: set) -> pa.RecordBatch:
-    words, after = zip(*seen)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(words, pa.int64()), pa.array(after, pa.int64())], names=["word", "after"]
-    )
+class _Keys(dict):
+    """Key of each word, remembered."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > GATHER:
+            self.clear()
+        key = self[word] = word_key(word)
+        return key
 
-class Model:
-    """Log-likelihood ratio of each known word and stem, and of all others."""
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The word before each; 0 before the first."""
+    return np.concatenate([np.zeros(min(1, len(keys)), np.int64), keys[:-1]])
+
+
+def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (before.view(np.uint64) * _MIX ^ word.view(np.uint64)).view(np.int64)
 
-    def __init__(self, words: np.ndarray, word_ratios: np.ndarray, stems: np.ndarray, stem_ratios: np.ndarray,
-                 unknown: float, weights: np.ndarray | None = None):
-        order, stem_order = np.argsort(words), np.argsort(stems)
-        self.words, self.word_ratios = words[order], word_ratios[order].astype(np.float32)
-        self.stems, self.stem_ratios = stems[stem_order], stem_ratios[stem_order].astype(np.float32)
-        self.unknown, self.weights = float(unknown), weights
 
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: np.ndarray) -> np.ndarray:
+def _distinct(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each stands there."""
+    _, first, n = np.unique(_pair_key(before, word), return_index=True, return_counts=True)
+    return before[first], word[first], n
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(before, word, toxic, n): a pair counts once a text, summed up over some texts."""
+    known = _Keys()
+
+    def summed(gathered: list) -> Iterator[pa.RecordBatch]:
+        for label in (0, 1):
+            parts = [(b, w) for b, w, t in gathered if t == label]
+            if parts:
+                b, w, n = _distinct(*(np.concatenate(c) for c in zip(*parts)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b), pa.array(w), pa.array(np.full(len(b), label, np.int32)), pa.array(n)],
+                    names=["before", "word", "toxic", "n"],
+                )
+
+    gathered, size = [], 0
+    for batch in batches:
+        for text, toxic in zip(batch.column("text"), batch.column("toxic")):
+            keys = known.of(text.as_py())
+            if len(keys):
+                b, w, _ = _distinct(_before(keys), keys)
+                gathered.append((b, w, toxic.as_py()))
+                size += len(b)
+            if size > GATHER:
+                yield from summed(gathered)
+                gathered, size = [], 0
+    yield from summed(gathered)
+
+
+class _Ratios:
+    """Log-likelihood ratios of stems, words, words before and pairs, as sorted arrays."""
+
+    def __init__(self, entries: pa.Table, unknown: float):
+        kind, a, b, ratio = (entries.column(c).to_numpy() for c in ("kind", "a", "b", "ratio"))
+        self.unknown, self.sorted = unknown, []
+        for k in (_STEM, _WORD_KIND, _BEFORE, _PAIR):
+            mine = kind == k
+            keys = _pair_key(a[mine], b[mine]) if k == _PAIR else a[mine]
+            order = np.argsort(keys)
+            self.sorted.append((keys[order], ratio[mine][order].astype(np.float32)))
+
+    def _find(self, kind: int, wanted: np.ndarray, default: np.ndarray | float) -> np.ndarray:
+        keys, values = self.sorted[kind]
         if not len(keys):
-            return default
+            return np.broadcast_to(np.float64(default), wanted.shape)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], default)
-
-    def ratios(self, words: list[str], known: dict[str, float]) -> np.ndarray:
-        """Of each word; `known` remembers."""
-        new = [w for w in set(words) if w not in known]
-        if new:
-            keys = np.array([word_key(w) for w in new], dtype=np.int64)
-            own = self._find(self.stems, self.stem_ratios, keys >> 32, np.full(len(keys), self.unknown))
-            known.update(zip(new, self._find(self.words, self.word_ratios, keys, own).tolist()))
-        return np.array([known[w] for w in words])
+        return np.where(keys[at] == wanted, values[at].astype(float), default)
+
+    def of(self, keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word, and of each word after the one before it."""
+        kinds, back = np.unique(np.concatenate([keys, before]), return_inverse=True)
+        words = self._find(_WORD_KIND, kinds, self._find(_STEM, kinds >> 32, self.unknown))
+        follow = self._find(_BEFORE, kinds, 0.0)[back[len(keys):]]
+        return words[back[:len(keys)]], self._find(_PAIR, _pair_key(before, keys), follow)
+
+    def features(self, texts: list[np.ndarray]) -> list[tuple]:
+        """FEATURES of texts given as keys; those of a text without words are 0."""
+        if not any(map(len, texts)):
+            return [(0.0,) * len(FEATURES)] * len(texts)
+        words, pairs = self.of(np.concatenate(texts), np.concatenate([_before(t) for t in texts]))
+        rows, at = [], 0
+        for n in map(len, texts):
+            w, p, at = words[at:at + n], pairs[at:at + n], at + n
+            if not n:
+                rows.append((0.0,) * len(FEATURES))
+                continue
+            size = min(PASSAGE, n)
+            sums = np.concatenate([[0.0], np.cumsum(w)])
+            best = (sums[size:] - sums[:-size]).max() / size
+            rows.append((w.max(), best, w.mean(), p.max(), p.mean(), np.log(n)))
+        return rows
+
+    def table(self, texts: pa.Array) -> list[tuple]:
+        rows, some, size, known = [], [], 0, _Keys()
+        for text in texts:
+            some.append(known.of(text.as_py()))
+            size += len(some[-1])
+            if size > GATHER:
+                rows += self.features(some)
+                some, size = [], 0
+        return rows + self.features(some)
 
-    def features(self, words: list[str], known: dict[str, float]) -> tuple[float, float, float, float]:
-        """Best word, best passage, whole text (each a mean ratio), logarithm of the length."""
-        if not words:
-            return 0.0, 0.0, 0.0, 0.0
-        ratios = self.ratios(words, known)
-        size = min(PASSAGE, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
-        passages = (sums[size:] - sums[:-size]) / size
-        return float(ratios.max()), float(passages.max()), float(ratios.mean()), float(np.log(len(words)))
 
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        if self.weights is None:
-            return np.zeros(len(features))
-        return 1 / (1 + np.exp(-np.clip(_with_one(features) @ self.weights, -30, 30)))
+@dataclass
+class Model:
+    """``entries``: written (kind, a, b, ratio); ``unknown``: ratio of a word of no known stem."""
 
+    entries: DataFrame
+    rows: int
+    unknown: float
+    weights: list[float] = field(default_factory=list)
 
-def _with_one(features: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(features), 1)), features], axis=1)
+    def probability(self, f: str) -> Column:
+        """The score for a struct of features; 0 without weights."""
+        if not self.weights:
+            return F.lit(0.0)
+        total = F.lit(self.weights[0])
+        for name, weight in zip(FEATURES, self.weights[1:]):
+            total = total + F.col(f"{f}.{name}") * weight
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
 
 
 def fit_weights(features: np.ndarray, toxic: np.ndarray, rounds: int = 40, penalty: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton's method on standardised features."""
     mean, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
-    x = _with_one((features - mean) / spread)
+    x = np.concatenate([np.ones((len(features), 1)), (features - mean) / spread], axis=1)
     weights = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
@@ -135,57 +209,135 @@ def fit_weights(features: np.ndarray, toxic: np.ndarray, rounds: int = 40, penal
     return np.concatenate([[weights[0] - (slopes * mean).sum()], slopes])
 
 
-def _features(model) -> Callable:
-    kind = "struct<word: double, passage: double, whole: double, length: double>"
+def _struct(rows: list[tuple]) -> pa.StructArray:
+    columns = zip(*rows) if rows else [[]] * len(FEATURES)
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], names=FEATURES)
 
-    @F.arrow_udf(kind)
-    def features(texts: pa.Array) -> pa.Array:
-        own, known = model.value, {}
-        rows = []
-        for text in texts:
-            rows.append(own.features(words_of(text.as_py()), known))
-            if len(known) > GATHER:
-                known.clear()
-        return pa.StructArray.from_arrays(
-            [pa.array(c, pa.float64()) for c in (zip(*rows) if rows else [[]] * 4)],
-            names=["word", "passage", "whole", "length"],
-        )
 
-    return features
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each block looks up, distinct within a batch."""
+    known = _Keys()
+    for batch in batches:
+        blocks, texts = batch.column("block").to_numpy(), batch.column("text")
+        for block in np.unique(blocks):
+            keys = [known.of(texts[int(i)].as_py()) for i in np.flatnonzero(blocks == block)]
+            before, word = np.concatenate([_before(k) for k in keys]), np.concatenate(keys)
+            some = np.unique(word)
+            b, w, _ = _distinct(before, word)
+            lists = [(_STEM, np.unique(some >> 32), None), (_WORD_KIND, some, None),
+                     (_BEFORE, np.unique(before), None), (_PAIR, b, w)]
+            for kind, first, second in lists:
+                n = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, block)), pa.array(np.full(n, kind, np.int32)), pa.array(first),
+                     pa.array(np.zeros(n, np.int64) if second is None else second)],
+                    names=["block", "kind", "a", "b"],
+                )
+
+
+def featured(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, found): each row of `docs` as a struct, and FEATURES of its text as another."""
+    unknown = model.unknown
+    kind = "struct<" + ", ".join(f"{name}: double" for name in FEATURES) + ">"
+    if model.rows <= BROADCAST_ROWS:
+        shared = docs.sparkSession.sparkContext.broadcast(_Ratios(model.entries.toArrow(), unknown))
+
+        @F.arrow_udf(kind)
+        def features(texts: pa.Array) -> pa.Array:
+            return _struct(shared.value.table(texts))
+
+        return docs.select(F.struct("*").alias("row"), features(F.col("text")).alias("found"))
+
+    placed = written(keyed(docs).select(
+        *KEY, "text", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")
+    ), "placed")
+    wanted = placed.select("block", "text").mapInArrow(_wanted, "block bigint, kind int, a bigint, b bigint")
+    ratios = wanted.distinct().join(model.entries, ["kind", "a", "b"])
+
+    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        rows = _Ratios(found, unknown).table(texts.column("text").combine_chunks())
+        columns = _struct(rows).flatten()
+        return pa.table([texts.column(c) for c in KEY] + columns, names=KEY + FEATURES)
+
+    fields = ", ".join(f"{name} double" for name in FEATURES)
+    found = placed.groupBy("block").cogroup(ratios.groupBy("block")).applyInArrow(
+        scored, f"k_id bigint, k_text bigint, {fields}"
+    )
+    joined = by_key(docs, written(found.dropDuplicates(KEY), "features"), "left")
+    return joined.select("row", F.struct(*(F.col(f"found.{name}") for name in FEATURES)).alias("found"))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fold, doc_id) of labelled rows outside the held-out fold.
+    """(doc_id, text, toxic, counted) of labelled rows outside the held-out fold.
 
-    Labels that contradict each other count as toxic; null labels and null ids are left out.
+    Not counted are the rows kept for the weights: those of the calibration fold whose ids have
+    the least hashes. Labels that contradict each other count as toxic; null labels and null ids
+    are left out.
     """
     own = written(
         labels.select("doc_id", "toxic", fold_of(F.col("doc_id")).alias("fold"))
         .where(f"toxic IN (0, 1) AND fold <> {HELD_OUT}")
         .groupBy("doc_id", "fold").agg(F.max("toxic").cast("int").alias("toxic")), "labels",
     )
+    order = F.xxhash64("doc_id")
+    last = own.where(F.col("fold") == CALIBRATION).select(order.alias("o")).orderBy("o").limit(
+        CALIBRATION_ROWS).agg(F.max("o")).first()[0]
+    counted = (F.col("fold") != CALIBRATION) | (order > (-(2**63) if last is None else last))
+    own = own.select("doc_id", "toxic", counted.alias("counted"))
     return docs.select("doc_id", "text").join(checked_broadcast(own), "doc_id")
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """Written continuation counts (word, ordinary, toxic) of all training rows."""
-    pairs = rows.where(F.col("fold").isin(*TRAINING)).select("text", "toxic").mapInArrow(
-        _pairs, "word bigint, after bigint"
+def _counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written (before, word, n0, n1): texts of each class with the pair; and by word the number
+    of different words before it: in ordinary texts, in toxic ones, in any."""
+    pairs = rows.where("counted").select("text", "toxic").mapInArrow(
+        _pairs, "before bigint, word bigint, toxic int, n bigint"
     )
-    toxic = F.col("after").bitwiseAND(F.lit(1))
-    return written(
-        pairs.distinct().groupBy("word").agg(F.sum(1 - toxic).alias("ordinary"), F.sum(toxic).alias("toxic")),
-        "counts",
+    pairs = written(pairs.groupBy("before", "word").agg(
+        F.sum(F.col("n") * (1 - F.col("toxic"))).alias("n0"), F.sum(F.col("n") * F.col("toxic")).alias("n1")
+    ), "pairs")
+    counts = pairs.groupBy("word").agg(
+        F.count_if(F.col("n0") > 0).alias("ordinary"), F.count_if(F.col("n1") > 0).alias("toxic"),
+        F.count("*").alias("any"),
     )
+    return pairs, written(counts, "counts")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Count over all training rows, then fit the score's weights on the calibration fold.
+def _pair_entries(pairs: DataFrame, counts: DataFrame) -> list[DataFrame]:
+    """Entries of words before (what unseen or rare pairs after them say) and of repeated pairs."""
+    befores = written(pairs.groupBy("before").agg(
+        F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), F.count_if(F.col("n0") > 0).alias("kinds0"),
+        F.count_if(F.col("n1") > 0).alias("kinds1"), F.count("*").alias("kinds"),
+    ), "befores")
+    n_pairs = pairs.count()
 
-    Without rows of both classes in both, every score is 0.
-    """
-    rows = _labelled(docs, labels)
-    counts = _counts(rows)
+    def freed(c: int) -> Column:
+        return F.when(F.col(f"all{c}") > 0, PAIR_DISCOUNT * F.col(f"kinds{c}") / F.col(f"all{c}")).otherwise(1.0)
+
+    def over(count: Column, total: Column) -> Column:
+        return F.when(total > 0, F.greatest(count - PAIR_DISCOUNT, F.lit(0)) / total).otherwise(0.0)
+
+    all_texts = F.col("all0") + F.col("all1")
+    both = (over(F.col("n0") + F.col("n1"), all_texts)
+            + PAIR_DISCOUNT * F.col("kinds") / all_texts * (F.col("any") / n_pairs))
+
+    def share(c: int) -> Column:
+        return over(F.col(f"n{c}"), F.col(f"all{c}")) + freed(c) * both
+
+    # A pair no class has more often than the discount has the ratio of its first word.
+    often = pairs.where(F.greatest("n0", "n1") > PAIR_DISCOUNT)
+    known = often.join(befores, "before").join(counts.select("word", "any"), "word")
+    return [
+        befores.where(F.greatest("all0", "all1") > 1).select(
+            F.lit(_BEFORE).alias("kind"), F.col("before").alias("a"), F.lit(0).cast("long").alias("b"),
+            (F.log(freed(1)) - F.log(freed(0))).alias("ratio")),
+        known.select(F.lit(_PAIR).alias("kind"), F.col("before").alias("a"), F.col("word").alias("b"),
+                     (F.log(share(1)) - F.log(share(0))).alias("ratio")),
+    ]
+
+
+def _word_entries(counts: DataFrame) -> tuple[list[DataFrame], float] | None:
+    """Entries of stems and words, and the ratio of an unknown stem; None without both classes."""
     stems = written(counts.groupBy(F.shiftright("word", 32).alias("stem")).agg(
         F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("kinds")
     ), "stems")
@@ -198,76 +350,87 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     all0, all1, words0, words1, _ = totals(counts)
     _, _, stems0, stems1, n_stems = totals(stems)
-    empty = np.zeros(0)
     if not all0 or not all1:
-        return Model(empty.astype(np.int64), empty, empty.astype(np.int64), empty, 0.0)
-    often = F.greatest("ordinary", "toxic")
-    sizes = dict(counts.groupBy(F.floor(F.log2(often)).alias("k")).count().collect())
-    discount = DISCOUNT
-    while sum(n for k, n in sizes.items() if 2 ** (k + 1) > discount) > MOST_WORDS:
-        discount *= 2
+        return None
 
     def stem_share(name: str, total: int, kinds: int) -> Column:
         shared = (F.col("s_ordinary") + F.col("s_toxic") + 0.5) / (all0 + all1 + 0.5 * (n_stems + 1))
-        return (F.greatest(F.col(f"s_{name}") - discount, F.lit(0)) + discount * kinds * shared) / total
+        return (F.greatest(F.col(f"s_{name}") - DISCOUNT, F.lit(0)) + DISCOUNT * kinds * shared) / total
 
     def word_share(name: str, total: int, kinds: int, n_stem: int) -> Column:
         both = F.col("s_ordinary") + F.col("s_toxic")
         shared = (F.col("ordinary") + F.col("toxic") + 0.5) / (both + 0.5 * (F.col("kinds") + 1))
-        return (F.greatest(F.col(name) - discount, F.lit(0))
-                + discount * kinds * stem_share(name, total, n_stem) * shared) / total
+        return (F.greatest(F.col(name) - DISCOUNT, F.lit(0))
+                + DISCOUNT * kinds * stem_share(name, total, n_stem) * shared) / total
 
-    backoff = np.log(words1 / all1) - np.log(words0 / all0)
+    backoff = float(np.log(words1 / all1) - np.log(words0 / all0))
     named = stems.select(
         "stem", "kinds", F.col("ordinary").alias("s_ordinary"), F.col("toxic").alias("s_toxic")
     )
     stem_ratio = F.log(stem_share("toxic", all1, stems1)) - F.log(stem_share("ordinary", all0, stems0)) + backoff
-    known_stems = named.where(F.greatest("s_ordinary", "s_toxic") > discount).select(
-        "stem", stem_ratio.alias("ratio")
-    ).toPandas()
-    known_words = counts.where(often > discount).join(named, F.shiftright("word", 32) == F.col("stem")).select(
-        "word", (F.log(word_share("toxic", all1, words1, stems1))
-                 - F.log(word_share("ordinary", all0, words0, stems0))).alias("ratio"),
-    ).toPandas()
-    unknown = backoff + np.log(stems1 / all1) - np.log(stems0 / all0)
-    model = Model(
-        known_words["word"].to_numpy(np.int64), known_words["ratio"].to_numpy(float),
-        known_stems["stem"].to_numpy(np.int64), known_stems["ratio"].to_numpy(float), unknown,
-    )
-    sample = rows.where(F.col("fold") == CALIBRATION).select(
-        "toxic", _features(docs.sparkSession.sparkContext.broadcast(model))(F.col("text")).alias("f"),
-        F.xxhash64("doc_id").alias("order"),
-    ).orderBy("order").limit(CALIBRATION_ROWS).select("toxic", "f.*").toPandas()
-    toxic = sample["toxic"].to_numpy(float)
+    word_ratio = (F.log(word_share("toxic", all1, words1, stems1))
+                  - F.log(word_share("ordinary", all0, words0, stems0)))
+    none = F.lit(0).cast("long").alias("b")
+    known_stems = named.where(F.greatest("s_ordinary", "s_toxic") > DISCOUNT).select(
+        F.lit(_STEM).alias("kind"), F.col("stem").alias("a"), none, stem_ratio.alias("ratio"))
+    known_words = counts.where(F.greatest("ordinary", "toxic") > DISCOUNT).join(
+        named, F.shiftright("word", 32) == F.col("stem")
+    ).select(F.lit(_WORD_KIND).alias("kind"), F.col("word").alias("a"), none, word_ratio.alias("ratio"))
+    return [known_stems, known_words], backoff + float(np.log(stems1 / all1) - np.log(stems0 / all0))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Count over all labelled rows but those kept for the weights, then fit the weights on those.
+
+    Without rows of both classes in both, every score is 0. A null or empty text counts nothing;
+    repeated rows count each; a text of any length is one text.
+    """
+    rows = _labelled(docs, labels)
+    pairs, counts = _counts(rows)
+    words = _word_entries(counts)
+    if words is None:
+        empty = docs.sparkSession.createDataFrame([], "kind int, a bigint, b bigint, ratio double")
+        return Model(empty, 0, 0.0)
+    parts, unknown = words
+    entries = written(reduce(DataFrame.unionByName, parts + _pair_entries(pairs, counts)), "ratios")
+    model = Model(entries, entries.count(), unknown)
+    sample = featured(rows.where("NOT counted"), model).select(
+        "row.toxic", "found.*", F.xxhash64("row.doc_id").alias("o1"), F.xxhash64("row.text").alias("o2")
+    ).orderBy("o1", "o2").limit(CALIBRATION_ROWS).toArrow()
+    toxic = sample["toxic"].to_numpy().astype(float)
     if len(toxic) and 0 < toxic.sum() < len(toxic):
-        model.weights = fit_weights(sample[["word", "passage", "whole", "length"]].to_numpy(float), toxic)
+        values = np.stack([sample[name].to_numpy() for name in FEATURES], axis=1)
+        model.weights = fit_weights(values, toxic).tolist()
     return model
 
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """Add a column with the score, 0 to 1, replacing one of this name; rows stay where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    features = _features(shared)
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score): each row of `docs` as a struct, whatever its columns, and its score, 0 to 1."""
+    return featured(docs, model).select("row", model.probability("found").alias("score"))
 
-    @F.arrow_udf("double")
-    def probability(found: pa.Array) -> pa.Array:
-        columns = [c.to_numpy(zero_copy_only=False) for c in found.flatten()]
-        return pa.array(shared.value.probability(np.stack(columns, axis=1)))
 
-    return docs.withColumn(name, probability(features(F.col("text"))))
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Add a column with the score, replacing one of this name."""
+    return scored(docs, model).select(
+        *(F.col("row").getField(c).alias(c) for c in docs.columns if c != name), F.col("score").alias(name)
+    )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that score below the threshold; all columns are kept."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return score(rows, train(docs, labels)).where(F.col("score") < threshold).select("row.*")
+    """Documents that score below the threshold; all columns are kept, whatever their names.
+
+    A null or empty text is kept unless texts without words are mostly labelled toxic; repeated
+    rows go or stay together; an empty table stays empty; without usable labels all stay.
+    """
+    return scored(docs, train(docs, labels)).where(F.col("score") < threshold).select("row.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score.
 
     Null and empty texts have ratios of 0 and get the score that gives. A null doc_id is not
-    held out and never labelled. Repeated rows get equal scores.
+    held out and never labelled. Repeated rows get equal scores, and very long texts are scored
+    whole. Columns beside doc_id and text are not read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
