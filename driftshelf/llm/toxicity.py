@@ -38,6 +38,8 @@ FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 STEM, PASSAGE, THRESHOLD = 5, 3, 0.3
 #: Taken off continuation counts of words and stems, and off counts of pairs.
 DISCOUNT, PAIR_DISCOUNT = 2, 1
+#: A pair whose ratio differs less from that of its first word (as a logarithm) has the first word's.
+LEAST_GAIN = 1.5
 #: Rows of the calibration fold that the weights of the score are fitted on; all others are counted.
 CALIBRATION_ROWS = 20_000
 #: Rows of ratios that are broadcast at most (12 bytes each in a worker).
@@ -81,12 +83,12 @@ class _Keys(dict):
 
 
 def _before(keys: np.ndarray) -> np.ndarray:
-    """The word before each; 0 before the first."""
-    return np.concatenate([np.zeros(min(1, len(keys)), np.int64), keys[:-1]])
+    """32 bits of the word before each; 0 before the first."""
+    return np.concatenate([np.zeros(min(1, len(keys)), np.int32), keys[:-1].astype(np.int32)])
 
 
 def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (before.view(np.uint64) * _MIX ^ word.view(np.uint64)).view(np.int64)
+    return (before.astype(np.int64).view(np.uint64) * _MIX ^ word.view(np.uint64)).view(np.int64)
 
 
 def _distinct(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,18 +98,17 @@ def _distinct(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(before, word, toxic, n): a pair counts once a text, summed up over some texts."""
+    """(before, word, n0, n1): texts of each class with the pair, summed up over some texts."""
     known = _Keys()
 
     def summed(gathered: list) -> Iterator[pa.RecordBatch]:
-        for label in (0, 1):
-            parts = [(b, w) for b, w, t in gathered if t == label]
-            if parts:
-                b, w, n = _distinct(*(np.concatenate(c) for c in zip(*parts)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b), pa.array(w), pa.array(np.full(len(b), label, np.int32)), pa.array(n)],
-                    names=["before", "word", "toxic", "n"],
-                )
+        if gathered:
+            before, word, toxic = (np.concatenate(c) for c in zip(*gathered))
+            _, first, back = np.unique(_pair_key(before, word), return_index=True, return_inverse=True)
+            n = [np.bincount(back[toxic == c], minlength=len(first)).astype(np.int32) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (before[first], word[first], *n)], names=["before", "word", "n0", "n1"]
+            )
 
     gathered, size = [], 0
     for batch in batches:
@@ -115,7 +116,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = known.of(text.as_py())
             if len(keys):
                 b, w, _ = _distinct(_before(keys), keys)
-                gathered.append((b, w, toxic.as_py()))
+                gathered.append((b, w, np.full(len(b), toxic.as_py(), np.int8)))
                 size += len(b)
             if size > GATHER:
                 yield from summed(gathered)
@@ -131,7 +132,7 @@ class _Ratios:
         self.unknown, self.sorted = unknown, []
         for k in (_STEM, _WORD_KIND, _BEFORE, _PAIR):
             mine = kind == k
-            keys = _pair_key(a[mine], b[mine]) if k == _PAIR else a[mine]
+            keys = _pair_key(a[mine].astype(np.int32), b[mine]) if k == _PAIR else a[mine]
             order = np.argsort(keys)
             self.sorted.append((keys[order], ratio[mine][order].astype(np.float32)))
 
@@ -144,10 +145,11 @@ class _Ratios:
 
     def of(self, keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word, and of each word after the one before it."""
-        kinds, back = np.unique(np.concatenate([keys, before]), return_inverse=True)
-        words = self._find(_WORD_KIND, kinds, self._find(_STEM, kinds >> 32, self.unknown))
-        follow = self._find(_BEFORE, kinds, 0.0)[back[len(keys):]]
-        return words[back[:len(keys)]], self._find(_PAIR, _pair_key(before, keys), follow)
+        kinds, back = np.unique(keys, return_inverse=True)
+        words = self._find(_WORD_KIND, kinds, self._find(_STEM, kinds >> 32, self.unknown))[back]
+        befores, back = np.unique(before, return_inverse=True)
+        follow = self._find(_BEFORE, befores.astype(np.int64), 0.0)[back]
+        return words, self._find(_PAIR, _pair_key(before, keys), follow)
 
     def features(self, texts: list[np.ndarray]) -> list[tuple]:
         """FEATURES of texts given as keys; those of a text without words are 0."""
@@ -225,7 +227,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.unique(word)
             b, w, _ = _distinct(before, word)
             lists = [(_STEM, np.unique(some >> 32), None), (_WORD_KIND, some, None),
-                     (_BEFORE, np.unique(before), None), (_PAIR, b, w)]
+                     (_BEFORE, np.unique(before).astype(np.int64), None), (_PAIR, b.astype(np.int64), w)]
             for kind, first, second in lists:
                 n = len(first)
                 yield pa.RecordBatch.from_arrays(
@@ -291,11 +293,9 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written (before, word, n0, n1): texts of each class with the pair; and by word the number
     of different words before it: in ordinary texts, in toxic ones, in any."""
     pairs = rows.where("counted").select("text", "toxic").mapInArrow(
-        _pairs, "before bigint, word bigint, toxic int, n bigint"
+        _pairs, "before int, word bigint, n0 int, n1 int"
     )
-    pairs = written(pairs.groupBy("before", "word").agg(
-        F.sum(F.col("n") * (1 - F.col("toxic"))).alias("n0"), F.sum(F.col("n") * F.col("toxic")).alias("n1")
-    ), "pairs")
+    pairs = written(pairs.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
     counts = pairs.groupBy("word").agg(
         F.count_if(F.col("n0") > 0).alias("ordinary"), F.count_if(F.col("n1") > 0).alias("toxic"),
         F.count("*").alias("any"),
@@ -324,15 +324,18 @@ def _pair_entries(pairs: DataFrame, counts: DataFrame) -> list[DataFrame]:
     def share(c: int) -> Column:
         return over(F.col(f"n{c}"), F.col(f"all{c}")) + freed(c) * both
 
-    # A pair no class has more often than the discount has the ratio of its first word.
+    # A pair no class has more often than the discount has just the ratio of its first word.
     often = pairs.where(F.greatest("n0", "n1") > PAIR_DISCOUNT)
-    known = often.join(befores, "before").join(counts.select("word", "any"), "word")
+    known = often.join(checked_broadcast(befores), "before").join(
+        checked_broadcast(counts.select("word", "any")), "word")
+    first, own = F.log(freed(1)) - F.log(freed(0)), F.log(share(1)) - F.log(share(0))
     return [
         befores.where(F.greatest("all0", "all1") > 1).select(
-            F.lit(_BEFORE).alias("kind"), F.col("before").alias("a"), F.lit(0).cast("long").alias("b"),
-            (F.log(freed(1)) - F.log(freed(0))).alias("ratio")),
-        known.select(F.lit(_PAIR).alias("kind"), F.col("before").alias("a"), F.col("word").alias("b"),
-                     (F.log(share(1)) - F.log(share(0))).alias("ratio")),
+            F.lit(_BEFORE).alias("kind"), F.col("before").cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
+            first.alias("ratio")),
+        known.where(F.abs(own - first) >= LEAST_GAIN).select(
+            F.lit(_PAIR).alias("kind"), F.col("before").cast("long").alias("a"), F.col("word").alias("b"),
+            own.alias("ratio")),
     ]
 
 

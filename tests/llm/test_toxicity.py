@@ -116,6 +116,7 @@ def found(docs, model):
 
 def test_features_equal_a_plain_version_broadcast_or_joined(spark, small, monkeypatch):
     rows, docs, labels = small
+    monkeypatch.setattr(toxicity, "LEAST_GAIN", 0.0)
     model = toxicity.train(docs, labels)
     toxic = {i: int(i % 3 == 0) for i in range(160)}
     counted = [(t, toxic[i]) for i, t in rows if i in toxic and zlib.crc32(str(i).encode()) % 4 in (0, 1)]
@@ -136,6 +137,10 @@ def test_features_equal_a_plain_version_broadcast_or_joined(spark, small, monkey
         assert all(abs(got[i] - plain[i]) < 1e-4 for i in at), key
     assert sum(set(toxicity.words_of(t)) <= seen for _, t in rows) > 100
     assert "stone" in stems
+    monkeypatch.setattr(toxicity, "LEAST_GAIN", 1.5)
+    fewer = toxicity.train(docs, labels).entries.where("kind = 3")
+    everything = model.entries.where("kind = 3")
+    assert 0 < fewer.count() < everything.count() and not fewer.exceptAll(everything).count()
 
     monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(toxicity, "BLOCK_BITS", 3)
