@@ -14,6 +14,7 @@ from ..functions import urls
 from ..operators import discovery
 from ..operators.keyed import lookup
 from . import style_a, style_b
+from .records import PageRules, extract_styles
 
 
 @dataclass(frozen=True)
@@ -84,8 +85,19 @@ def dispatch(
     return reduce(DataFrame.unionByName, parts)
 
 
-def extract(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
-    return dispatch(pages, lambda name, mine: style(name).extract(mine), names)
+def extract(
+    pages: DataFrame, names: list[str] | None = None, styles: dict[str, PageStyle] | None = None
+) -> DataFrame:
+    """Observations of all pages, by the registered styles (all, or those named) or by `styles`.
+    Those given as page rules share one pass over the pages; one with a job of its own reads its
+    pages by itself."""
+    jobs = {name: one.extract for name, one in (styles or {n: style(n) for n in names or STYLES}).items()}
+    shared = {name: job for name, job in jobs.items() if isinstance(job, PageRules)}
+    own = [name for name in jobs if name not in shared]
+    parts = [extract_styles(pages, shared)] if shared else []
+    if own:
+        parts.append(dispatch(pages, lambda name, mine: jobs[name](mine), own))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_listing(pages: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ fallbacks, sorting) is Catalyst's. One page in, one row out: no shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -215,6 +217,45 @@ def _link(base: str, attrs: dict[str, str]) -> str | None:
         return None
 
 
+@dataclass(frozen=True)
+class PageNodes:
+    """What a page style takes from a page. ``opening`` limits the search for block markers to so
+    many characters of the body."""
+
+    selectors: dict[str, str]
+    required: str
+    blocks: tuple[str, ...] = ()
+    raw: tuple[str, ...] = ()
+    opening: int | None = None
+
+    @property
+    def all(self) -> dict[str, str]:
+        return {**self.selectors, "required": self.required, "page_title": "title", "page_body": "body"}
+
+
+def _layout(fields: Iterable[str]) -> T.StructType:
+    return T.StructType([T.StructField(field, T.ArrayType(NODE)) for field in fields])
+
+
+def _arrow(fields: Iterable[str]) -> pa.StructType:
+    return pa.struct([(field, _ARROW_NODES) for field in fields])
+
+
+def _page_nodes(index: dict, fields: Iterable[str], blocks: tuple, raw: tuple, base: str | None,
+                page: str | None) -> dict[str, list]:
+    """Nodes of a page by field."""
+    marker = _Marker(index, blocks)
+    marker.feed(page or "")
+    marker.close()
+    out = {field: [] for field in fields}
+    for n in marker.nodes:
+        out[n["field"]].append(
+            {"pos": n["pos"], "blocks": n["blocks"], "text": rendered(n["text"], n["field"] in raw),
+             "link": _link(base or "", n["attrs"]), "attrs": list(n["attrs"].items())}
+        )
+    return out
+
+
 def marked_nodes(rules: dict[str, str], blocks: tuple[str, ...] = (), raw: tuple[str, ...] = ()):
     """A UDF ``(url, html) -> struct`` with the nodes of each named selector, in document order.
 
@@ -223,25 +264,45 @@ def marked_nodes(rules: dict[str, str], blocks: tuple[str, ...] = (), raw: tuple
     link or image, resolved against the page.
     """
     index = index_rules(rules)
-    layout = T.StructType([T.StructField(field, T.ArrayType(NODE)) for field in rules])
-    arrow = pa.struct([(field, _ARROW_NODES) for field in rules])
+    layout, arrow = _layout(rules), _arrow(rules)
 
     @F.arrow_udf(layout)
     def parse(url: pa.Array, html: pa.Array) -> pa.Array:
-        out = []
-        for base, page in zip(url.to_pylist(), html.to_pylist()):
-            marker = _Marker(index, blocks)
-            marker.feed(page or "")
-            marker.close()
-            fields = {field: [] for field in rules}
-            for n in marker.nodes:
-                fields[n["field"]].append(
-                    {"pos": n["pos"], "blocks": n["blocks"],
-                     "text": rendered(n["text"], n["field"] in raw),
-                     "link": _link(base or "", n["attrs"]), "attrs": list(n["attrs"].items())}
-                )
-            out.append(fields)
-        return pa.array(out, type=arrow)
+        pages = zip(url.to_pylist(), html.to_pylist())
+        return pa.array([_page_nodes(index, rules, blocks, raw, base, page) for base, page in pages], type=arrow)
+
+    return parse
+
+
+def styled_nodes(styles: dict[str, PageNodes], markers: tuple[str, ...]):
+    """A UDF ``(style, url, html) -> struct`` that reads pages of all styles in one go.
+
+    ``nodes`` has a struct for each style, in order, and only that of the page's own is filled;
+    ``lost`` says that its required node is absent, ``marker`` is the first marker in its title or
+    body. The body is searched here and stays here.
+    """
+    named = {style: (at, index_rules(s.all), s) for at, (style, s) in enumerate(styles.items())}
+    layout = T.StructType([
+        T.StructField("lost", T.BooleanType()), T.StructField("marker", T.StringType()),
+        T.StructField("nodes", T.StructType([
+            T.StructField(f"style_{at}", _layout(s.selectors)) for at, _, s in named.values()])),
+    ])
+    arrow = pa.struct([
+        ("lost", pa.bool_()), ("marker", pa.string()),
+        ("nodes", pa.struct([(f"style_{at}", _arrow(s.selectors)) for at, _, s in named.values()])),
+    ])
+
+    def read(style: str, base: str | None, page: str | None) -> dict:
+        at, index, s = named[style]
+        fields = _page_nodes(index, s.all, s.blocks, s.raw, base, page)
+        required, title, body = (fields.pop(name) for name in ("required", "page_title", "page_body"))
+        seen = " ".join([title[0]["text"] if title else "", (body[0]["text"] if body else "")[:s.opening]]).lower()
+        return {"lost": not required, "marker": next((m for m in markers if m in seen), None),
+                "nodes": {f"style_{at}": fields}}
+
+    @F.arrow_udf(layout)
+    def parse(style: pa.Array, url: pa.Array, html: pa.Array) -> pa.Array:
+        return pa.array([read(*page) for page in zip(*(c.to_pylist() for c in (style, url, html)))], type=arrow)
 
     return parse
 

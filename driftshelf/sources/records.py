@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,20 +14,54 @@ from ..schemas import RECORD_FIELDS, RUN_FIELDS
 from . import html
 
 ERRORS = ("error_type", "error_message")
+#: Holds what is not the business of a style's rules; `finish` leaves it alone.
+CARRIED = "_carried"
+
+
+@dataclass(frozen=True)
+class PageRules:
+    """An extraction job for one style of product pages: the nodes it takes, and the rules that
+    make a record of them (``nodes``, ``url``, run and error columns to the observation layout)."""
+
+    nodes: html.PageNodes
+    fields: Callable[[DataFrame], DataFrame]
 
+    def __call__(self, pages: DataFrame) -> DataFrame:
+        return extract_styles(pages.withColumn("adapter", F.lit("")), {"": self})
 
-def parsed(pages: DataFrame, parse) -> DataFrame:
-    """Pages with their nodes and the first error: no required node, then a block marker."""
+
+def extract_styles(pages: DataFrame, rules: dict[str, PageRules]) -> DataFrame:
+    """Observations of pages of several styles (``adapter`` names it), errors as columns: one scan
+    of the pages and one Python evaluation, however many styles."""
+    read = html.styled_nodes({name: r.nodes for name, r in rules.items()}, fixed.BLOCK_MARKERS)
     # Not deterministic to the optimizer: a filter on the results must not run it again.
-    nodes = parse.asNondeterministic()("url", "html")
-    return with_errors(pages.select(*RUN_FIELDS, "url", nodes.alias("nodes")))
+    page = read.asNondeterministic()("adapter", "url", "html")
+    df = pages.where(F.col("adapter").isin(*rules)).select(*RUN_FIELDS, "url", "adapter", page.alias("page"))
+    df = _errors(df.select("*", "page.lost", "page.marker"))
+    for at, one in enumerate(rules.values()):
+        kept = "page", "adapter", *(f"record_{i}" for i in range(at))
+        mine = df.select(*RUN_FIELDS, "url", *ERRORS, F.struct(*kept).alias(CARRIED),
+                         F.col(f"page.nodes.style_{at}").alias("nodes"))
+        found = one.fields(mine)
+        df = found.select(
+            *RUN_FIELDS, "url", f"{CARRIED}.*", F.col(f"{CARRIED}.page.lost"), F.col(f"{CARRIED}.page.marker"),
+            F.struct(*RECORD_FIELDS, *ERRORS).alias(f"record_{at}"),
+        )
+        df = _errors(df)
+    chosen = F.lit(None)
+    for at, name in reversed(list(enumerate(rules))):
+        chosen = F.when(F.col("adapter") == name, F.col(f"record_{at}")).otherwise(chosen)
+    return df.select(*RUN_FIELDS, "url", chosen.alias("record")).select(*RUN_FIELDS, "url", "record.*")
 
 
 def with_errors(df: DataFrame) -> DataFrame:
     """The first error of parsed pages (``nodes`` with ``required, page_title, page_body``)."""
     n = F.col("nodes")
     marker = text.block_marker(html.first_text(n, "page_title"), html.first_text(n, "page_body"))
-    df = df.withColumns({"marker": marker, "lost": F.size(html.nodes_of(n, "required")) == 0})
+    return _errors(df.withColumns({"marker": marker, "lost": F.size(html.nodes_of(n, "required")) == 0}))
+
+
+def _errors(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "error_type": F.when(F.col("lost"), "navigation_failed").when(
@@ -80,7 +117,7 @@ def finish(df: DataFrame) -> DataFrame:
             out.append(F.array().cast(kind).alias(name))
         else:
             out.append(F.lit(None).cast(kind).alias(name))
-    return df.select(*out, *ERRORS)
+    return df.select(*out, *ERRORS, *([CARRIED] if CARRIED in have else []))
 
 
 def records(extracted: DataFrame) -> DataFrame:

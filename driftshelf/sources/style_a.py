@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import jsonld, text, urls
 from . import html
-from .records import failing, finish, listed, parsed
+from .records import PageRules, failing, finish, listed
 
 _parse_start = html.marked_nodes({"category": fixed.STYLE_A_CATEGORY_LINK})
 _parse_next = html.marked_nodes({"next": fixed.STYLE_A_NEXT_PAGE})
@@ -56,20 +55,14 @@ def listing_links(pages: DataFrame, parse: Callable = _parse_listing) -> DataFra
     )
 
 
-def extractor(
-    selectors: dict[str, str], required: str
-) -> Callable[[DataFrame], DataFrame]:
-    """An extraction job for shop pages, given where each field is on the page."""
-    parse = html.marked_nodes(
-        {**selectors, "required": required, "page_title": "title", "page_body": "body"},
-        blocks=("row", "review"), raw=("json_ld",),
-    )
-    return partial(_extract, parse)
+def extractor(selectors: dict[str, str], required: str, opening: int | None = None) -> PageRules:
+    """An extraction job for shop pages, given where each field is on the page, and how many
+    characters of the body are searched for block markers (all, unless given)."""
+    return PageRules(html.PageNodes(selectors, required, ("row", "review"), ("json_ld",), opening), _fields)
 
 
-def _extract(parse: Callable, pages: DataFrame) -> DataFrame:
-    """Product pages to observations, one row per page, errors as columns."""
-    df = parsed(pages, parse)
+def _fields(df: DataFrame) -> DataFrame:
+    """Observations from the nodes of product pages, one row per page."""
     df = df.withColumn("ld", jsonld.product_block(html.texts(F.col("nodes"), "json_ld")))
     n, ld = F.col("nodes"), F.col("ld")
 

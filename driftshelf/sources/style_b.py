@@ -8,15 +8,10 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text
 from . import html
-from .records import failing, finish, listed, parsed
+from .records import PageRules, failing, finish, listed
 from .style_a import image_entries
 
 _ROWS = ("row_1", "row_2", "row_3")
-_parse = html.marked_nodes(
-    {**fixed.STYLE_B_SELECTORS, "required": fixed.STYLE_B_REQUIRED,
-     "page_title": "title", "page_body": "body"},
-    blocks=(*_ROWS, "review"),
-)
 _parse_listing = html.marked_nodes(
     {"item": fixed.STYLE_B_LISTING_ITEM, "required": fixed.STYLE_B_LISTING_CARD,
      "page_title": "title", "page_body": "body"}
@@ -185,9 +180,9 @@ def _specifications(rows: Column) -> Column:
     return F.array_sort(F.array_distinct(records))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Product pages to observations, one row per page, errors as columns."""
-    df = parsed(pages, _parse).withColumn("code", text.product_code(F.col("url")))
+def _fields(df: DataFrame) -> DataFrame:
+    """Observations from the nodes of product pages, one row per page."""
+    df = df.withColumn("code", text.product_code(F.col("url")))
     n, code = F.col("nodes"), F.col("code")
     df = failing(df, no_product_code=code.isNull())
     df = df.withColumns(
@@ -254,3 +249,13 @@ def extract(pages: DataFrame) -> DataFrame:
         bad_review_date=F.exists("review_blocks", _bad_date),
     )
     return finish(df)
+
+
+def extractor(opening: int | None = None) -> PageRules:
+    """The extraction job; `opening` says how many characters of the body are searched for block
+    markers (all, unless given)."""
+    return PageRules(html.PageNodes(
+        fixed.STYLE_B_SELECTORS, fixed.STYLE_B_REQUIRED, (*_ROWS, "review"), opening=opening), _fields)
+
+
+extract = extractor()

@@ -50,5 +50,11 @@ def test_scans_read_only_what_is_used(spark):
     assert re.search(r"PushedFilters: \[[^\]]*p_size", plan(registry.queries()["orphan_audit"](spark, FOLDER)))
 
 
+def test_pages_of_all_styles_are_parsed_once(spark):
+    text = plan(registry.queries()["adapter_dispatch"](spark, FOLDER))
+    assert text.count("ArrowEvalPython") == text.count("FileScan") == 1
+    assert "page_body" not in text  # the body is searched for markers where it is parsed
+
+
 def test_entry_runs(spark):
     assert registry.entry(spark).limit(1).count() == 1

@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from driftshelf import fixed
 from driftshelf.plans.run import export_run, run_batch, with_options
 from driftshelf.operators import discovery
 from driftshelf.schemas import RECORD_FIELDS, ddl, SITES
@@ -118,6 +119,31 @@ def test_long_link_names_are_cut(spark):
     assert [len(x.name) for x in r.relations] == [600]
 
 
+def test_all_styles_in_one_pass_equal_each_alone(spark):
+    shop, market = shop_page("Nokia", "1.00"), market_page("B00DECK001")
+    blocked = shop_page("Are you", "2.00", "<p>solve the CAPTCHA</p>")
+    a = pages_of(spark, [(A, 1, None, 1, f"{BASE}/p/1", shop), (A, 1, None, 2, f"{BASE}/p/2", market),
+                         (A, 1, None, 3, f"{BASE}/p/3", None), (A, 1, None, 4, f"{BASE}/p/4", blocked), (A, 1, None, 5, None, shop)])
+    b = pages_of(spark, [(B, 1, None, 1, "https://h/dp/B00DECK001", market), (B, 1, None, 2, "https://h/none", market),
+                         (B, 1, None, 3, "https://h/dp/B00DECK003", shop), (B, 1, None, 4, None, "")])
+    other = pages_of(spark, [(9, 1, None, 1, "https://o/1", shop), (9, 1, None, 2, "https://o/2", shop)])
+    alone = sorted(map(repr, style_a.extract(a).unionByName(style_b.extract(b)).collect()))
+    named = a.withColumn("adapter", F.lit(fixed.STYLE_A)).unionByName(b.withColumn("adapter", F.lit(fixed.STYLE_B)))
+    mixed = named.unionByName(other.withColumn("adapter", F.lit("nobody"))).unionByName(
+        other.limit(1).withColumn("adapter", F.lit(None).cast("string")))
+    together = adapters.extract(mixed)
+    assert sorted(map(repr, together.collect())) == alone
+    assert [r.error_type for r in together.where("item_seq = 4 and site_id = 1").collect()] == [fixed.BLOCKED_ERROR]
+    # A style with a job of its own reads its pages by itself.
+    own = adapters.STYLES | {"nobody": adapters.PageStyle(style_a.listing_links, lambda p: style_a.extract(p))}
+    assert adapters.extract(mixed, styles=own).count() == together.count() + 2
+    # Where a caller limits the search to the opening of a page, a marker further down is part of the text.
+    near = adapters.PageStyle(style_a.listing_links, style_a.extractor(
+        fixed.STYLE_A_SELECTORS, fixed.STYLE_A_REQUIRED, opening=10))
+    found = adapters.extract(mixed, styles={fixed.STYLE_A: near}).where("item_seq = 4").collect()
+    assert [(r.error_type, r.title) for r in found] == [(None, "Are you")]
+
+
 def test_discovery_from_saved_listing_pages(spark):
     rows = [
         (A, "c1", 1, f"{BASE}/c/1", listing("/p/1", "/p/2?x=1", "/p/1#y")), (A, "c1", 2, f"{BASE}/c/1?2", listing("/p/3")),
