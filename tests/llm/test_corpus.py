@@ -384,13 +384,30 @@ def test_spliced_counts_equal_whole_ones():
         return tok.encode(part, add_special_tokens=False).offsets
 
     r = random.Random(2)
-    texts = [t for _, t in TEXTS if t] + ["".join(r.choice(" \n\tab1.é漢😀'") for _ in range(500)) for _ in range(20)]
+    texts = [t for _, t in TEXTS if t] + ["".join(r.choice(" \n\tab1.é漢😀'\x1c\u00a0-_,<|") for _ in range(500)) for _ in range(20)]
     for text in [*texts, "x" * 300, " " * 300, "don't <|endoftext|> " * 30]:
         want = len(tok.encode(text, add_special_tokens=False).ids)
         for chunk, overlap in ((20, 3), (64, 16), (1000, 10)):
             assert token_counts.spliced_count(offsets, text, chunk, overlap) == want
 
 
+@pytest.mark.parametrize("text", [
+    "\n".join(f"line{i}" for i in range(40_000)), "key=value&x=1," * 20_000, "x" * 200_000, "漢字かな" * 40_000,
+])
+def test_long_texts_without_spaces_are_encoded_a_few_times_at_most(text):
+    tok, seen = token_counts.tokenizer(P.path(token_counts.TOKENIZER)), []
+
+    def offsets(part):
+        seen.append(len(part))
+        return tok.encode(part, add_special_tokens=False).offsets
+
+    want = len(tok.encode(text, add_special_tokens=False).ids)
+    assert token_counts.spliced_count(offsets, text, 1 << 13) == want
+    assert sum(seen) <= 8 * len(text)
+    if text[0] in "lk":
+        assert sum(seen) <= 1.5 * len(text)
+
+
 def test_counts_use_splicing_for_long_texts(spark, docs):
     path = P.path(token_counts.TOKENIZER)
     whole = [r[:] for r in token_counts.count_tokens(docs, path).select("doc_id", "n_tokens").collect()]
