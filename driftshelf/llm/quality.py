@@ -22,12 +22,20 @@ SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_SHARE = 20, 8, 30
 #: Content must hold this share of the characters in lines.
 CONTENT_SHARE = 0.5
+#: What a good text holds at least and a poor one at most while the field is fitted, and the strongest
+#: pull on a line of average size that may bring it about.
+GOOD_SHARE, POOR_SHARE, MOST_PULL = 0.75, 0.25, 20.0
 #: The field is fitted on at most this many labelled texts, of each a run of at most this many lines.
 TRAINING_TEXTS, TRAINING_LINES = 2000, 64
 FEATURES = (
     "always", "some symbols", "symbols", "many symbols", "capitals", "all capitals", "exclaims", "bars",
     "sentence end", "short", "long", "digits", "seen before", "few different words", "notice", "odd words", "first",
 )
+#: Weights to begin with: what speaks for content and for boilerplate whatever a text's label.
+STARTS = {
+    "always": 1.0, "sentence end": 0.5, "some symbols": -0.5, "symbols": -0.5, "many symbols": -1.0, "all capitals": -1.0,
+    "exclaims": -1.0, "bars": -1.0, "digits": -1.0, "seen before": -1.0, "few different words": -0.5, "notice": -3.0,
+}
 _NOTICE = re.compile(r"licen[sc]ed?|copyright|cookie|subscribe|all rights|privacy policy|terms of|click here", re.I)
 
 
@@ -81,54 +89,97 @@ class Field:
         return labels[::-1] if features else []
 
 
-def fit_field(texts: list[list[list[int]]], labels: list[int], rounds: int = 150, rate: float = 0.1,
-              penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient steps, every line bearing its text's label."""
+def marginals(gain: np.ndarray, step: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of content per line, and of each pair of labels of neighbours summed over a text.
+
+    ``gain`` (texts x lines) weighs content over boilerplate; lines past a text's end have mask 0.
+    """
+    texts, longest = gain.shape
+    zero = np.zeros(texts)
+    forward, backward = np.zeros((longest, 2, texts)), np.zeros((longest, 2, texts))
+    forward[0, 1] = gain[:, 0]
+    for j in range(1, longest):
+        a, b = forward[j - 1]
+        on = mask[:, j] > 0
+        forward[j, 0] = np.where(on, np.logaddexp(a + step[0, 0], b + step[1, 0]), a)
+        forward[j, 1] = np.where(on, np.logaddexp(a + step[0, 1], b + step[1, 1]) + gain[:, j], b)
+    for j in range(longest - 2, -1, -1):
+        a, b = backward[j + 1, 0], backward[j + 1, 1] + gain[:, j + 1]
+        on = mask[:, j + 1] > 0
+        for i in (0, 1):
+            backward[j, i] = np.where(on, np.logaddexp(step[i, 0] + a, step[i, 1] + b), backward[j + 1, i])
+    norm = np.logaddexp(*forward[-1])
+    node = np.exp(forward[:, 1] + backward[:, 1] - norm).T * mask
+    pairs = np.zeros((texts, 2, 2))
+    for j in range(1, longest):
+        for i in (0, 1):
+            for k, own in ((0, zero), (1, gain[:, j])):
+                pairs[:, i, k] += np.exp(forward[j - 1, i] + step[i, k] + own + backward[j, k] - norm) * mask[:, j]
+    return node, pairs
+
+
+def held_to_shares(gain: np.ndarray, step: np.ndarray, mask: np.ndarray, sizes: np.ndarray,
+                   good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals nearest to the field's under which a good text expects at least `GOOD_SHARE` of its
+    characters in content lines and a poor one at most `POOR_SHARE`.
+
+    A text that meets its bound is left as it is; for others the weight on content, in proportion
+    to a line's size, that just meets it is found by halving.
+    """
+    pull = sizes * mask.sum(axis=1, keepdims=True) / sizes.sum(axis=1, keepdims=True)
+    share = sizes / sizes.sum(axis=1, keepdims=True)
+    sign, bound = np.where(good, 1.0, -1.0), np.where(good, GOOD_SHARE, POOR_SHARE)
+    node, pairs = marginals(gain, step, mask)
+    low, high = np.zeros(len(gain)), np.where(sign * ((node * share).sum(axis=1) - bound) >= 0, 0.0, MOST_PULL)
+    for _ in range(10):
+        middle = (low + high) / 2
+        node, pairs = marginals(gain + (sign * middle)[:, None] * pull, step, mask)
+        met = sign * ((node * share).sum(axis=1) - bound) >= 0
+        low, high = np.where(met, low, middle), np.where(met, middle, high)
+    return marginals(gain + (sign * high)[:, None] * pull, step, mask)
+
+
+def fit_field(texts: list[list[list[int]]], sizes: list[list[int]], labels: list[int], rounds: int = 6,
+              steps: int = 25, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+    """Weights of a field whose line labels are hidden; a text's label bounds its content share.
+
+    Starting from `STARTS`, each round takes the likely labels of all lines under these bounds
+    and moves the weights towards them by gradient steps. A poor text may hold content lines and a
+    good one boilerplate. ``sizes`` are the characters of each line. Without texts, the start.
+    """
     width = len(FEATURES)
+    start = np.concatenate([[STARTS.get(name, 0.0) for name in FEATURES], np.zeros(4)])
+    both = start.copy()
     if not texts:
-        return Field(np.zeros(width) + np.eye(width)[0], np.zeros((2, 2)))
+        return Field(both[:width], both[width:].reshape(2, 2))
     longest = max(map(len, texts))
     x = np.zeros((len(texts), longest, width))
-    mask = np.zeros((len(texts), longest))
+    mask, chars = np.zeros((len(texts), longest)), np.zeros((len(texts), longest))
     for i, lines in enumerate(texts):
         mask[i, :len(lines)] = 1
+        chars[i, :len(lines)] = sizes[i]
         for j, own in enumerate(lines):
             x[i, j, own] = 1
-    y = np.array(labels, dtype=float)[:, None] * np.ones(longest)
-    weights, step = np.zeros(width), np.zeros((2, 2))
-    both = np.concatenate([weights, step.ravel()])
-    first, second = np.zeros_like(both), np.zeros_like(both)
-    total = mask.sum()
-    kept = np.stack([(1 - y), y], axis=2)
-    wanted = np.concatenate([
-        np.einsum("ij,ijf->f", mask * y, x),
-        np.einsum("ija,ijb,ij->ab", kept[:, :-1], kept[:, 1:], mask[:, 1:]).ravel(),
-    ])
-    for t in range(1, rounds + 1):
-        weights, step = both[:width], both[width:].reshape(2, 2)
-        gain = np.stack([np.zeros(x.shape[:2]), x @ weights], axis=2) * mask[:, :, None]
-        forward = np.zeros((longest, len(texts), 2))
-        backward = np.zeros((longest, len(texts), 2))
-        forward[0] = gain[:, 0]
-        for j in range(1, longest):
-            moved = np.logaddexp.reduce(forward[j - 1][:, :, None] + step, axis=1) + gain[:, j]
-            forward[j] = np.where(mask[:, j:j + 1] > 0, moved, forward[j - 1])
-        for j in range(longest - 2, -1, -1):
-            moved = np.logaddexp.reduce(step + (gain[:, j + 1] + backward[j + 1])[:, None, :], axis=2)
-            backward[j] = np.where(mask[:, j + 1:j + 2] > 0, moved, backward[j + 1])
-        norm = np.logaddexp.reduce(forward[-1], axis=1)
-        node = np.exp(forward + backward - norm[None, :, None])[:, :, 1].T * mask
-        expected = np.einsum("ij,ijf->f", node, x)
-        pairs = np.zeros((2, 2))
-        for j in range(1, longest):
-            pair = np.exp(forward[j - 1][:, :, None] + step + (gain[:, j] + backward[j])[:, None, :] - norm[:, None, None])
-            pairs += (pair * mask[:, j, None, None]).sum(axis=0)
-        slope = (wanted - np.concatenate([expected, pairs.ravel()])) / total - penalty * both
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        both = both + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    good = np.array(labels) > 0
+    for _ in range(rounds):
+        held = held_to_shares(x @ both[:width], both[width:].reshape(2, 2), mask, chars, good)
+        first, second = np.zeros_like(both), np.zeros_like(both)
+        for t in range(1, steps + 1):
+            slope = slope_of(both, x, mask, held) - penalty * (both - start)
+            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+            both = both + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return Field(both[:width], both[width:].reshape(2, 2))
 
 
+def slope_of(both: np.ndarray, x: np.ndarray, mask: np.ndarray, held: tuple) -> np.ndarray:
+    """Slope, per line, of the expected log-likelihood of labels with the marginals ``held``."""
+    width = x.shape[2]
+    node, pairs = marginals(x @ both[:width], both[width:].reshape(2, 2), mask)
+    return np.concatenate([
+        np.einsum("ij,ijf->f", held[0] - node, x), (held[1] - pairs).sum(axis=0).ravel(),
+    ]) / mask.sum()
+
+
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     """Words in windows that occur twice or more; windows are named exactly, by doubling."""
     if len(words) <= window:
@@ -192,28 +243,30 @@ def _measuring(field: Field) -> Callable:
 
 
 def _training_lines(texts: pa.Array) -> pa.Array:
-    """Features of a run of lines, at a place that depends on the text."""
+    """Features and sizes of a run of lines, at a place that depends on the text."""
     out = []
     for text in texts:
         lines = lines_of(text.as_py() or "")
         spare = max(0, len(lines) - TRAINING_LINES)
         start = sum(map(len, lines)) % (spare + 1)
-        out.append(line_features(lines)[start:start + TRAINING_LINES])
-    return pa.array(out, pa.list_(pa.list_(pa.int32())))
+        run = slice(start, start + TRAINING_LINES)
+        out.append({"lines": line_features(lines)[run], "sizes": list(map(len, lines[run]))})
+    return pa.array(out, pa.struct([("lines", pa.list_(pa.list_(pa.int32()))), ("sizes", pa.list_(pa.int64()))]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a bounded sample of labelled rows, the ones whose ids hash lowest.
 
-    Without labels every line is content. A null label, id or text is left out.
+    Without labels the weights stay those of the start. A null label, id or text is left out.
     """
     sample = labels.where("quality IN (0, 1)").select("doc_id", "quality").dropna()
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAINING_TEXTS)
-    lines = F.arrow_udf(_training_lines, "array<array<int>>")
+    lines = F.arrow_udf(_training_lines, "struct<lines: array<array<int>>, sizes: array<bigint>>")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").select(
-        "quality", lines(F.col("text")).alias("lines")
-    ).where("size(lines) > 0").collect()
-    return fit_field([r["lines"] for r in rows], [r["quality"] for r in rows])
+        "quality", lines(F.col("text")).alias("run")
+    ).select("quality", "run.*").where("size(lines) > 0").collect()
+    rows = sorted(rows, key=lambda r: (r["quality"], r["lines"], r["sizes"]))  # sums in one order
+    return fit_field([r["lines"] for r in rows], [r["sizes"] for r in rows], [r["quality"] for r in rows])
 
 
 def judge(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:
