@@ -264,8 +264,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     lines = F.arrow_udf(_training_lines, "struct<lines: array<array<int>>, sizes: array<bigint>>")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").select(
         "quality", lines(F.col("text")).alias("run")
-    ).select("quality", "run.*").where("size(lines) > 0").collect()
-    rows = sorted(rows, key=lambda r: (r["quality"], r["lines"], r["sizes"]))  # sums in one order
+    ).select("quality", "run.*").collect()
+    # Texts without lines go here: a filter would run the features of all documents before the join.
+    rows = sorted((r for r in rows if r["lines"]), key=lambda r: (r["quality"], r["lines"], r["sizes"]))
     return fit_field([r["lines"] for r in rows], [r["sizes"] for r in rows], [r["quality"] for r in rows])
 
 
