@@ -118,7 +118,7 @@ def run_batch(
     runs are left alone; one completed with errors or failed is resumed. A run of an
     unknown or disabled site is an error before anything is written. ``listing``: saved
     listing pages; ``pages``: saved product pages of the runs; or ``observations`` made
-    elsewhere (with ``url``). ``start``: saved start pages (``site_id, url, html``); then which
+    elsewhere (with ``url``, and the error columns of `sources.feeds` if some failed). ``start``: saved start pages (``site_id, url, html``); then which
     listing pages are read, and in which order, follows from their links. ``max_products``, of the batch or of the run's options,
     limits discovery, and such a run ages nothing out. A run that meets a listing page
     without cards, or a blocked one, ends as ``failed``, its site's state untouched.
@@ -180,7 +180,8 @@ def run_batch(
         extracted = adapters.extract(adapters.with_adapter(pages, mine).drop("page_limit"), names)
     else:
         none = F.lit(None).cast("string")
-        extracted = observations.withColumns({"error_type": none, "error_message": none})
+        lacking = [c for c in records.ERRORS if c not in observations.columns]
+        extracted = observations.withColumns(dict.fromkeys(lacking, none))
     wanted = extracted.drop("item_seq").join(claimed, ["run_id", "url"])
     extracted = tables.write_plain("_extracted", wanted, version)
 

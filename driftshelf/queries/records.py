@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, jsonld, text, urls
 from ..plans import views
+from ..sources import feeds
 from ..sources.style_a import image_entries
 from ..sources.tables import table
 
@@ -53,6 +54,35 @@ def price_text(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _event_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines, some broken: a value that does not fit, a cut line, a list, a blank."""
+    e = table(spark, d, "events")
+    kind, text_of = F.col("event_id") % 9, _str("event_id")
+    count = F.when(kind == 1, F.lit('"many"')).when(
+        kind == 2, _str(F.lit(3000000000) + F.col("event_id"))).otherwise(_str("user_id"))
+    address = F.when(kind == 5, "address").otherwise("canonical_url")
+    more = F.when(kind == 6, F.lit(',"images":"x"')).otherwise("")
+    whole = F.concat(
+        F.lit('{"site_id":'), _str(F.col("user_id") % 3 + 1), F.lit(',"run_id":'), text_of, F.lit(',"item_seq":'),
+        F.when(kind == 6, F.lit("1.5")).otherwise(text_of), F.lit(',"'), address, F.lit(f'":"{views.SHOP}/u/'),
+        _str("user_id"), F.lit('","title":"'), F.col("event_type"), F.lit('","review_count":'), count, more,
+        F.lit(',"raw_data":'), F.col("props"), F.lit("}"),
+    )
+    line = (F.when(kind == 3, F.substr(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int")))
+            .when(kind == 4, F.concat(F.lit("["), whole, F.lit("]"))).when(kind == 7, F.lit(" \t")).otherwise(whole))
+    return e.select("event_id", line.alias("line"))
+
+
+def feed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with what could be read of it, and why it is no record."""
+    rows = feeds.parsed_lines(_event_lines(spark, d)).withColumn("k", F.get_json_object("raw_data", "$.k"))
+    numbers = ("site_id", "run_id", "item_seq", "review_count", "k")
+    return rows.select(
+        "event_id", *[F.coalesce(F.col(n).cast("bigint"), F.lit(-1)).alias(n) for n in numbers],
+        "url", "title", "error_type", "error_message",
+    )
+
+
 def brand_clean(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size") % 4
     byline = (
@@ -281,7 +311,7 @@ def stable_hash_children(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_urls, link_resolution, price_text, brand_clean, box_contents, category_paths,
+        canonical_urls, link_resolution, price_text, feed_records, brand_clean, box_contents, category_paths,
         rating_counts, review_dates, image_urls, product_ids, spec_lookup, json_paths,
         raw_data_paths, stable_hash_children,
     )
@@ -304,6 +334,46 @@ WITH links AS (
 SELECT page_id, href, origin || href AS link,
        list_extract(string_split(rtrim(regexp_replace(href, '[?#].*$', ''), '/'), '/'), -1) AS external_id
 FROM links""",
+    "feed_records": r"""
+WITH w AS (
+  SELECT event_id, event_id % 9 AS kind,
+    '{"site_id":' || (user_id % 3 + 1) || ',"run_id":' || event_id || ',"item_seq":'
+    || CASE WHEN event_id % 9 = 6 THEN '1.5' ELSE event_id::VARCHAR END || ',"'
+    || CASE WHEN event_id % 9 = 5 THEN 'address' ELSE 'canonical_url' END || '":"https://shop.example/u/' || user_id
+    || '","title":"' || event_type || '","review_count":'
+    || CASE event_id % 9 WHEN 1 THEN '"many"' WHEN 2 THEN (3000000000 + event_id)::VARCHAR ELSE user_id::VARCHAR END
+    || CASE WHEN event_id % 9 = 6 THEN ',"images":"x"' ELSE '' END || ',"raw_data":' || props || '}' AS whole
+  FROM events),
+l AS (
+  SELECT event_id, CASE kind WHEN 3 THEN left(whole, length(whole) // 2) WHEN 4 THEN '[' || whole || ']' ELSE whole END AS line
+  FROM w WHERE kind <> 7),
+o AS (
+  SELECT event_id, json_valid(line) AND coalesce(json_type(CASE WHEN json_valid(line) THEN line END), '') = 'OBJECT' AS sound, line
+  FROM l),
+j AS (SELECT event_id, sound, CASE WHEN sound THEN line ELSE '{}' END AS doc FROM o),
+v AS (
+  SELECT event_id, sound, json_extract_string(doc, '$.canonical_url') AS url, json_extract_string(doc, '$.title') AS title,
+    json_extract_string(doc, '$.site_id')::BIGINT AS site_id, json_extract_string(doc, '$.run_id')::BIGINT AS run_id,
+    CASE WHEN json_type(doc, '$.item_seq') = 'UBIGINT' THEN json_extract_string(doc, '$.item_seq')::BIGINT END AS item_seq,
+    CASE WHEN json_type(doc, '$.review_count') = 'UBIGINT' THEN TRY_CAST(json_extract_string(doc, '$.review_count') AS INTEGER)::BIGINT END
+      AS review_count,
+    json_extract_string(doc, '$.raw_data.k')::BIGINT AS k, doc
+  FROM j),
+m AS (
+  SELECT *, concat_ws(', ',
+      CASE WHEN json_exists(doc, '$.item_seq') AND item_seq IS NULL THEN 'item_seq' END,
+      CASE WHEN json_exists(doc, '$.review_count') AND review_count IS NULL THEN 'review_count' END,
+      CASE WHEN json_exists(doc, '$.images') AND json_type(doc, '$.images') <> 'ARRAY' THEN 'images' END
+    ) AS misfits
+  FROM v),
+r AS (
+  SELECT *, CASE WHEN NOT sound THEN 'not a JSON object' WHEN misfits <> '' THEN 'does not fit: ' || misfits
+    WHEN url IS NULL THEN 'missing: canonical_url' END AS error_message
+  FROM m)
+SELECT event_id, coalesce(site_id, -1) AS site_id, coalesce(run_id, -1) AS run_id, coalesce(item_seq, -1) AS item_seq, url, title,
+  coalesce(review_count, -1) AS review_count, coalesce(k, -1) AS k,
+  CASE WHEN error_message IS NOT NULL THEN 'invalid_record' END AS error_type, error_message
+FROM r""",
     "price_text": r"""
 WITH t AS (
   SELECT 'part' AS kind, p_partkey AS k, '$' || format('{:,.2f}', p_retailprice) || ' each' AS label FROM part
