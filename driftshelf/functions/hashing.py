@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +33,15 @@ def specification_struct(spec: Column) -> Column:
     )
 
 
-def content_hash(columns: list[str]) -> Column:
+def fields_version(tracked: Iterable[str]) -> str:
+    """Name of a list of tracked fields, whatever their order."""
+    return hashlib.sha256(",".join(sorted(tracked)).encode()).hexdigest()[:12]
+
+
+def content_hash(columns: list[str], tracked: Iterable[str] = fixed.TRACKED_FIELDS) -> Column:
     """Hash over the tracked fields; a tracked field absent from ``columns`` hashes as null."""
     fields = {}
-    for name in fixed.TRACKED_FIELDS:
+    for name in tracked:
         if name not in columns:
             fields[name] = F.lit(None).cast("string")
         elif name == "images":

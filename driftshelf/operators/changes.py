@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,40 @@ def last_in_run(observations: DataFrame) -> DataFrame:
     return last_wins(observations, [*KEY, "run_id"], ["item_seq"])
 
 
-def hashed(observations: DataFrame) -> DataFrame:
-    """Add the content hash; it is taken before defaults are filled in."""
-    return observations.withColumn("content_hash", hashing.content_hash(observations.columns))
+def hashed(observations: DataFrame, tracked: Iterable[str] = fixed.TRACKED_FIELDS,
+           earlier: Sequence[Iterable[str]] = ()) -> DataFrame:
+    """Add the content hash and the version of its fields; it is taken before defaults are filled in.
+
+    ``earlier``: lists of fields that were tracked before; ``earlier_hashes`` then holds the hash over each.
+    """
+    columns = observations.columns
+    added = {
+        "content_hash": hashing.content_hash(columns, tracked),
+        "hash_version": F.lit(hashing.fields_version(tracked)),
+    }
+    past = {hashing.fields_version(fields): fields for fields in earlier}
+    if past:
+        pairs = [c for v, fields in past.items() for c in (F.lit(v), hashing.content_hash(columns, fields))]
+        added["earlier_hashes"] = F.create_map(*pairs)
+    return observations.withColumns(added)
+
+
+def in_present_fields(old_hash: Column, old_version: Column, new: dict[str, Column]) -> Column:
+    """A stored hash as the present one, if the record had it over the fields of that time.
+
+    ``new`` holds ``content_hash, hash_version`` and maybe ``earlier_hashes`` of the record; a null
+    version is that of `fixed.TRACKED_FIELDS`. A hash over fields not among the earlier
+    lists stays as it is, so the record counts as updated.
+    """
+    if "earlier_hashes" not in new:
+        return old_hash
+    version = F.coalesce(old_version, F.lit(hashing.fields_version(fixed.TRACKED_FIELDS)))
+    same = F.coalesce(F.try_element_at(new["earlier_hashes"], version) == old_hash, F.lit(False))
+    return F.when((version != new["hash_version"]) & same, new["content_hash"]).otherwise(old_hash)
+
+
+def _hashes(columns: list[str], at: str = "") -> dict[str, Column]:
+    return {c: F.col(at + c) for c in ("content_hash", "hash_version", "earlier_hashes") if c in columns}
 
 
 def with_defaults(observations: DataFrame) -> DataFrame:
@@ -34,7 +67,7 @@ def with_defaults(observations: DataFrame) -> DataFrame:
         "review_count": F.lit(0),
         "raw_data": F.lit("{}"),
     }
-    out: list[Column | str] = [c for c in ("run_id", "run_ts") if c in have]
+    out: list[Column | str] = [c for c in ("run_id", "run_ts", "earlier_hashes") if c in have]
     for name, kind in PRODUCTS.items():
         if name in KEY or name == "content_hash":
             out.append(name)
@@ -58,12 +91,14 @@ def with_defaults(observations: DataFrame) -> DataFrame:
     return observations.select(*out)
 
 
-def incoming(observations: DataFrame) -> DataFrame:
+def incoming(observations: DataFrame, tracked: Iterable[str] = fixed.TRACKED_FIELDS,
+             earlier: Sequence[Iterable[str]] = ()) -> DataFrame:
     """Observations of a batch, one row per product, hashed and in store form."""
-    return with_defaults(hashed(last_in_run(observations)))
+    return with_defaults(hashed(last_in_run(observations), tracked, earlier))
 
 
-def in_order(observations: DataFrame) -> DataFrame:
+def in_order(observations: DataFrame, tracked: Iterable[str] = fixed.TRACKED_FIELDS,
+             earlier: Sequence[Iterable[str]] = ()) -> DataFrame:
     """Items of a batch, hashed, several of one product kept apart.
 
     ``previous`` is what the item before left of the product in this run, null for the
@@ -74,7 +109,7 @@ def in_order(observations: DataFrame) -> DataFrame:
         "content_hash", F.col("current_price").try_cast(PRODUCTS["current_price"]).alias("current_price"),
         "availability",
     )
-    return hashed(observations).withColumns(
+    return hashed(observations, tracked, earlier).withColumns(
         {"previous": F.lag(left).over(w), "last": F.lead("run_id").over(w).isNull()}
     )
 
@@ -126,6 +161,8 @@ def merge(state: DataFrame, observed: DataFrame, runs: DataFrame) -> DataFrame:
     gone = ages & (misses >= F.col("_threshold"))
     now = F.coalesce("n.run_ts", "_run_ts")
 
+    old_hash = in_present_fields(
+        F.col("o.content_hash"), F.col("o.hash_version"), _hashes(observed.columns, "n."))
     values: dict[str, Column] = {}
     for name in PRODUCTS:
         if name in KEY:
@@ -156,11 +193,12 @@ def merge(state: DataFrame, observed: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.select(
         *[values[name].cast(kind).alias(name) for name, kind in PRODUCTS.items()],
         F.col("n.run_id").alias("run_id"),
-        F.when(seen, change_status(F.col("o.content_hash"), F.col("n.content_hash"))).alias(
+        F.when(seen, change_status(old_hash, F.col("n.content_hash"))).alias(
             "change_status"
         ),
         (seen & known).alias("was_stored"),
         F.col("o.content_hash").alias("old_hash"),
+        F.col("o.hash_version").alias("old_version"),
         F.col("o.current_price").alias("old_price"),
         F.col("o.availability").alias("old_availability"),
         missed.alias("missed"),
@@ -184,16 +222,18 @@ def items_of(steps: DataFrame, merged: DataFrame) -> DataFrame:
     against the item before. The logs read it as they read a merged state."""
     stored = merged.where(F.col("change_status").isNotNull()).select(
         *KEY, "run_id", "last_seen_at",
-        F.struct("was_stored", "old_hash", "old_price", "old_availability").alias("stored"),
+        F.struct("was_stored", "old_hash", "old_version", "old_price", "old_availability").alias("stored"),
     )
     later = F.col("previous").isNotNull()
 
-    def before(name: str, old: str) -> Column:
-        return F.when(later, F.col(f"previous.{name}")).otherwise(F.col(f"stored.{old}"))
+    def before(name: str, old: Column | str) -> Column:
+        old = F.col(f"stored.{old}") if isinstance(old, str) else old
+        return F.when(later, F.col(f"previous.{name}")).otherwise(old)
 
+    old_hash = in_present_fields(F.col("stored.old_hash"), F.col("stored.old_version"), _hashes(steps.columns))
     return steps.join(stored, [*KEY, "run_id"]).select(
         *KEY, "run_id", "url", "item_seq", "content_hash",
-        change_status(before("content_hash", "old_hash"), F.col("content_hash")).alias("change_status"),
+        change_status(before("content_hash", old_hash), F.col("content_hash")).alias("change_status"),
         (later | F.col("stored.was_stored")).alias("was_stored"),
         before("current_price", "old_price").alias("old_price"),
         F.col("current_price").try_cast(PRODUCTS["current_price"]).alias("current_price"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,8 @@ def run_batch(
     observations: DataFrame | None = None,
     max_products: int | None = None,
     start: DataFrame | None = None,
+    tracked: Sequence[str] = fixed.TRACKED_FIELDS,
+    earlier: Sequence[Sequence[str]] = (),
 ) -> DataFrame:
     """Fold one run per site into the published tables; returns the run rows.
 
@@ -120,8 +124,10 @@ def run_batch(
     listing pages; ``pages``: saved product pages of the runs; or ``observations`` made
     elsewhere (with ``url``, and the error columns of `sources.feeds` if some failed). ``start``: saved start pages (``site_id, url, html``); then which
     listing pages are read, and in which order, follows from their links. ``max_products``, of the batch or of the run's options,
-    limits discovery, and such a run ages nothing out. A run that meets a listing page
-    without cards, or a blocked one, ends as ``failed``, its site's state untouched.
+    limits discovery, and such a run
+    ages nothing out. ``tracked``: the fields of the content hash; where they were others, ``earlier`` lists
+    those, and a product is compared over the fields its stored hash was taken over.
+    A run that meets a listing page without cards, or a blocked one, ends as ``failed``, its site's state untouched.
     Stages that feed several outputs are written under the version and read back, so a
     lost executor re-reads files instead of recomputing, and a version that was already
     published is left alone. Only buckets that hold a product of the batch are read and
@@ -186,7 +192,7 @@ def run_batch(
     extracted = tables.write_plain("_extracted", wanted, version)
 
     accepted, outcomes = judge(tables, version, site_ids, claimed, extracted)
-    steps = tables.write_plain("_accepted", changes.in_order(accepted), version)
+    steps = tables.write_plain("_accepted", changes.in_order(accepted, tracked, earlier), version)
     good = steps.where("last").drop("last", "previous")
 
     folded = tables.publications().where("site_id is not null").select("run_id").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, replay
 from ..operators.keyed import lookup
 from ..plans import views
-from ..schemas import KEY
+from ..schemas import KEY, PRODUCTS, ddl
 
 
 def _seen(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,26 @@ def change_status(spark: SparkSession, d: str) -> DataFrame:
     return _seen(spark, d).select(*KEY, "run_no", "change_status", "content_hash")
 
 
+def hash_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Products seen again after the tracked fields changed: events of even ids under the old
+    list, those of odd ids under the new one."""
+    old, new = ("title", "availability"), ("title", "availability", "current_price")
+    observed = views.event_observations(spark, d)
+    half = F.col("item_seq.event_id") % 2
+    state = spark.createDataFrame([], ddl(PRODUCTS))
+    for no, fields, earlier in ((0, old, ()), (1, new, (old,))):
+        ts = F.lit(f"2024-01-0{no + 1}").cast("timestamp")
+        rows = observed.where(half == no).withColumns({"run_id": F.lit(no).cast("bigint"), "run_ts": ts})
+        runs = spark.range(1, 4).select(
+            F.col("id").alias("site_id"), ts.alias("run_ts"), F.lit(False).alias("limited"), F.lit(2).alias("missing_threshold"))
+        merged = changes.merge(state, changes.incoming(rows, fields, earlier), runs)
+        state = changes.state_of(merged)
+    return merged.where("change_status IS NOT NULL").select(
+        *KEY, "change_status", "content_hash",
+        (F.col("old_version") != F.col("hash_version")).alias("fields_changed"), F.coalesce("old_hash", F.lit("")).alias("old_hash"),
+    ).withColumn("fields_changed", F.coalesce("fields_changed", F.lit(False)))
+
+
 def price_history(spark: SparkSession, d: str) -> DataFrame:
     changed = changes.price_changes_of(_seen(spark, d))
     return changed.select(
@@ -130,6 +150,7 @@ def _compare(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
 
 QUERIES = {
     "change_status": change_status,
+    "hash_versions": hash_versions,
     "price_history": price_history,
     "availability_history": availability_history,
     "missing_aging": missing_aging,
@@ -220,6 +241,22 @@ moves AS (
 """
 
 SQL = {
+    "hash_versions": r"""
+WITH e AS (
+  SELECT user_id % 3 + 1 AS site_id, 'https://shop.example/u/' || user_id AS canonical_url, 'User ' || user_id AS title,
+    CASE WHEN event_type = 'error' THEN 'out_of_stock' ELSE 'in_stock' END AS avail,
+    CAST(CAST(floor(value / 100) * 100 AS DECIMAL(14,2)) AS VARCHAR) AS price, event_id % 2 AS half, ts, event_id
+  FROM events),
+l AS (
+  SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY site_id, canonical_url, half ORDER BY ts DESC, event_id DESC) = 1),
+a AS (SELECT *, sha256('{"availability":"' || avail || '","title":"' || title || '"}') AS hash FROM l WHERE half = 0),
+b AS (
+  SELECT *, sha256('{"availability":"' || avail || '","current_price":"' || price || '","title":"' || title || '"}') AS hash
+  FROM l WHERE half = 1)
+SELECT b.site_id, b.canonical_url,
+  CASE WHEN a.avail IS NULL THEN 'new' WHEN a.avail = b.avail THEN 'unchanged' ELSE 'updated' END AS change_status,
+  b.hash AS content_hash, a.hash IS NOT NULL AS fields_changed, coalesce(a.hash, '') AS old_hash
+FROM b LEFT JOIN a USING (site_id, canonical_url)""",
     "change_status": f"""
 WITH {_STEPS}
 SELECT site_id, canonical_url, run_no,

@@ -51,7 +51,7 @@ PRODUCTS = {
     "current_price": "decimal(14,2)", "original_price": "decimal(14,2)", "currency": "string",
     "availability": "string", "category": "string", "subcategory": "string",
     "highlights": "array<string>", "whats_in_the_box": "array<string>",
-    "rating": "decimal(4,2)", "review_count": "int", "content_hash": "string",
+    "rating": "decimal(4,2)", "review_count": "int", "content_hash": "string", "hash_version": "string",
     "raw_data": "string", "first_seen_at": "timestamp", "last_seen_at": "timestamp",
     "last_scraped_at": "timestamp", "unavailable_since": "timestamp",
     "consecutive_missing_runs": "int", "created_at": "timestamp", "updated_at": "timestamp",
@@ -112,6 +112,6 @@ RUN_ROWS = {
 }
 MERGED_EXTRA = {
     "run_id": "bigint", "change_status": "string", "was_stored": "boolean",
-    "old_hash": "string", "old_price": "decimal(14,2)", "old_availability": "string",
+    "old_hash": "string", "old_version": "string", "old_price": "decimal(14,2)", "old_availability": "string",
     "missed": "boolean",
 }

@@ -130,3 +130,39 @@ def test_defaults_replace_empty_values(spark):
     assert (row.title, row.currency, row.review_count, row.highlights, row.raw_data) == (
         "Untitled product", "USD", 0, [], "{}")
     assert str(row.current_price) == "1.01"
+
+
+OLD, NEW = ("title", "availability"), ("title", "availability", "current_price")
+
+
+def test_changed_fields_update_nothing_by_themselves(spark):
+    """Over the old fields a record is the stored one or not; products not seen keep their version."""
+    runs = spark.createDataFrame([(1, False, 2)], "site_id long, limited boolean, missing_threshold int").withColumn(
+        "run_ts", F.lit("2024-01-01").cast("timestamp"))
+
+    def step(state, rows, *lists):
+        seen = spark.createDataFrame(
+            [(1, 9, i, u, t, p, "in_stock") for i, (u, t, p) in enumerate(rows)],
+            "site_id long, run_id long, item_seq long, canonical_url string, title string, current_price string, availability string",
+        ).withColumn("run_ts", F.lit("2024-01-01").cast("timestamp"))
+        merged = changes.merge(state, changes.incoming(seen, *lists), runs).cache()
+        status = {r.canonical_url: r.change_status for r in merged.collect()}
+        return changes.state_of(merged), status
+
+    state, status = step(spark.createDataFrame([], ddl(PRODUCTS)), [("a", "A", "1"), ("b", "B", "1"), ("c", "C", "1")], OLD)
+    assert set(status.values()) == {"new"}
+    state, status = step(state, [("a", "A", "2"), ("b", "X", "1"), ("d", "D", "1")], NEW, (OLD,))
+    assert status == {"a": "unchanged", "b": "updated", "c": None, "d": "new"}
+    state, status = step(state, [("a", "A", "3"), ("b", "X", "1"), ("c", "C", "7")], NEW, (OLD,))
+    assert status == {"a": "updated", "b": "unchanged", "c": "unchanged", "d": None}
+    state, status = step(state, [("a", "A", "3")], OLD)  # a list that is not among the earlier ones
+    assert status["a"] == "updated"
+
+
+def test_hashes_without_a_version_are_of_the_fixed_fields(spark):
+    seen = spark.createDataFrame([("A", "1")], "title string, current_price string")
+    stored = changes.hashed(seen).first().content_hash
+    row = changes.hashed(seen, NEW, (OLD, changes.fixed.TRACKED_FIELDS))
+    as_now = changes.in_present_fields(F.lit(stored), F.lit(None).cast("string"), changes._hashes(row.columns))
+    assert row.select(as_now == F.col("content_hash")).first()[0]
+    assert changes.hashing.fields_version(OLD) == changes.hashing.fields_version(OLD[::-1])

@@ -98,3 +98,21 @@ def test_a_batch_that_died_is_written_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(feeds, "parsed_lines", whole)
     (tmp_path / "inbox" / "b.json").write_text(line(item_seq=3))
     assert sorted(r.item_seq for r in feeds.take_files(spark, *paths).collect()) == [1, 2, 3]
+
+
+def test_runs_with_changed_fields(spark, tmp_path):
+    """Several items of a product in the run that changes the list; the next run has the new list only."""
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    old, new = ("title",), ("title", "current_price")
+
+    def run(no, *rows, **lists):
+        lines = spark.createDataFrame([(line(run_id=no, **r),) for r in rows], "line string")
+        observed = feeds.parsed_lines(lines).drop("line").withColumn("url", F.concat("url", F.lit("?"), "item_seq"))
+        run_batch(tables, f"v{no}", sites(spark), runs_of(spark, [(no, A, "pending", True)]), observations=observed, **lists)
+        return [r.status for r in tables.of_runs("run_items", [no]).orderBy("url").collect()]
+
+    a, b = ({"canonical_url": f"{BASE}/p/{n}", "title": f"t{n}"} for n in "ab")
+    assert run(1, {**a, "item_seq": 1}, {**b, "item_seq": 2}, tracked=old) == ["new", "new"]
+    assert run(2, {**a, "item_seq": 1, "current_price": "7.00"}, {**a, "item_seq": 2, "current_price": "8.00"},
+               {**b, "item_seq": 3, "title": "other"}, tracked=new, earlier=[old]) == ["unchanged", "updated", "updated"]
+    assert run(3, {**a, "item_seq": 1, "current_price": "8.00"}, tracked=new) == ["unchanged"]
