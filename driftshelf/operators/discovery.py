@@ -61,34 +61,29 @@ def _limited(rows: DataFrame, limit: int | DataFrame) -> DataFrame:
     return rows.join(given, "site_id")
 
 
+def _crossing(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The row of each group at which ``before`` and the sum of ``added`` so far reach ``limit``."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("reached", F.sum("added").over(w) + F.col("before"))
+    before = F.col("reached") - F.col("added")
+    return summed.where((F.col("reached") >= F.col("limit")) & (before < F.col("limit"))).withColumn("before", before)
+
+
 def cut_pages(firsts: DataFrame, limit: int | DataFrame) -> DataFrame:
     """Per site, the page at which ``limit`` distinct products are reached, if any.
 
-    Level by level: category totals give the category of the cut, then its blocks of pages
-    are summed, then the pages of one block. Each level orders what is inside the cut
-    found so far, so no task orders all pages of a site or of a category.
+    A running sum over blocks of pages, in order of category, gives the block of the cut; one over the
+    pages of that block gives the page. So a task orders the blocks of a site, or
+    `PAGE_BLOCK` pages, never all pages of a site or of a category.
     """
-    pages = firsts.groupBy("site_id", "category", "page_no").agg(
-        F.count("*").alias("added")
-    ).withColumn("block", F.floor(F.col("page_no") / PAGE_BLOCK))
-    inside = ["site_id"]
-    cut = None
-    for level in ("category", "block", "page_no"):
-        totals = pages.groupBy(*inside, level).agg(F.sum("added").alias("added"))
-        if cut is None:
-            totals = _limited(totals, limit).withColumn("before", F.lit(0))
-        else:
-            found = cut.select(*(F.col(c).alias(f"_{c}") for c in inside), "before", "limit")
-            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in inside])
-            totals = totals.join(found, same).drop(*(f"_{c}" for c in inside))
-        w = Window.partitionBy(*inside).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
-        inside.append(level)
-        cut = (
-            totals.withColumn("reached", F.sum("added").over(w) + F.col("before"))
-            .withColumn("before", F.col("reached") - F.col("added"))
-            .where((F.col("reached") >= F.col("limit")) & (F.col("before") < F.col("limit")))
-            .select(*inside, "before", "limit")
-        )
+    pages = firsts.groupBy("site_id", "category", "page_no").agg(F.count("*").alias("added"))
+    block = ["site_id", "category", "block"]
+    pages = _limited(pages.withColumn("block", F.floor(F.col("page_no") / PAGE_BLOCK)), limit)
+    totals = pages.groupBy(*block).agg(F.sum("added").alias("added"), F.first("limit").alias("limit"))
+    found = _crossing(totals.withColumn("before", F.lit(0)), ["site_id"], ["category", "block"])
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in block), "before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in block])
+    cut = _crossing(pages.join(found, same), block, ["page_no"])
     return cut.select(
         "site_id", F.lit(True).alias("cut"),
         F.col("category").alias("cut_category"), F.col("page_no").alias("cut_page"),
