@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is spread over as many tasks as a shuffle has partitions, up to this many.
+#: A salted key is spread over as many tasks as a shuffle has partitions, up to this many.
 MOST_SALTS = 64
 
 
@@ -96,13 +96,18 @@ def lookup(
     """Join facts to a narrow side with one row per key, whatever the key skew.
 
     No job runs while the plan is built: Spark broadcasts the side if its size, estimated or
-    seen at run time, allows. Otherwise the join is on key plus salt: facts take a salt from
-    their own ``spread`` columns, the side is copied once per salt, so a key with a third of
-    all facts uses ``salts`` tasks.
+    seen at run time, allows, and otherwise splits the partition of a key with a third of all
+    facts (adaptive skew join), so the side is never copied. With ``salts``, or in a session
+    without that, the join is on key plus salt: facts take a salt from their own ``spread``
+    columns, the side is copied once per salt. Copies are merged, not broadcast: Spark's
+    estimate knows nothing of the copying.
     """
+    conf = facts.sparkSession.conf
     if salts is None:
-        salts = min(MOST_SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if all(conf.get(f"spark.sql.adaptive.{name}") == "true" for name in ("enabled", "skewJoin.enabled")):
+            return facts.join(dim, on, how)
+        salts = min(MOST_SALTS, int(conf.get("spark.sql.shuffle.partitions")))
     spread = spread or [c for c in facts.columns if c not in on] or on
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")

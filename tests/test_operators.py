@@ -43,6 +43,18 @@ def test_lookup_gives_the_same_rows_with_any_number_of_salts(spark, how):
     assert rows(broadcast, *broadcast.columns) == rows(salted, *broadcast.columns)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_lookup_copies_the_side_only_if_salts_are_given(spark, how):
+    facts = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 > 0, F.col("id") % 50))
+    dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    broadcast = facts.join(F.broadcast(dim), ["k"], how)
+    plain, salted = (keyed.lookup(facts, dim, ["k"], how, spread=["id"], salts=s) for s in (None, 5))
+    seen = [df._jdf.queryExecution().executedPlan().toString() for df in (plain, salted)]
+    assert "Generate" not in seen[0]  # 64 copies of a million rows, broadcast, are too much for any driver
+    assert "Generate" in seen[1] and "Broadcast" not in seen[1]
+    assert rows(plain, *broadcast.columns) == rows(salted, *broadcast.columns) == rows(broadcast, *broadcast.columns)
+
+
 def test_upsert_inserts_updates_and_keeps(spark):
     old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, v string, n int")
     new = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
