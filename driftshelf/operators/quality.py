@@ -107,14 +107,16 @@ def free_released(
 def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str], edge: str) -> DataFrame:
     """Child keys without a parent and how many rows carry each.
 
-    Children are counted per key first, so the anti join sees each key once.
+    Children and parents are counted together per key, folded in the map tasks: one exchange
+    and one hash table a task, no join and no sort.
     """
-    keys = list(on)
-    counted = child.groupBy(*keys).agg(F.count("*").alias("child_rows"))
-    parents = parent.select(*[F.col(p).alias(c) for c, p in on.items()]).distinct()
-    lost = counted.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).join(
-        parents, keys, "left_anti"
+    keys, one, none = list(on), F.lit(1), F.lit(None).cast("int")
+    children = child.select(*keys, one.alias("_child"), none.alias("_parent"))
+    parents = parent.select(*[F.col(p).alias(c) for c, p in on.items()], none.alias("_child"), one.alias("_parent"))
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    counted = children.unionByName(parents).where(known).groupBy(*keys).agg(
+        F.count("_child").alias("child_rows"), F.count("_parent").alias("_parents")
     )
-    return lost.select(
+    return counted.where("child_rows > 0 AND _parents = 0").select(
         F.lit(edge).alias("edge"), F.concat_ws("|", *keys).alias("child_key"), "child_rows"
     )

@@ -1,12 +1,13 @@
 """Keyed operators, children, ledger, quality and discovery on small inputs."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftshelf.operators import children, discovery, keyed, ledger, quality, reports
-from driftshelf.schemas import FAILED_URLS, RUN_ITEMS, ddl
+from driftshelf.schemas import FAILED_URLS, IMAGES, RUN_ITEMS, ddl
 
 
 
@@ -175,6 +176,20 @@ def test_second_url_of_an_id_is_refused(spark, monkeypatch):
         assert out.count() == 7
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orphans_are_found_without_join_or_sort(spark):
+    child = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (None, "c"), (4, "d")], "k long, c string")
+    parent = spark.createDataFrame([(2, "b"), (2, "b"), (4, "x"), (None, "c"), (5, "e")], "pk long, pc string")
+    one = quality.orphans(child, parent, {"k": "pk"}, "e")
+    assert rows(one, "edge", "child_key", "child_rows") == [("e", "1", 2), ("e", "3", 1)]
+    two = quality.orphans(child, parent, {"k": "pk", "c": "pc"}, "e")
+    assert rows(two, "child_key", "child_rows") == [("1|a", 2), ("4|d", 1)]
+    assert "Join" not in planned(two) and "Sort" not in planned(two)
+
+
 def test_checks_name_what_is_broken(spark):
     df = spark.createDataFrame(
         [("weekly", None, "123.4"), ("full", "t", "99.99"), (None, "t", None)],
