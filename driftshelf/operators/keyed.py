@@ -41,6 +41,15 @@ def first_wins(
     return keep_one(df.withColumn("_apart", apart), [*keys, "_apart"], order).drop("_apart")
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by key in as many tasks as a shuffle has partitions, also if they compress well.
+
+    Spark joins small partitions by their compressed size: of long texts that repeat
+    themselves, or of addresses, gigabytes can then meet in one sort.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the target (null keys never match)."""
     return rows.join(target.select(*keys), keys, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text
 from ..schemas import FAILED_URLS, RUN_ITEMS
-from .keyed import insert_if_absent, lookup, upsert
+from .keyed import dealt, insert_if_absent, lookup, upsert
 
 ITEM_KEY = ["run_id", "url"]
 
@@ -66,12 +66,13 @@ def reset_interrupted(items: DataFrame, now: Column) -> DataFrame:
 def record_outcomes(items: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """Write outcomes (``run_id, url, status, error_type, error_message, result``) to items.
 
-    A success clears the error; a failure keeps the stored result.
+    A success clears the error; a failure keeps the stored result. Messages can be long, which
+    Spark's estimate does not know: outcomes are dealt out, not broadcast.
     """
     done = outcomes.select(
         *ITEM_KEY, F.struct("status", "error_type", "error_message", "result").alias("out")
     )
-    joined = items.join(done, ITEM_KEY, "left")
+    joined = items.join(dealt(done, ITEM_KEY).hint("merge"), ITEM_KEY, "left")
     hit = F.col("out").isNotNull()
     failed = F.col("out.status").isin(*fixed.ERROR_STATUSES)
     message = F.col("out.error_message")

@@ -190,6 +190,17 @@ def test_orphans_are_found_without_join_or_sort(spark):
     assert "Join" not in planned(two) and "Sort" not in planned(two)
 
 
+def test_outcomes_with_long_messages_are_dealt_out(spark):
+    listed = items(spark, [(1, "a", 1, "processing", 1), (1, "b", 2, "processing", 1), (2, None, 3, "new", 0)])
+    outcomes = spark.createDataFrame(
+        [(1, "b", "failed", "E", "m" * 100_000, None), (2, None, "failed", "E", "m", None), (3, "c", "new", None, None, "{}")],
+        "run_id long, url string, status string, error_type string, error_message string, result string")
+    done = ledger.record_outcomes(listed, outcomes, now())
+    assert "REPARTITION_BY_NUM" in planned(done) and "Broadcast" not in planned(done)
+    assert rows(done, "run_id", "url", "status", F.length("error_message")) == [
+        (1, "a", "processing", None), (1, "b", "failed", 100_000), (2, None, "new", None)]
+
+
 def test_checks_name_what_is_broken(spark):
     df = spark.createDataFrame(
         [("weekly", None, "123.4"), ("full", "t", "99.99"), (None, "t", None)],
