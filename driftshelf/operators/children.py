@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import hashing, text
 from ..schemas import IMAGES, KEY, RELATIONS, REVIEWS, SPECIFICATIONS, VARIANTS
-from .keyed import first_wins, last_wins
+from .keyed import dealt, first_wins, last_wins
 
 IMAGE_KEY = [*KEY, "image_url"]
 SPECIFICATION_KEY = [*KEY, "section", "spec_name", "spec_value"]
@@ -121,17 +121,17 @@ def _images_together(stored: DataFrame, fresh: DataFrame, touched: DataFrame) ->
 
     ``_kind`` is 0 for stored, 1 for incoming rows; ``_touched`` says that the batch has the
     product, ``_listed`` that it lists the image, ``_first`` when a stored one was first seen.
-    Everything is worked out in one exchange on the product key.
+    Everything is worked out in one exchange on the product key and one sort: images of a
+    product are in order when its rows are.
     """
     both = stored.select(*IMAGES, F.lit(0).alias("_kind")).unionByName(
         fresh.select(*IMAGES, F.lit(1).alias("_kind"))
     ).unionByName(touched.select(*KEY, F.lit(2).alias("_kind")), allowMissingColumns=True)
     product, image = Window.partitionBy(*KEY), Window.partitionBy(*IMAGE_KEY)
-    return both.repartition(*KEY).withColumns({
-        "_touched": F.max(F.col("_kind") == 2).over(product),
+    return dealt(both, KEY).withColumns({
         "_listed": F.max(F.col("_kind") == 1).over(image),
         "_first": F.min(F.when(F.col("_kind") == 0, F.col("first_seen_at"))).over(image),
-    })
+    }).withColumn("_touched", F.max(F.col("_kind") == 2).over(product))
 
 
 def sync_images(stored: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:

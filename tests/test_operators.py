@@ -201,6 +201,21 @@ def test_outcomes_with_long_messages_are_dealt_out(spark):
         (1, "a", "processing", None), (1, "b", "failed", 100_000), (2, None, "new", None)]
 
 
+def test_images_meet_in_one_sort(spark, tmp_path):
+    layout = ddl(IMAGES)
+    image = lambda url, seen: (1, "p", url, None, "main", 0, "h", seen, seen)
+    day = [datetime.datetime(2024, 1, n) for n in (1, 2)]
+    for name, urls in (("stored", ["a", "b", None]), ("fresh", ["b", None])):
+        spark.createDataFrame([image(u, day[name == "fresh"]) for u in urls], layout).write.parquet(f"{tmp_path}/{name}")
+    stored, fresh = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("stored", "fresh"))
+    touched = spark.createDataFrame([(1, "p")], "site_id long, canonical_url string")
+    gone, synced = (f(stored, fresh, touched) for f in (children.gone_images, children.sync_images))
+    assert rows(gone, "image_url") == [("a",)]
+    assert rows(synced, "image_url", "first_seen_at") == [("b", day[0]), (None, day[0])]
+    for df in (gone, synced):
+        assert planned(df).count("Sort [") == 1 and "REPARTITION_BY_NUM" in planned(df)
+
+
 def test_checks_name_what_is_broken(spark):
     df = spark.createDataFrame(
         [("weekly", None, "123.4"), ("full", "t", "99.99"), (None, "t", None)],
