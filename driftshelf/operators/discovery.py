@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keyed import lookup
@@ -17,6 +17,8 @@ from .rounds import cut
 
 
 PAGE_BLOCK = 1000
+#: One page of so many, by the hash of its address, is a hub: walks share what lies between hubs.
+HUB_GAP = 256
 
 
 def order_pages(starts: DataFrame, nexts: DataFrame) -> DataFrame:
@@ -24,22 +26,74 @@ def order_pages(starts: DataFrame, nexts: DataFrame) -> DataFrame:
 
     ``starts``: ``site_id, category``, each the address of its first page; ``nexts``:
     ``site_id, url, next``, one row a page, ``next`` null on the last. A page that comes again in
-    a category ends it. Pages up to 2, 4, 8, ... are placed in each round, by links that lead as
-    many pages ahead, so a category of n pages takes about log2 n rounds; each is cut.
+    a category ends it.
+
+    Categories run into each other, so there can be far more rows than pages. What is moved and
+    cut in rounds is the piece of pages from each start and each hub to the next hub, and the
+    hubs of each category; rows are written out of whole pieces at the very end, where the
+    pages of a piece that a circle comes to a second time are left off.
     """
-    placed = cut(starts.select("site_id", "category", F.lit(1).cast("bigint").alias("page_no"), F.col("category").alias("url")).distinct())
+    begun = cut(starts.select("site_id", "category").distinct())
+    bare = "site_id IS NULL OR category IS NULL"
     ahead = cut(nexts.where("next IS NOT NULL").groupBy("site_id", "url").agg(F.min("next").alias("next")))
-    known, step = placed.count(), 1
+    hubs = ahead.select("site_id", "url").unionByName(ahead.select("site_id", F.col("next").alias("url")))
+    sources = hubs.where(_hub("url")).unionByName(
+        begun.where(f"NOT ({bare})").select("site_id", F.col("category").alias("url"))).distinct()
+    far = F.lit(1).cast("bigint").alias("far")
+    pieces, _ = _walk(
+        sources.select("site_id", F.col("url").alias("source"), "url"),
+        ahead.where(~_hub("next")).select("site_id", "url", "next", far), "source")
+    legs = pieces.join(ahead.where(_hub("next")), ["site_id", "url"]).select(
+        "site_id", F.col("source").alias("url"), "next", (F.col("at") + 1).alias("far"))
+    walks, circles = _walk(
+        begun.where(f"NOT ({bare})").select("site_id", "category", F.col("category").alias("url")), legs, "category")
+    walks = walks.withColumnRenamed("url", "source")
+
+    circles = circles.withColumnRenamed("url", "source")
+    rounds = pieces.join(circles, ["site_id", "source"]).select("site_id", "url")
+    again = pieces.join(circles, ["site_id", "source"], "left_anti").join(rounds, ["site_id", "url"])
+    whole = pieces.groupBy("site_id", "source").agg(
+        F.sort_array(F.collect_list(F.struct("at", "url"))).alias("pages"))
+    lengths = pieces.groupBy("site_id", "source").agg(F.count("*").alias("size")).join(
+        again.groupBy("site_id", "source").agg(F.count("*").alias("again")), ["site_id", "source"], "left")
+    ends = walks.join(lengths, ["site_id", "source"]).groupBy("site_id", "category").agg(
+        (F.max(F.col("at") + F.col("size")) - F.coalesce(F.max("again"), F.lit(0))).alias("end"))
+    left = F.least(F.size("pages"), F.col("end") - F.col("at")).cast("int")
+    placed = walks.join(ends, ["site_id", "category"]).join(whole, ["site_id", "source"]).select(
+        "site_id", "category", "at", F.explode(F.slice("pages", F.lit(1), left)).alias("page"))
+    return placed.select(
+        "site_id", "category", (F.col("at") + F.col("page.at") + 1).alias("page_no"), "page.url"
+    ).unionByName(begun.where(bare).select(
+        "site_id", "category", F.lit(1).cast("bigint").alias("page_no"), F.col("category").alias("url")))
+
+
+def _hub(url: str) -> Column:
+    return F.pmod(F.xxhash64("site_id", url), F.lit(HUB_GAP)) == 0
+
+
+def _walk(starts: DataFrame, nexts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Where each walk comes and how ``far`` from its start, each address once: ``site_id, name,
+    url, at``; and the addresses on the circles that walks end in.
+
+    ``starts``: ``site_id, name, url``; ``nexts``: ``site_id, url, next, far``. The first 2, 4, 8, ...
+    addresses are placed in each round, by links that lead as many on, so a walk of n takes
+    about log2 n rounds; each is cut. Links as long as every walk lead from all of it onto its
+    circle, to each address there.
+    """
+    placed = cut(starts.withColumn("at", F.lit(0).cast("bigint")))
+    ahead, known = cut(nexts), placed.count()
     while True:
         found = placed.join(ahead, ["site_id", "url"]).select(
-            "site_id", "category", (F.col("page_no") + step).alias("page_no"), F.col("next").alias("url"))
-        placed = cut(placed.select("site_id", "category", "page_no", "url").union(found).groupBy(
-            "site_id", "category", "url").agg(F.min("page_no").alias("page_no")))
+            "site_id", name, F.col("next").alias("url"), (F.col("at") + F.col("far")).alias("at"))
+        last, placed = placed, cut(
+            placed.select("site_id", name, "url", "at").unionByName(found).groupBy("site_id", name, "url").agg(F.min("at").alias("at")))
         if (now := placed.count()) == known:
-            return placed.select("site_id", "category", "page_no", "url")
-        known, step = now, 2 * step
-        far = ahead.select("site_id", F.col("url").alias("next"), F.col("next").alias("after"))
-        ahead = cut(ahead.join(far, ["site_id", "next"]).select("site_id", "url", F.col("after").alias("next")))
+            seen = last.select("site_id", "url").distinct()
+            return placed, cut(seen.join(ahead, ["site_id", "url"]).select("site_id", F.col("next").alias("url")).distinct())
+        known = now
+        on = ahead.select("site_id", F.col("url").alias("next"), F.col("next").alias("after"), F.col("far").alias("_far"))
+        ahead = cut(ahead.join(on, ["site_id", "next"]).select(
+            "site_id", "url", F.col("after").alias("next"), (F.col("far") + F.col("_far")).alias("far")))
 
 
 def first_pages(links: DataFrame) -> DataFrame:

@@ -256,6 +256,44 @@ def test_discovery_equals_reading_page_by_page(spark, seed):
     assert got == {s: page_by_page(p, limit, seeds[s]) for s, p in sites.items()}
 
 
+@pytest.mark.parametrize("gap", [1, 3, 256])
+def test_page_order_equals_following_the_links(spark, monkeypatch, gap):
+    monkeypatch.setattr(discovery, "HUB_GAP", gap)
+    rng = random.Random(gap)
+    leads = {(s, f"p{n}"): f"p{rng.choice([n + 1, n + 2, rng.randint(0, 60)])}"
+             for s in (1, 2, 3) for n in range(60) if rng.random() < 0.97 or s == 3}
+    leads |= {(4, "a"): "a", (4, "b"): "a", (4, "c"): "d", (4, "d"): "c", (4, "e"): "gone"}
+    starts = [(s, f"p{n}") for s in (1, 2, 3) for n in range(0, 60, 4)] + [(4, c) for c in "abcdez"] + [(None, "p1"), (1, None)]
+    expected = []
+    for site, category in starts:
+        url, seen = category, []
+        while url is not None and url not in seen:
+            seen.append(url)
+            url = leads.get((site, url))
+        expected += [(site, category, n, u) for n, u in enumerate(seen or [None], 1)]
+    nexts = [(s, u, n) for (s, u), n in leads.items()] + [(1, "p1", None), (4, "a", "b"), (None, "p1", "p2")]
+    out = discovery.order_pages(
+        spark.createDataFrame(starts * 2, "site_id long, category string"),
+        spark.createDataFrame(nexts, "site_id long, url string, next string"))
+    assert rows(out, "site_id", "category", "page_no", "url") == sorted(expected, key=repr)
+
+
+def test_rounds_of_page_order_move_pieces_not_rows(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "HUB_GAP", 8)
+    moved, cut = [], discovery.cut
+
+    def counted(df):
+        moved.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(discovery, "cut", counted)
+    ring = [(1, f"p{n}", f"p{(n + 1) % 400}") for n in range(400)]
+    starts = spark.createDataFrame([(1, f"p{n}") for n in range(0, 400, 2)], "site_id long, category string")
+    out = discovery.order_pages(starts, spark.createDataFrame(ring, "site_id long, url string, next string"))
+    assert out.count() == 200 * 400
+    assert max(moved) < 200 * 400 / 4
+
+
 def test_no_job_runs_while_a_lookup_is_planned(spark):
     facts, dim = spark.range(100).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
     spark.sparkContext.setJobGroup("planning", "")
