@@ -1,5 +1,7 @@
 """The page tokeniser alone: selectors, implied tags, blocks and rendered text."""
 
+import pyarrow as pa
+
 from driftshelf.sources import html
 
 
@@ -59,3 +61,18 @@ def test_blocks_hold_their_nodes():
     rows = [n["pos"] for n in found if n["field"] == "row"]
     cells = [(html.rendered(n["text"], False), n["blocks"]) for n in found if n["field"] == "cell"]
     assert cells == [("1", rows[:1]), ("2", rows[:1]), ("3", rows[1:])]
+
+
+def test_pages_of_a_batch_are_read_in_slices(monkeypatch):
+    monkeypatch.setattr(html, "PAGE_SLICE", 3)
+    most, plain = [], pa.array
+
+    def array(values, type):
+        most.append(len(values))
+        return plain(values, type=type)
+
+    monkeypatch.setattr(html.pa, "array", array)
+    out = html._in_slices(lambda a, b: {"x": f"{a}{b}"}, [plain(list("abcdefgh")), plain([*range(7), None])],
+                          pa.struct([("x", pa.string())]))
+    assert [r["x"] for r in out.to_pylist()] == ["a0", "b1", "c2", "d3", "e4", "f5", "g6", "hNone"]
+    assert most == [3, 3, 2]
