@@ -14,9 +14,14 @@ A text is compared by length-normalised log-likelihood ratios: of its pairs, of
 its best pair, best word and best passage of three. Labels are used of rows outside the
 held-out fold only, and never to score.
 
-The ratios are a written table. It is broadcast if it has few rows; else the texts are looked at
-in blocks, each block's distinct words and pairs are joined with the table, and block and ratios
-meet again. Both ways give the same scores, and nothing is left out of the table for its size.
+Pairs travel in packed rows (each word once, then the words before it) to the part of their word,
+where they are summed up and counted; of pairs that say no more than their first word only the counts are
+written. Labels travel to the texts, not texts to the labels.
+
+The ratios are a written table. It is broadcast, in slices if it has many rows; a task works out
+what some texts look up and takes one slice after the other into memory. Beyond `BROADCAST_ROWS`
+the texts are looked at in blocks, each block's distinct words and pairs are joined with the table, and block
+and ratios meet again. All ways give the same scores, and nothing is left out of the table for its size.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, by_key, checked_broadcast, keyed, table, written
+from .common import KEY, by_key, checked_broadcast, keyed, new_folder, table, written
 
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 STEM, PASSAGE, THRESHOLD = 5, 3, 0.3
@@ -42,8 +48,15 @@ DISCOUNT, PAIR_DISCOUNT = 2, 1
 LEAST_GAIN = 1.5
 #: Rows of the calibration fold that the weights of the score are fitted on; all others are counted.
 CALIBRATION_ROWS = 20_000
-#: Rows of ratios that are broadcast at most (12 bytes each in a worker).
-BROADCAST_ROWS = 1 << 21
+#: Rows of ratios that are broadcast at most (12 bytes each on a worker's disk), and about those
+#: of a slice, of which a worker has one in memory.
+BROADCAST_ROWS, SLICE_ROWS = 1 << 26, 1 << 21
+#: Times GATHER that a task looks up at once where there are as many slices, or more.
+SWEEP = 4
+#: Labels that are broadcast packed at most (9 bytes each in a worker).
+LABEL_ROWS = 1 << 22
+#: Parts that words are dealt to at least; as many as shuffle partitions if those are more.
+PARTS = 256
 #: Texts of a block, as a power of two, where the ratios are joined.
 BLOCK_BITS = 9
 #: Pairs or words that a task holds at once.
@@ -52,6 +65,8 @@ FEATURES = ["word", "passage", "words", "pair", "pairs", "length"]
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEM, _WORD_KIND, _BEFORE, _PAIR = range(4)
+_PACKED = "part int, words array<bigint>, sizes array<int>, befores array<int>, n0 array<int>, n1 array<int>"
+_MERGED = "kind int, before int, word bigint, " + ", ".join(f"x{i} bigint" for i in range(5))
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -97,17 +112,42 @@ def _distinct(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndar
     return before[first], word[first], n
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(before, word, n0, n1): texts of each class with the pair, summed up over some texts."""
+def _summed(before: np.ndarray, word: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same columns with each pair once, in order of words."""
+    _, first, back = np.unique(_pair_key(before, word), return_index=True, return_inverse=True)
+    n0, n1 = (np.bincount(back, n, len(first)).astype(np.int64) for n in (n0, n1))
+    order = np.lexsort((before[first], word[first]))
+    return before[first][order], word[first][order], n0[order], n1[order]
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """How many texts of each class hold each pair, summed up over some texts: a row for each part of
+    words, with its words, how many pairs each ends, and of those the words before and the numbers."""
     known = _Keys()
 
-    def summed(gathered: list) -> Iterator[pa.RecordBatch]:
+    def packed(gathered: list) -> Iterator[pa.RecordBatch]:
         if gathered:
             before, word, toxic = (np.concatenate(c) for c in zip(*gathered))
-            _, first, back = np.unique(_pair_key(before, word), return_index=True, return_inverse=True)
-            n = [np.bincount(back[toxic == c], minlength=len(first)).astype(np.int32) for c in (0, 1)]
+            before, word, n0, n1 = _summed(before, word, toxic == 0, toxic == 1)
+            part = (word & 0xFFFFFFFF) % parts
+            order = np.argsort(part, kind="stable")
+            before, word, n0, n1, part = (c[order] for c in (before, word, n0, n1, part))
+            runs, rows = _starts(word), _starts(part)
+            first = np.searchsorted(runs, rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (before[first], word[first], *n)], names=["before", "word", "n0", "n1"]
+                [pa.array(part[rows], pa.int32()), _lists(word[runs], first, pa.int64()),
+                 _lists(np.diff(np.append(runs, len(word))), first, pa.int32()),
+                 *(_lists(c, rows, pa.int32()) for c in (before, n0, n1))],
+                names=["part", "words", "sizes", "befores", "n0", "n1"],
             )
 
     gathered, size = [], 0
@@ -118,38 +158,135 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b, w, _ = _distinct(_before(keys), keys)
                 gathered.append((b, w, np.full(len(b), toxic.as_py(), np.int8)))
                 size += len(b)
-            if size > GATHER:
-                yield from summed(gathered)
+            if size > 2 * GATHER:
+                yield from packed(gathered)
                 gathered, size = [], 0
-    yield from summed(gathered)
-
-
-class _Ratios:
-    """Log-likelihood ratios of stems, words, words before and pairs, as sorted arrays."""
-
-    def __init__(self, entries: pa.Table, unknown: float):
+    yield from packed(gathered)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows in order of parts, summed up. By kind: (_WORD_KIND) each word, the different words
+    before it in ordinary texts, in toxic ones, in any; (_BEFORE) of words before: texts of each class with its
+    pairs here, different pairs of each class, of any; (_PAIR) each pair beyond the discount, texts
+    of each class with it, and the different words before its word."""
+    held = []  # words before, of several parts
+
+    def rows(kind: int, before: np.ndarray, word: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+        n = len(before)
+        numbers = [*numbers, *[np.zeros(n, np.int64)] * (5 - len(numbers))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind, np.int32)), pa.array(before, pa.int32()), pa.array(word, pa.int64()),
+             *(pa.array(x, pa.int64()) for x in numbers)],
+            names=["kind", "before", "word", *(f"x{i}" for i in range(5))],
+        )
+
+    def ended(some: list) -> Iterator[pa.RecordBatch]:
+        if some:
+            before, word, n0, n1 = _summed(*(np.concatenate(c) for c in zip(*some)))
+            runs = _starts(word)
+            kinds = [np.add.reduceat(x, runs, dtype=np.int64) for x in (n0 > 0, n1 > 0, np.ones(len(word), int))]
+            yield rows(_WORD_KIND, np.zeros(len(runs), np.int32), word[runs], *kinds)
+            any_of = np.repeat(kinds[2], kinds[2])
+            often = np.maximum(n0, n1) > PAIR_DISCOUNT
+            yield rows(_PAIR, before[often], word[often], n0[often], n1[often], any_of[often])
+            held.append(by_before([(before, n0, n1, n0 > 0, n1 > 0, np.ones(len(before), int))]))
+            if sum(len(c[0]) for c in held) > 4 * GATHER:
+                held[:] = [by_before(held)]
+            if len(held[0][0]) > 2 * GATHER:
+                yield of_held()
+
+    def by_before(some: list) -> list[np.ndarray]:
+        before, *numbers = (np.concatenate(c) for c in zip(*some))
+        order = np.argsort(before, kind="stable")
+        runs = _starts(before[order])
+        return [before[order][runs], *(np.add.reduceat(x[order], runs, dtype=np.int64) for x in numbers)]
+
+    def of_held() -> pa.RecordBatch:
+        before, *sums = by_before(held)
+        held.clear()
+        return rows(_BEFORE, before, np.zeros(len(before), np.int64), *sums)
+
+    some, size, limit, now = [], 0, 4 * GATHER, None
+    for batch in batches:
+        parts = batch.column("part").to_numpy()
+        cuts = _starts(parts)
+        for i, end in zip(cuts, [*cuts[1:], len(parts)]):
+            if parts[i] != now:
+                yield from ended(some)
+                some, size, limit, now = [], 0, 4 * GATHER, parts[i]
+            words, sizes, befores, n0, n1 = (
+                batch.column(c).slice(i, end - i).flatten().to_numpy()
+                for c in ("words", "sizes", "befores", "n0", "n1"))
+            some.append((befores, np.repeat(words, sizes), n0, n1))
+            size += len(befores)
+            if size > limit:
+                some = [_summed(*(np.concatenate(c) for c in zip(*some)))]
+                size = len(some[0][0])
+                limit = max(limit, 2 * size)
+    yield from ended(some)
+    if held:
+        yield of_held()
+
+
+class _Slice:
+    """Ratios of stems, words, words before and pairs, as sorted arrays."""
+
+    def __init__(self, entries: pa.Table):
         kind, a, b, ratio = (entries.column(c).to_numpy() for c in ("kind", "a", "b", "ratio"))
-        self.unknown, self.sorted = unknown, []
+        self.sorted = []
         for k in (_STEM, _WORD_KIND, _BEFORE, _PAIR):
             mine = kind == k
             keys = _pair_key(a[mine].astype(np.int32), b[mine]) if k == _PAIR else a[mine]
             order = np.argsort(keys)
             self.sorted.append((keys[order], ratio[mine][order].astype(np.float32)))
 
-    def _find(self, kind: int, wanted: np.ndarray, default: np.ndarray | float) -> np.ndarray:
+    def put(self, kind: int, wanted: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """`to`, with the ratios of those of `wanted` that are here."""
         keys, values = self.sorted[kind]
         if not len(keys):
-            return np.broadcast_to(np.float64(default), wanted.shape)
+            return to
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at].astype(float), default)
+        return np.where(keys[at] == wanted, values[at].astype(float), to)
+
+
+def _not_kept(shared: Broadcast) -> _Slice:
+    """A broadcast slice, read anew, where `value` would stay in the worker."""
+    path = getattr(shared, "_path", None)
+    return shared.load_from_path(path) if path else shared.value
+
+
+class _Ratios:
+    """Log-likelihood ratios of words and pairs, from slices that are looked at one after the other."""
+
+    def __init__(self, slices: list, unknown: float):
+        self.slices, self.unknown = slices, unknown
+
+    def _each(self) -> Iterator[_Slice]:
+        for s in self.slices:
+            yield s if isinstance(s, _Slice) else s.value if len(self.slices) == 1 else _not_kept(s)
 
     def of(self, keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word, and of each word after the one before it."""
-        kinds, back = np.unique(keys, return_inverse=True)
-        words = self._find(_WORD_KIND, kinds, self._find(_STEM, kinds >> 32, self.unknown))[back]
-        befores, back = np.unique(before, return_inverse=True)
-        follow = self._find(_BEFORE, befores.astype(np.int64), 0.0)[back]
-        return words, self._find(_PAIR, _pair_key(before, keys), follow)
+        kinds, kind_back = np.unique(keys, return_inverse=True)
+        stems, stem_back = np.unique(kinds >> 32, return_inverse=True)
+        befores, before_back = np.unique(before, return_inverse=True)
+        pairs, first, pair_back = np.unique(_pair_key(before, keys), return_index=True, return_inverse=True)
+        wanted = [(_STEM, stems, stems), (_WORD_KIND, kinds, kinds), (_BEFORE, befores.astype(np.int64), befores),
+                  (_PAIR, pairs, before[first] ^ keys[first])]
+        n = len(self.slices)
+        own = [slice(None)] * 4
+        found = [np.full(len(w[1]), np.nan) for w in wanted]
+        for i, one in enumerate(self._each()):
+            if n > 1:
+                own = [np.flatnonzero(low & (n - 1) == i) for _, _, low in wanted]
+            for (kind, sought, _), mine, to in zip(wanted, own, found):
+                to[mine] = one.put(kind, sought[mine], to[mine])
+        stem, word, follow, pair = found
+        stem = np.where(np.isnan(stem), self.unknown, stem)[stem_back]
+        words = np.where(np.isnan(word), stem, word)[kind_back]
+        follow = np.where(np.isnan(follow), 0.0, follow)[before_back]
+        pair = pair[pair_back]
+        return words, np.where(np.isnan(pair), follow, pair)
 
     def features(self, texts: list[np.ndarray]) -> list[tuple]:
         """FEATURES of texts given as keys; those of a text without words are 0."""
@@ -168,15 +305,17 @@ class _Ratios:
             rows.append((w.max(), best, w.mean(), p.max(), p.mean(), np.log(n)))
         return rows
 
-    def table(self, texts: pa.Array) -> list[tuple]:
-        rows, some, size, known = [], [], 0, _Keys()
-        for text in texts:
-            some.append(known.of(text.as_py()))
-            size += len(some[-1])
-            if size > GATHER:
-                rows += self.features(some)
-                some, size = [], 0
-        return rows + self.features(some)
+    def tables(self, batches: Iterator[pa.Array]) -> Iterator[list[tuple]]:
+        """Features of the texts of all batches, some at a time."""
+        some, size, known, limit = [], 0, _Keys(), GATHER * min(SWEEP, len(self.slices))
+        for texts in batches:
+            for text in texts:
+                some.append(known.of(text.as_py()))
+                size += len(some[-1])
+                if size > limit:
+                    yield self.features(some)
+                    some, size = [], 0
+        yield self.features(some)
 
 
 @dataclass
@@ -187,6 +326,24 @@ class Model:
     rows: int
     unknown: float
     weights: list[float] = field(default_factory=list)
+    slices: list[Broadcast] = field(default_factory=list)
+
+    def shared(self) -> list[Broadcast]:
+        """The entries, broadcast once; one slice is collected at a time."""
+        if not self.slices:
+            spark, n = self.entries.sparkSession, 1
+            while n * SLICE_ROWS < self.rows:
+                n *= 2
+            one = self.entries
+            if n > 1:
+                path = new_folder(spark, "slices")
+                low = F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(n - 1).cast("long")).cast("int")
+                one.withColumn("slice", low).write.partitionBy("slice").parquet(path)
+                one = spark.read.schema("kind int, a bigint, b bigint, ratio double, slice int").parquet(path)
+            for i in range(n):
+                part = one.where(F.col("slice") == i).drop("slice") if n > 1 else one
+                self.slices.append(spark.sparkContext.broadcast(_Slice(part.toArrow())))
+        return self.slices
 
     def probability(self, f: str) -> Column:
         """The score for a struct of features; 0 without weights."""
@@ -242,11 +399,11 @@ def featured(docs: DataFrame, model: Model) -> DataFrame:
     unknown = model.unknown
     kind = "struct<" + ", ".join(f"{name}: double" for name in FEATURES) + ">"
     if model.rows <= BROADCAST_ROWS:
-        shared = docs.sparkSession.sparkContext.broadcast(_Ratios(model.entries.toArrow(), unknown))
+        shared = model.shared()
 
         @F.arrow_udf(kind)
-        def features(texts: pa.Array) -> pa.Array:
-            return _struct(shared.value.table(texts))
+        def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from map(_struct, _Ratios(shared, unknown).tables(batches))
 
         return docs.select(F.struct("*").alias("row"), features(F.col("text")).alias("found"))
 
@@ -257,8 +414,8 @@ def featured(docs: DataFrame, model: Model) -> DataFrame:
     ratios = wanted.distinct().join(model.entries, ["kind", "a", "b"])
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-        rows = _Ratios(found, unknown).table(texts.column("text").combine_chunks())
-        columns = _struct(rows).flatten()
+        rows = _Ratios([_Slice(found)], unknown).tables([texts.column("text").combine_chunks()])
+        columns = _struct([row for some in rows for row in some]).flatten()
         return pa.table([texts.column(c) for c in KEY] + columns, names=KEY + FEATURES)
 
     fields = ", ".join(f"{name} double" for name in FEATURES)
@@ -269,13 +426,8 @@ def featured(docs: DataFrame, model: Model) -> DataFrame:
     return joined.select("row", F.struct(*(F.col(f"found.{name}") for name in FEATURES)).alias("found"))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic, counted) of labelled rows outside the held-out fold.
-
-    Not counted are the rows kept for the weights: those of the calibration fold whose ids have
-    the least hashes. Labels that contradict each other count as toxic; null labels and null ids
-    are left out.
-    """
+def _usable(labels: DataFrame) -> DataFrame:
+    """Written (doc_id, toxic, counted) of labels outside the held-out fold."""
     own = written(
         labels.select("doc_id", "toxic", fold_of(F.col("doc_id")).alias("fold"))
         .where(f"toxic IN (0, 1) AND fold <> {HELD_OUT}")
@@ -285,31 +437,69 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     last = own.where(F.col("fold") == CALIBRATION).select(order.alias("o")).orderBy("o").limit(
         CALIBRATION_ROWS).agg(F.max("o")).first()[0]
     counted = (F.col("fold") != CALIBRATION) | (order > (-(2**63) if last is None else last))
-    own = own.select("doc_id", "toxic", counted.alias("counted"))
-    return docs.select("doc_id", "text").join(checked_broadcast(own), "doc_id")
+    return own.select("doc_id", "toxic", counted.alias("counted"))
 
 
-def _counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written (before, word, n0, n1): texts of each class with the pair; and by word the number
-    of different words before it: in ordinary texts, in toxic ones, in any."""
-    pairs = rows.where("counted").select("text", "toxic").mapInArrow(
-        _pairs, "before int, word bigint, n0 int, n1 int"
-    )
-    pairs = written(pairs.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
-    counts = pairs.groupBy("word").agg(
-        F.count_if(F.col("n0") > 0).alias("ordinary"), F.count_if(F.col("n1") > 0).alias("toxic"),
-        F.count("*").alias("any"),
-    )
-    return pairs, written(counts, "counts")
+def _with_texts(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, counted) of the documents with such labels.
+
+    Labels too many to be joined as a broadcast table are broadcast packed, so that no text is moved for
+    them; beyond `LABEL_ROWS`, or where ids are no whole numbers, Spark joins them.
+    """
+    rows, small = docs.select("doc_id", "text"), checked_broadcast(own)
+    whole = {d.schema["doc_id"].dataType.typeName() for d in (docs, own)} <= {"long", "integer", "short", "byte"}
+    if small is not own or not whole or own.count() > LABEL_ROWS:
+        return rows.join(small, "doc_id")
+    code = F.col("toxic").cast("byte") + 2 * F.col("counted").cast("byte")
+    found = own.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("id"), code.cast("byte").alias("code")).toArrow()
+    ids, codes = found["id"].to_numpy(), found["code"].to_numpy()
+    order = np.argsort(ids)
+    shared = docs.sparkSession.sparkContext.broadcast((ids[order], codes[order]))
+
+    @F.arrow_udf("tinyint")
+    def label(wanted: pa.Array) -> pa.Array:
+        ids, codes = shared.value
+        sought = wanted.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(ids, sought), len(ids) - 1)
+        return pa.array(codes[at], pa.int8(), mask=(ids[at] != sought) | wanted.is_null().to_numpy(zero_copy_only=False))
+
+    known = rows.withColumn("label", label(F.col("doc_id").cast("long"))).where("label IS NOT NULL")
+    return known.select(
+        "doc_id", "text", (F.col("label") % 2).cast("int").alias("toxic"), (F.col("label") >= 2).alias("counted"))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, counted) of labelled rows outside the held-out fold.
+
+    Not counted are the rows kept for the weights: those of the calibration fold whose ids have
+    the least hashes. Labels that contradict each other count as toxic; null labels and null ids
+    are left out.
+    """
+    return _with_texts(docs, _usable(labels))
+
+
+def _counts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written. Pairs beyond the discount: (before, word, n0, n1, any), texts of each class with the pair and the
+    different words before its word. By word the number of different words before it: in ordinary texts, in
+    toxic ones, in any. By word before: texts of each class with its pairs, and different pairs of each, of any."""
+    parts = max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = rows.select("text", "toxic").mapInArrow(lambda batches: _pairs(batches, parts), _PACKED)
+    found = written(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_merged, _MERGED), "pairs")
+
+    def of(kind: int, *columns: str) -> DataFrame:
+        return found.where(F.col("kind") == kind).select(*(F.expr(c) for c in columns))
+
+    befores = of(_BEFORE, "before", "x0", "x1", "x2", "x3", "x4").groupBy("before").agg(*(
+        F.sum(f"x{i}").alias(name) for i, name in enumerate(["all0", "all1", "kinds0", "kinds1", "kinds"])))
+    return (of(_PAIR, "before", "word", "x0 AS n0", "x1 AS n1", "x2 AS any"),
+            written(of(_WORD_KIND, "word", "x0 AS ordinary", "x1 AS toxic", "x2 AS any"), "counts"),
+            written(befores, "befores"))
 
 
-def _pair_entries(pairs: DataFrame, counts: DataFrame) -> list[DataFrame]:
+def _pair_entries(often: DataFrame, counts: DataFrame, befores: DataFrame) -> list[DataFrame]:
     """Entries of words before (what unseen or rare pairs after them say) and of repeated pairs."""
-    befores = written(pairs.groupBy("before").agg(
-        F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), F.count_if(F.col("n0") > 0).alias("kinds0"),
-        F.count_if(F.col("n1") > 0).alias("kinds1"), F.count("*").alias("kinds"),
-    ), "befores")
-    n_pairs = pairs.count()
+    n_pairs = counts.agg(F.coalesce(F.sum("any"), F.lit(0))).first()[0]
 
     def freed(c: int) -> Column:
         return F.when(F.col(f"all{c}") > 0, PAIR_DISCOUNT * F.col(f"kinds{c}") / F.col(f"all{c}")).otherwise(1.0)
@@ -325,9 +515,7 @@ def _pair_entries(pairs: DataFrame, counts: DataFrame) -> list[DataFrame]:
         return over(F.col(f"n{c}"), F.col(f"all{c}")) + freed(c) * both
 
     # A pair no class has more often than the discount has just the ratio of its first word.
-    often = pairs.where(F.greatest("n0", "n1") > PAIR_DISCOUNT)
-    known = often.join(checked_broadcast(befores), "before").join(
-        checked_broadcast(counts.select("word", "any")), "word")
+    known = often.join(checked_broadcast(befores), "before")
     first, own = F.log(freed(1)) - F.log(freed(0)), F.log(share(1)) - F.log(share(0))
     return [
         befores.where(F.greatest("all0", "all1") > 1).select(
@@ -388,16 +576,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     Without rows of both classes in both, every score is 0. A null or empty text counts nothing;
     repeated rows count each; a text of any length is one text.
     """
-    rows = _labelled(docs, labels)
-    pairs, counts = _counts(rows)
+    own = _usable(labels)
+    often, counts, befores = _counts(_with_texts(docs, own.where("counted")))
     words = _word_entries(counts)
     if words is None:
         empty = docs.sparkSession.createDataFrame([], "kind int, a bigint, b bigint, ratio double")
         return Model(empty, 0, 0.0)
     parts, unknown = words
-    entries = written(reduce(DataFrame.unionByName, parts + _pair_entries(pairs, counts)), "ratios")
+    entries = written(reduce(DataFrame.unionByName, parts + _pair_entries(often, counts, befores)), "ratios")
     model = Model(entries, entries.count(), unknown)
-    sample = featured(rows.where("NOT counted"), model).select(
+    sample = featured(_with_texts(docs, own.where("NOT counted")), model).select(
         "row.toxic", "found.*", F.xxhash64("row.doc_id").alias("o1"), F.xxhash64("row.text").alias("o2")
     ).orderBy("o1", "o2").limit(CALIBRATION_ROWS).toArrow()
     toxic = sample["toxic"].to_numpy().astype(float)

@@ -182,3 +182,73 @@ def test_all_rows_but_those_of_the_weights_are_counted(spark, small, monkeypatch
         "counted").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").collect()}
     outside = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(160) if i != 5)
     assert counts[False] in (9, 10) and counts[True] == outside - counts[False]
+
+
+def test_slices_of_ratios_give_the_same_features(spark, small, monkeypatch):
+    _, docs, labels = small
+    monkeypatch.setattr(toxicity, "LEAST_GAIN", 0.0)
+    model = toxicity.train(docs, labels)
+    whole = found(docs, model)
+    assert len(model.slices) == 1
+    monkeypatch.setattr(toxicity, "SLICE_ROWS", 40)
+    sliced = toxicity.Model(model.entries, model.rows, model.unknown, model.weights)
+    assert found(docs, sliced) == whole
+    assert len(sliced.slices) >= 4 and all(len(s.value.sorted[3][0]) < model.rows / 2 for s in sliced.slices)
+
+
+def test_texts_stay_where_they_are_with_many_labels(spark, small, monkeypatch):
+    _, docs, labels = small
+
+    def rows():
+        return sorted(map(repr, toxicity._labelled(docs, labels).collect()))
+
+    want = rows()
+    assert want
+    monkeypatch.setattr(toxicity, "checked_broadcast", lambda table, wide=None: table)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in toxicity._labelled(docs, labels)._jdf.queryExecution().executedPlan().toString()
+        assert rows() == want
+        monkeypatch.setattr(toxicity, "LABEL_ROWS", 3)
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("gather", [40, 300_000])
+def test_packed_pairs_are_few_rows_and_add_up(monkeypatch, gather):
+    monkeypatch.setattr(toxicity, "GATHER", gather)
+    r = random.Random(5)
+    rows = [(" ".join(r.choices(WORDS[:20], k=r.randint(0, 30))), i % 2) for i in range(80)] + [("", 1), (None, 0)]
+    batches = [
+        toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array(c) for c in zip(*rows[i:i + 20])], names=["text", "toxic"])
+        for i in range(0, len(rows), 20)
+    ]
+    packed = [row for b in toxicity._pairs(iter(batches), 4) for row in b.to_pylist()]
+    want = plain_counts(rows)
+    if gather > 40:
+        assert len(packed) == 4 and sum(len(p["words"]) for p in packed) == 20
+    packed.sort(key=lambda p: p["part"])
+    schema = next(iter(toxicity._pairs(iter(batches), 4))).schema
+    merged = [row for b in toxicity._merged(
+        toxicity.pa.RecordBatch.from_pylist(packed[i:i + 3], schema) for i in range(0, len(packed), 3)
+    ) for row in b.to_pylist()]
+    words = {w: toxicity.word_key(w) for w in WORDS}
+    before = {None: 0} | {w: int(toxicity.np.array(k).astype(toxicity.np.int32)) for w, k in words.items()}
+    either = set(want[0]) | set(want[1])
+    any_of = Counter(w for _, w in either)
+    got = {(m["before"], m["word"]): (m["x0"], m["x1"], m["x2"]) for m in merged if m["kind"] == toxicity._PAIR}
+    assert got == {(before[b], words[w]): (want[0][b, w], want[1][b, w], any_of[w])
+                   for b, w in either if max(want[0][b, w], want[1][b, w]) > 1}
+    got = {m["word"]: (m["x0"], m["x1"], m["x2"]) for m in merged if m["kind"] == toxicity._WORD_KIND}
+    assert got == {words[w]: (sum(x == w for _, x in want[0]), sum(x == w for _, x in want[1]), n)
+                   for w, n in any_of.items()}
+    sums = defaultdict(lambda: [0] * 5)
+    for m in merged:
+        if m["kind"] == toxicity._BEFORE:
+            sums[m["before"]] = [x + m[f"x{i}"] for i, x in enumerate(sums[m["before"]])]
+    assert dict(sums) == {before[b]: [
+        *(sum(n for (x, _), n in want[c].items() if x == b) for c in (0, 1)),
+        *(sum(x == b for x, _ in want[c]) for c in (0, 1)), sum(x == b for x, _ in either),
+    ] for b in {b for b, _ in either}}
