@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftshelf.operators import children, discovery, keyed, ledger, quality, reports
+from driftshelf.operators import children, discovery, keyed, ledger, quality, reports, rounds
 from driftshelf.schemas import FAILED_URLS, IMAGES, RUN_ITEMS, ddl
 
 
@@ -294,6 +294,15 @@ def test_rounds_of_page_order_move_pieces_not_rows(spark, monkeypatch):
     assert max(moved) < 200 * 400 / 4
 
 
+def test_a_cut_leaves_no_estimate_that_grows_with_the_rounds(spark):
+    links = rounds.cut(spark.range(3).select("id", (F.col("id") + 1).alias("next")))
+    for _ in range(9):
+        on = links.select(F.col("id").alias("next"), F.col("next").alias("after"))
+        links = rounds.cut(links.join(on, "next", "left").select("id", F.coalesce("after", "next").alias("next")))
+    assert rows(links, "id", "next") == [(0, 3), (1, 3), (2, 3)]
+    assert links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+
+
 def test_no_job_runs_while_a_lookup_is_planned(spark):
     facts, dim = spark.range(100).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
     spark.sparkContext.setJobGroup("planning", "")
